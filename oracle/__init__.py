@@ -1,7 +1,7 @@
 """SQL twins of the registered queries, for checking results on the same tables with another engine."""
 
-from oracle import mentions, prices
+from oracle import listings, mentions, prices
 
 
 def all_sql() -> dict[str, str]:
-    return {**prices.SQL, **mentions.SQL}
+    return {**prices.SQL, **mentions.SQL, **listings.SQL}

@@ -153,8 +153,8 @@ sig AS (SELECT top.title, mentions, sources, views, change_pct, trend_pct,
     round_even(sources / (SELECT max(sources) FROM top) * 100, 1) AS breadth,
     round_even(CASE WHEN (SELECT max(views) FROM top) > 0
       THEN ln(1 + views) / ln(1 + (SELECT max(views) FROM top)) * 100 ELSE 0 END, 1) AS youtube,
-    round_even(least(100, greatest(0, 50 + 2.5 * change_pct)), 1) AS ebay,
-    round_even(least(100, greatest(0, (trend_pct + 50) / 1.5)), 1) AS wikipedia
+    CASE WHEN change_pct IS NOT NULL THEN round_even(least(100, greatest(0, 50 + 2.5 * change_pct)), 1) END AS ebay,
+    CASE WHEN trend_pct IS NOT NULL THEN round_even(least(100, greatest(0, (trend_pct + 50) / 1.5)), 1) END AS wikipedia
   FROM top LEFT JOIN chg ON chg.title = top.title LEFT JOIN trend ON trend.article = top.title)
 SELECT *, round_even((momentum * 0.3::DOUBLE + breadth * 0.15::DOUBLE + youtube * 0.2::DOUBLE
     + coalesce(ebay * 0.2::DOUBLE, 0) + coalesce(wikipedia * 0.15::DOUBLE, 0))

@@ -6,7 +6,7 @@ import unicodedata
 from collections.abc import Iterable, Mapping
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from titletide import vocab
@@ -35,6 +35,13 @@ def padded(c: Column) -> Column:
     return F.concat(F.lit(" "), c, F.lit(" "))
 
 
+def settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """The rows with costly columns added behind a generator, so that later filters on them are neither pushed
+    below nor worked out a second time."""
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def one_of(phrases: Iterable[str]) -> str:
     """An alternation of literal word phrases (letters, digits and spaces only)."""
     return "(?:" + "|".join(phrases) + ")"

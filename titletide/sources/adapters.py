@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from titletide.functions import text as X
+from titletide.functions.numbers import pennies
 from titletide.operators.medians import group_medians
 
 # Which marketplace and currency each region stands for.
@@ -139,3 +140,51 @@ def searches_spent(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.col("o_orderpriority").alias("level"),
                 site.alias("site"), F.col("c_name").alias("title"), F.lit(1).alias("searches"))
     )
+
+
+def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sold line as a marketplace listing of its part's name, its wording set by its own flags.
+
+    The line's number says how the seller words it, its return flag whether it is complete, and its status
+    whether the currency is the site's own.
+    """
+    lines = table(spark, sf_dir, "lineitem")
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type")
+    number = F.col("l_linenumber")
+    wording = (
+        F.when(number == 1, "ps2")
+        .when(number == 2, "2 ps2")
+        .when(number == 3, "ps2 japanese import")
+        .when(number == 4, "PS2 + soundtrack")
+        .when(number == 5, "Playstation 2 factory sealed")
+        .when(number == 6, "xbox edition")
+        .otherwise("soundtrack")
+    )
+    state = F.when(F.col("l_returnflag") == "A", "complete, with manual").when(
+        F.col("l_returnflag") == "R", "disc only").otherwise("good")
+    extra = F.when(F.col("p_type") == "PROMO", " bundle").otherwise("")
+    value = pennies(F.col("l_extendedprice") / F.col("l_quantity")) / 100.0
+    return (
+        lines.join(parts, "l_partkey")
+        .join(supplier_sites(spark, sf_dir), "l_suppkey")
+        .select(
+            F.col("p_name").alias("title"), "site",
+            F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("item_id"),
+            F.concat(F.initcap("p_name"), F.lit(" "), wording, F.lit(" - "), state, extra).alias("text"),
+            value.cast("string").alias("value"),
+            F.when((F.col("l_linestatus") == "F") & (F.col("l_tax") == 0), "CHF").otherwise(F.col("currency")).alias("currency"),
+            F.col("currency").alias("site_currency"),
+            F.array(F.struct(F.round(F.col("l_discount") * 100, 2).cast("string").alias("cost"),
+                             F.col("currency").alias("currency"))).alias("postage_options"),
+            F.when(F.col("l_discount") > 0, F.col("l_orderkey").cast("string")).alias("legacy_id"),
+            F.lit(None).cast("string").alias("url"),
+            F.lit("Used").alias("condition"),
+            F.col("l_shipdate").alias("listed"),
+            X.search_name(F.col("p_name")).alias("search"),
+            F.when(F.col("p_name").startswith("new "), F.array(F.lit("ring edition"))).alias("siblings"),
+            F.lit(None).cast("array<string>").alias("require"),
+            F.when(F.col("p_name").endswith(" rod"), F.array(F.lit("good"))).alias("exclude"),
+            F.when(F.col("p_name").endswith(" gear"), F.array(F.lit("bundle"))).alias("allow"),
+            (F.col("site") != "US").alias("keyword"),
+        )
+    )
