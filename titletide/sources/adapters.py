@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from titletide.functions import text as X
 from titletide.functions.numbers import pennies
 from titletide.operators.medians import group_medians
+from titletide.session import spread
 
 # Which marketplace and currency each region stands for.
 SITE_OF_REGION = {"AMERICA": "US", "EUROPE": "UK", "ASIA": "DE", "AFRICA": "FR", "MIDDLE EAST": "IT"}
@@ -106,7 +107,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, headline (the first line), body (the other lines), text, source, lang."""
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         "doc_id",
         F.split_part(t, F.lit("\n"), F.lit(1)).alias("headline"),
         F.when(t.contains("\n"), F.regexp_replace(t, "^[^\n]*\n", "")).otherwise("").alias("body"),
@@ -148,7 +149,9 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     The line's number says how the seller words it, its return flag whether it is complete, and its status
     whether the currency is the site's own.
     """
-    lines = table(spark, sf_dir, "lineitem")
+    lines = spread(table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+        "l_returnflag", "l_linestatus", "l_shipdate"))
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type")
     number = F.col("l_linenumber")
     wording = (
@@ -188,3 +191,28 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.col("site") != "US").alias("keyword"),
         )
     )
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """account, game, region, condition, currency, price, month: every sold line as a price its customer reports."""
+    condition = F.when(F.col("l_returnflag") == "A", "complete").when(
+        F.col("l_returnflag") == "R", "loose").otherwise("sealed")
+    region = F.when(F.col("site") == "US", "US").otherwise("PAL")
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_shipdate",
+        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
+    return (
+        lines.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+        .join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
+        .join(supplier_sites(spark, sf_dir), "l_suppkey")
+        .select(F.col("o_custkey").alias("account"),
+                F.lower(F.replace("p_brand", F.lit("#"), F.lit(" "))).alias("game"), region.alias("region"),
+                condition.alias("condition"), "currency", "price", F.date_format("l_shipdate", "yyyy-MM").alias("month"))
+    )
+
+
+def owned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """account, game, sealed, complete, loose: how many lines of each condition a customer bought of a brand."""
+    rows = reports(spark, sf_dir)
+    n = lambda c: F.least(F.lit(99), F.count_if(F.col("condition") == c)).cast("bigint").alias(c)
+    return rows.groupBy("account", "game").agg(n("sealed"), n("complete"), n("loose"))
