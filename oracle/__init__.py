@@ -1,7 +1,7 @@
 """SQL twins of the registered queries, for checking results on the same tables with another engine."""
 
-from oracle import listings, mentions, money, prices
+from oracle import listings, mentions, money, prices, titles
 
 
 def all_sql() -> dict[str, str]:
-    return {**prices.SQL, **mentions.SQL, **listings.SQL, **money.SQL}
+    return {**prices.SQL, **mentions.SQL, **listings.SQL, **money.SQL, **titles.SQL}

@@ -67,8 +67,9 @@ SELECT *, round(CASE currency WHEN 'USD' THEN amount / 1.25 WHEN 'GBP' THEN amou
   currency <> 'EUR' AS converted FROM c""",
     "collection_value": f"""WITH {FIGURES} SELECT account, title, region, condition, qty, paid,
   round(value, 4) AS value, currency, priced_by FROM final""",
-    "collection_totals": f"""WITH {FIGURES} SELECT currency, round(coalesce(sum(value * qty), 0), 2) AS worth,
-  round(sum(paid * qty), 2) AS paid, CAST(sum(qty) AS BIGINT) AS copies,
+    "collection_totals": f"""WITH {FIGURES} SELECT currency,
+  CAST(coalesce(sum(CAST(value AS DECIMAL(18, 4)) * qty), 0) AS DOUBLE) AS worth,
+  CAST(sum(CAST(paid AS DECIMAL(18, 4)) * qty) AS DOUBLE) AS paid, CAST(sum(qty) AS BIGINT) AS copies,
   CAST(coalesce(sum(qty) FILTER (value IS NULL), 0) AS BIGINT) AS unpriced FROM final GROUP BY currency""",
     "portfolio": f"""WITH {FIGURES}, held AS (SELECT title, CASE region WHEN 'US' THEN 'US' ELSE 'UK' END AS site,
     sum(qty) AS qty FROM coll GROUP BY ALL),

@@ -67,10 +67,11 @@ def value_collection(collection: DataFrame, latest: DataFrame, references: DataF
 
 
 def collection_totals(valued: DataFrame) -> DataFrame:
-    """Per currency: worth, paid, copies and copies without a price."""
+    """Per currency: worth, paid, copies and copies without a price. Money is added up in exact decimals."""
+    total = lambda c: F.coalesce(F.sum(F.col(c).cast("decimal(18,4)") * F.col("qty")), F.lit(0)).cast("double")
     return valued.groupBy("currency").agg(
-        F.coalesce(F.sum(F.col("value") * F.col("qty")), F.lit(0.0)).alias("worth"),
-        F.coalesce(F.sum(F.col("paid") * F.col("qty")), F.lit(0.0)).alias("paid"),
+        total("value").alias("worth"),
+        total("paid").alias("paid"),
         F.sum("qty").alias("copies"),
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("qty"))), F.lit(0)).alias("unpriced"),
     )

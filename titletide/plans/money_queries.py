@@ -91,9 +91,7 @@ def collection_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def collection_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     valued = va.value_collection(_collection(spark, sf_dir), _figures(spark, sf_dir), _references(spark, sf_dir))
-    totals = va.collection_totals(valued)
-    return totals.select("currency", F.round("worth", 2).alias("worth"), F.round("paid", 2).alias("paid"), "copies",
-                         "unpriced")
+    return va.collection_totals(valued)
 
 
 def portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-from titletide.plans import listing_queries, mention_queries, money_queries, price_queries
+from titletide.plans import (listing_queries, match_queries, mention_queries, money_queries, price_queries,
+                             title_queries)
 
-ALL = {**price_queries.QUERIES, **mention_queries.QUERIES, **listing_queries.QUERIES, **money_queries.QUERIES}
+ALL = {**price_queries.QUERIES, **mention_queries.QUERIES, **listing_queries.QUERIES, **money_queries.QUERIES,
+       **title_queries.QUERIES, **match_queries.QUERIES}
