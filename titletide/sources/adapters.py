@@ -83,11 +83,16 @@ def rare_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as an item of a feed that names one title."""
+    return items_of(table(spark, sf_dir, "events"))
+
+
+def items_of(events: DataFrame) -> DataFrame:
+    """Events, stored or streamed, as items."""
     kind = lookup(TYPE_OF_EVENT, F.col("event_type"))
     k = F.get_json_object("props", "$.k")
     title = F.concat(F.lit("title "), k)
     day = F.date_format("ts", "yyyy-MM-dd")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         "event_id",
         F.concat(F.lit("note "), k, F.lit(" of "), F.col("event_type")).alias("headline"),
         F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("source"),
