@@ -43,8 +43,16 @@ def settled(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def one_of(phrases: Iterable[str]) -> str:
-    """An alternation of literal word phrases (letters, digits and spaces only)."""
-    return "(?:" + "|".join(phrases) + ")"
+    """An alternation of literal word phrases (letters, digits and spaces only), shared beginnings written once, so
+    that a place in a text is tried against a few first letters and not against every phrase."""
+    tails: dict[str, set[str]] = {}
+    for phrase in phrases:
+        tails.setdefault(phrase[:1], set()).add(phrase[1:])
+    branches = []
+    for head, rest in sorted(tails.items()):
+        if head:
+            branches.append(head + (one_of(rest) if len(rest) > 1 else next(iter(rest))))
+    return "(?:" + "|".join(branches) + ")" + ("?" if "" in tails else "")
 
 
 def has_any(c: Column, phrases: Iterable[str]) -> Column:
@@ -96,7 +104,8 @@ def _accents() -> tuple[str, str]:
 def fold_accents(c: Column) -> Column:
     """Accents folded into their letter."""
     source, target = _accents()
-    return F.translate(F.regexp_replace(c, r"\p{Mn}+", ""), source, target)
+    folded = F.translate(F.regexp_replace(c, r"\p{Mn}+", ""), source, target)
+    return F.when(c.rlike(r"[^\x00-\x7F]"), folded).otherwise(c)
 
 
 # ---------------------------------------------------------------------------------------------
@@ -118,14 +127,19 @@ def words(c: Column) -> Column:
 
 def name_words(c: Column) -> Column:
     """``words`` without "and" and with listing numerals as digits, so spellings compare equal."""
-    text = words(c)
+    return even_names(words(c))
+
+
+def even_names(text: Column) -> Column:
+    """The same, from plain words."""
     kept = F.array_join(F.filter(F.split(text, " ", -1), lambda t: t != "and"), " ")
     return _numerals(F.when(padded(text).contains(" and "), kept).otherwise(text), vocab.LISTING_NUMERALS)
 
 
 def the_less(c: Column) -> Column:
     """A spaced name without any "the"."""
-    return F.array_join(F.filter(F.split(c, " ", -1), lambda t: t != "the"), " ")
+    bare = F.array_join(F.filter(F.split(c, " ", -1), lambda t: t != "the"), " ")
+    return F.when(padded(c).contains(" the "), bare).otherwise(c)
 
 
 # How indexes file an article after the name.

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from titletide import vocab
 from titletide.config import DEFAULTS, Settings
 from titletide.functions.numbers import month_index, pennies
+from titletide.operators.medians import middle_of_counts
+from titletide.session import cut_lineage
 
 GROUP = ["game", "region", "condition", "currency"]
 
@@ -47,15 +49,16 @@ def crowd_prices(reports: DataFrame, settings: Settings = DEFAULTS, published: b
     """
     # Reports cost 20000 at most, so the value counts behind an account's median have a fixed bound.
     values = reports.groupBy(*GROUP, "account").agg((F.median(pennies(F.col("price"))) * 2).cast("bigint").alias("half"))
-    counts = values.groupBy(*GROUP, F.col("half").alias("penny")).agg(F.count(F.lit(1)).alias("n"))
-    middles = middle_halves(counts, GROUP).where(F.col("accounts") >= settings.min_reporters)
+    # Read three times below and far smaller than the reports, so it is written once.
+    counts = cut_lineage(values.groupBy(*GROUP, F.col("half").alias("penny")).agg(F.count(F.lit(1)).alias("n")))
+    middles = middle_of_counts(counts, GROUP).where(F.col("copies") >= settings.min_reporters)
     inside = (F.col("penny") * 2 * settings.crowd_band >= F.col("twice")) & (
         F.col("penny") * 2 <= F.col("twice") * settings.crowd_band)
     judged = counts.join(middles, GROUP).withColumn("kept", inside)
     held = judged.groupBy(*GROUP).agg(
-        F.first("accounts").alias("accounts"), F.sum(F.when(F.col("kept"), F.col("n")).otherwise(0)).alias("reporters"))
-    final = middle_halves(judged.where("kept").select(*GROUP, "penny", "n"), GROUP)
-    rows = held.join(final.drop("accounts"), GROUP, "left").withColumn(
+        F.first("copies").alias("accounts"), F.sum(F.when(F.col("kept"), F.col("n")).otherwise(0)).alias("reporters"))
+    final = middle_of_counts(judged.where("kept").select(*GROUP, "penny", "n"), GROUP)
+    rows = held.join(final.drop("copies"), GROUP, "left").withColumn(
         "published", F.col("reporters") >= settings.min_reporters)
     show = lambda c: F.when(F.col("published"), c)
     out = rows.select(
@@ -68,36 +71,6 @@ def crowd_prices(reports: DataFrame, settings: Settings = DEFAULTS, published: b
     return out.where("published") if published else out
 
 
-def middle_halves(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, accounts, low, high and ``twice`` the exact median of counted whole numbers."""
-    cell = F.floor(F.col("penny") / 4096).cast("bigint")
-    cells = counts.groupBy(*keys, cell.alias("cell")).agg(
-        F.sum("n").alias("cell_n"), F.min("penny").alias("cell_low"), F.max("penny").alias("cell_high"))
-    group = Window.partitionBy(*keys)
-    running = (Window.unboundedPreceding, Window.currentRow)
-    middle = (
-        cells.withColumn("before", F.sum("cell_n").over(group.orderBy("cell").rowsBetween(*running)) - F.col("cell_n"))
-        .withColumn("accounts", F.sum("cell_n").over(group))
-        .withColumn("low", F.min("cell_low").over(group))
-        .withColumn("high", F.max("cell_high").over(group))
-        .withColumn("first", F.expr("(accounts + 1) div 2"))
-        .withColumn("second", F.expr("(accounts + 2) div 2"))
-        .where((F.col("before") < F.col("second")) & (F.col("before") + F.col("cell_n") >= F.col("first")))
-        .drop("cell_n", "cell_low", "cell_high")
-    )
-    inside = Window.partitionBy(*keys, "cell").orderBy("penny").rowsBetween(*running)
-    ranked = (
-        counts.withColumn("cell", cell)
-        .join(middle, [*keys, "cell"])
-        .withColumn("upto", F.col("before") + F.sum("n").over(inside))
-    )
-    at = lambda rank: F.max(F.when(
-        (F.col("upto") - F.col("n") < F.col(rank)) & (F.col("upto") >= F.col(rank)), F.col("penny")))
-    return ranked.groupBy(*keys).agg(
-        F.first("accounts").alias("accounts"), F.first("low").alias("low"), F.first("high").alias("high"),
-        (at("first") + at("second")).alias("twice"))
-
-
 def crowd_owners(copies: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """game, owners, sealed, complete, loose where enough accounts own a copy. One row an account and game."""
     return (

@@ -145,7 +145,7 @@ def with_reasons(listings: DataFrame, sealed_ok: bool = False) -> DataFrame:
     """
     rows = (
         listings.withColumn("word_text", X.words(F.col("text")))
-        .withColumn("name_text", X.name_words(F.col("text")))
+        .withColumn("name_text", X.even_names(F.col("word_text")))
         .withColumn("bare", X.the_less(F.col("name_text")))
         .withColumn("wanted", X.the_less(F.col("search")))
         .withColumn("named", names_this(F.col("bare"), F.col("wanted")))
@@ -229,32 +229,32 @@ def console_reasons(listings: DataFrame) -> DataFrame:
 
 def summarise(classified: DataFrame, keys: list[str] = ["title", "site"]) -> DataFrame:
     """Per title and site: status, fetched, counted, lowest, median, postage figures and confirmed figures."""
-    counts = F.lit(1)
+    # One pass over the listings: each says what became of it and, when it counts, the amounts of three figures.
     kept = F.col("reason").isNull()
-    overall = classified.groupBy(*keys).agg(
-        F.count(counts).alias("fetched"),
-        F.count_if(kept).alias("counted"),
-        F.count_if(F.col("reason") == "other_game").alias("others"),
-        F.count_if(kept & F.col("postage").isNotNull()).alias("postage_known"),
-        F.count_if(kept & F.col("confirmed")).alias("confirmed_counted"),
-    )
-    good = classified.where(kept)
-    # One pass over the listings for the three medians: each amount is tagged with the figure it belongs to.
-    figures = good.select(*keys, F.explode(F.array(
-        F.struct(F.lit("price").alias("figure"), F.col("price").alias("amount")),
-        F.struct(F.lit("postage").alias("figure"), F.col("postage").alias("amount")),
-        F.struct(F.lit("confirmed").alias("figure"), F.when(F.col("confirmed"), F.col("price")).alias("amount")),
-    )).alias("f")).select(*keys, "f.*").where("amount IS NOT NULL")
-    medians = median_of_counts(penny_counts(figures, [*keys, "figure"], F.col("amount")), [*keys, "figure"])
+    fact = lambda name, amount: F.struct(name.alias("figure"), amount.cast("double").alias("amount"))
+    facts = classified.select(*keys, F.inline(F.array(
+        fact(F.concat(F.lit("listing "), F.coalesce("reason", F.lit("counted"))), F.lit(None)),
+        fact(F.when(kept, "price"), F.col("price")),
+        fact(F.when(kept & F.col("postage").isNotNull(), "postage"), F.col("postage")),
+        fact(F.when(kept & F.col("confirmed"), "confirmed"), F.col("price")),
+    ))).where("figure IS NOT NULL")
+    counts = penny_counts(facts, [*keys, "figure"], F.col("amount"))
+    figures = median_of_counts(counts, [*keys, "figure"])
+    n_of = lambda hit: F.coalesce(F.sum(F.when(hit, F.col("copies"))), F.lit(0))
     of = lambda name, c: F.max(F.when(F.col("figure") == name, F.col(c)))
-    wide = medians.groupBy(*keys).agg(
+    wide = figures.groupBy(*keys).agg(
+        n_of(F.col("figure").startswith("listing ")).alias("fetched"),
+        n_of(F.col("figure") == "listing counted").alias("counted"),
+        n_of(F.col("figure") == "listing other_game").alias("others"),
         of("price", "lowest").alias("lowest"),
         of("price", "median").alias("median"),
+        n_of(F.col("figure") == "postage").alias("postage_known"),
         of("postage", "median").alias("median_postage"),
+        n_of(F.col("figure") == "confirmed").alias("confirmed_counted"),
         of("confirmed", "median").alias("confirmed_median"),
     )
     status = F.when(F.col("counted") > 0, "ok").when(F.col("others") == F.col("fetched"), "unmatched").otherwise("none")
-    return overall.join(wide, keys, "left").select(
+    return wide.select(
         *keys, status.alias("status"), "fetched", "counted", "lowest", "median", "postage_known", "median_postage",
         "confirmed_counted", "confirmed_median")
 

@@ -20,39 +20,42 @@ def penny_counts(df: DataFrame, keys: list[str], amount: Column) -> DataFrame:
     return df.groupBy(*keys, pennies(amount).alias("penny")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def median_of_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, copies, lowest and median from penny counts; the median is exact, half a penny up."""
-    cell = F.floor(F.col("penny") / CELL).cast("bigint")
-    cells = counts.groupBy(*keys, cell.alias("cell")).agg(
-        F.sum("n").alias("cell_n"), F.min("penny").alias("cell_low")
-    )
+def middle_of_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, copies, low, high and ``twice`` the exact median of counted whole numbers (``penny``, ``n``).
+
+    One flow without a join, so the counts are worked out once. A cell holds at most ``CELL`` different values,
+    whatever the number of rows behind them, and a group's cells are as many as its range of values needs.
+    """
+    cells = counts.groupBy(*keys, F.floor(F.col("penny") / CELL).cast("bigint").alias("cell")).agg(
+        F.sum("n").alias("cell_n"), F.min("penny").alias("cell_low"), F.max("penny").alias("cell_high"),
+        F.collect_list(F.struct("penny", "n")).alias("values"))
     group = Window.partitionBy(*keys)
-    upto = group.orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = (Window.unboundedPreceding, Window.currentRow)
     middle = (
-        cells.withColumn("before", F.sum("cell_n").over(upto) - F.col("cell_n"))
+        cells.withColumn("before", F.sum("cell_n").over(group.orderBy("cell").rowsBetween(*running)) - F.col("cell_n"))
         .withColumn("copies", F.sum("cell_n").over(group))
         .withColumn("low", F.min("cell_low").over(group))
+        .withColumn("high", F.max("cell_high").over(group))
         .withColumn("first", F.expr("(copies + 1) div 2"))
         .withColumn("second", F.expr("(copies + 2) div 2"))
         .where((F.col("before") < F.col("second")) & (F.col("before") + F.col("cell_n") >= F.col("first")))
-        .select(*keys, "cell", "before", "copies", "low", "first", "second")
-    )
-    inside = Window.partitionBy(*keys, "cell").orderBy("penny").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    ranked = (
-        counts.withColumn("cell", cell)
-        .join(middle, [*keys, "cell"])
-        .withColumn("upto", F.col("before") + F.sum("n").over(inside))
-        .withColumn("from", F.col("upto") - F.col("n"))
-        .where((F.col("from") < F.col("second")) & (F.col("upto") >= F.col("first")))
+        .select(*keys, "cell", "before", "copies", "low", "high", "first", "second", F.inline("values"))
     )
-    holds = lambda rank: (F.col("from") < F.col(rank)) & (F.col("upto") >= F.col(rank))
+    inside = Window.partitionBy(*keys, "cell").orderBy("penny").rowsBetween(*running)
+    ranked = middle.withColumn("upto", F.col("before") + F.sum("n").over(inside))
+    at = lambda rank: F.max(F.when(
+        (F.col("upto") - F.col("n") < F.col(rank)) & (F.col("upto") >= F.col(rank)), F.col("penny")))
     return ranked.groupBy(*keys).agg(
-        F.first("copies").alias("copies"),
-        (F.first("low") / 100.0).alias("lowest"),
-        (F.floor((F.max(F.when(holds("first"), F.col("penny")))
-                  + F.max(F.when(holds("second"), F.col("penny"))) + 1) / 2) / 100.0).alias("median"),
-    )
+        F.first("copies").alias("copies"), F.first("low").alias("low"), F.first("high").alias("high"),
+        (at("first") + at("second")).alias("twice"))
+
+
+def median_of_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, copies, lowest and median from penny counts; the median is exact, half a penny up. A count without a
+    penny gives its copies alone."""
+    return middle_of_counts(counts, keys).select(
+        *keys, "copies", (F.col("low") / 100.0).alias("lowest"),
+        (F.floor((F.col("twice") + 1) / 2) / 100.0).alias("median"))
 
 
 def group_medians(df: DataFrame, keys: list[str], amount: Column) -> DataFrame:

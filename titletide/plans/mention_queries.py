@@ -14,7 +14,7 @@ from titletide.operators import mentions as mn
 from titletide.operators import price_index as ix
 from titletide.operators import prices as pr
 from titletide.operators import snapshot as sn
-from titletide.plans.price_queries import last_period
+from titletide.plans.price_queries import last_period, stored_history
 from titletide.session import cut_lineage
 from titletide.sources import adapters as ad
 
@@ -118,7 +118,7 @@ def demand_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q6: mentions, market change, readers' trend, blended and ranked."""
     items, clock = ad.items(spark, sf_dir), ad.now(spark, sf_dir)
     stats = mn.mention_stats(items, clock)
-    h = ad.history(spark, sf_dir)
+    h = stored_history(spark, sf_dir)
     latest = pr.latest_of(h)
     week = pr.week_before(latest, h).select("title", "site", "week_median")
     change = pr.market_change(latest.join(week, ["title", "site"])).withColumn(
@@ -202,7 +202,7 @@ def search_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h, last = ad.history(spark, sf_dir), last_period(spark, sf_dir)
+    h, last = stored_history(spark, sf_dir), last_period(spark, sf_dir)
     results = h.where(F.col("period") == last - 1).select(
         "title", "site", F.when(F.col("copies") == 1, "error").otherwise("ok").alias("status"),
         F.col("copies").alias("fetched"))
@@ -221,7 +221,7 @@ def first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles by level, their last monthly figures, and the pairs due at the end of the history."""
-    h, last = ad.history(spark, sf_dir), last_period(spark, sf_dir)
+    h, last = stored_history(spark, sf_dir), last_period(spark, sf_dir)
     clock = ad.table(spark, sf_dir, "lineitem").agg(F.max("l_shipdate")).scalar()
     size = F.sum("p_size")
     level = (F.when(size % 5 == 0, "surging").when(size % 5 == 1, "staple").when(size % 5 == 2, "normal")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from titletide.config import DEFAULTS, Settings
 from titletide.operators import price_index as ix
 from titletide.operators import prices as pr
+from titletide.session import cut_lineage
 from titletide.sources import adapters as ad
 
 # Months stand in for days here: sales are spread over years, so a pair has a few copies a month.
@@ -22,6 +23,11 @@ def last_period(spark: SparkSession, sf_dir: str, unit: str = "month"):
     return ad.table(spark, sf_dir, "lineitem").agg(period).scalar()
 
 
+def stored_history(spark: SparkSession, sf_dir: str, unit: str = "month") -> DataFrame:
+    """The history as the table it would be: for queries that read it more than once."""
+    return cut_lineage(ad.history(spark, sf_dir, unit))
+
+
 def listing_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ad.history(spark, sf_dir).select("title", "site", "period", F.col("copies").cast("bigint").alias("copies"),
                                             "lowest", "median")
@@ -59,7 +65,7 @@ def index_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rare_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = ad.history(spark, sf_dir)
+    h = stored_history(spark, sf_dir)
     return ix.rare_index(h, ad.rare_members(spark, sf_dir), last_period(spark, sf_dir))
 
 
@@ -74,12 +80,12 @@ def daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def week_before(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = ad.history(spark, sf_dir)
+    h = stored_history(spark, sf_dir)
     return pr.week_before(pr.latest_of(h), h)
 
 
 def week_before_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = ad.history(spark, sf_dir, "day")
+    h = stored_history(spark, sf_dir, "day")
     return pr.week_before(pr.latest_of(h), h)
 
 
@@ -103,7 +109,7 @@ def latest_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latest_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state of two months ago brought up to date with last month's checks: month-old figures below
     three copies count as unmatched and sites with a single copy as errors."""
-    h = ad.history(spark, sf_dir)
+    h = stored_history(spark, sf_dir)
     last = last_period(spark, sf_dir)
     empty = [F.lit(None).cast("bigint").alias("new_copies"), F.lit(None).cast("double").alias("new_median")]
     state = F.when(F.col("copies") == 1, "error").when(F.col("copies") == 2, "unmatched").otherwise("ok")
@@ -117,7 +123,7 @@ def latest_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def market_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = ad.history(spark, sf_dir)
+    h = stored_history(spark, sf_dir)
     latest = pr.latest_of(h)
     week = pr.week_before(latest, h).select("title", "site", "week_median")
     return pr.market_change(latest.join(week, ["title", "site"]))

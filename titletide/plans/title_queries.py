@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from titletide.functions import text as X
 from titletide.operators import titles as tt
 from titletide.operators import prices as pr
-from titletide.session import spread
+from titletide.session import cut_lineage, spread
 from titletide.sources import adapters as ad
 
 
@@ -144,7 +144,7 @@ def _tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pr.latest_of(ad.history(spark, sf_dir)).withColumn("unmatched", F.lit(False))
+    return cut_lineage(pr.latest_of(ad.history(spark, sf_dir)).withColumn("unmatched", F.lit(False)))
 
 
 def spelling_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
