@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from titletide import vocab
 from titletide.config import DEFAULTS, Settings
 from titletide.functions.numbers import month_index, pennies
-from titletide.operators.medians import middle_of_counts
+from titletide.operators.medians import middle_of_counts, penny_counts
 from titletide.session import cut_lineage
 
 GROUP = ["game", "region", "condition", "currency"]
@@ -41,14 +41,30 @@ def validate_copies(copies: DataFrame, settings: Settings = DEFAULTS) -> DataFra
     return copies.withColumn("problem", problem)
 
 
+def account_medians(reports: DataFrame) -> DataFrame:
+    """The group, account and ``half``, the account's exact median report in half pennies. Equal reports are counted
+    together first, so an account is as many rows as it named different prices."""
+    keys = [*GROUP, "account"]
+    own = Window.partitionBy(*keys)
+    upto = own.orderBy("penny").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = (
+        penny_counts(reports, keys, F.col("price"))
+        .withColumn("upto", F.sum("n").over(upto))
+        .withColumn("total", F.sum("n").over(own))
+    )
+    holds = lambda rank: (F.col("upto") - F.col("n") < rank) & (F.col("upto") >= rank)
+    first, second = F.expr("(total + 1) div 2"), F.expr("(total + 2) div 2")
+    at = lambda rank: F.max(F.when(holds(rank), F.col("penny")))
+    return ranked.where(holds(first) | holds(second)).groupBy(*keys).agg((at(first) + at(second)).alias("half"))
+
+
 def crowd_prices(reports: DataFrame, settings: Settings = DEFAULTS, published: bool = True) -> DataFrame:
     """game, region, condition, currency, published, reporters, held, median, low, high.
 
     An account counts once, with the median of its reports. The medians over accounts are exact and
     found from counts, so a title that everybody reports is never gathered in one task.
     """
-    # Reports cost 20000 at most, so the value counts behind an account's median have a fixed bound.
-    values = reports.groupBy(*GROUP, "account").agg((F.median(pennies(F.col("price"))) * 2).cast("bigint").alias("half"))
+    values = account_medians(reports)
     # Read three times below and far smaller than the reports, so it is written once.
     counts = cut_lineage(values.groupBy(*GROUP, F.col("half").alias("penny")).agg(F.count(F.lit(1)).alias("n")))
     middles = middle_of_counts(counts, GROUP).where(F.col("copies") >= settings.min_reporters)
