@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from titletide import vocab
@@ -45,17 +45,8 @@ def account_medians(reports: DataFrame) -> DataFrame:
     """The group, account and ``half``, the account's exact median report in half pennies. Equal reports are counted
     together first, so an account is as many rows as it named different prices."""
     keys = [*GROUP, "account"]
-    own = Window.partitionBy(*keys)
-    upto = own.orderBy("penny").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = (
-        penny_counts(reports, keys, F.col("price"))
-        .withColumn("upto", F.sum("n").over(upto))
-        .withColumn("total", F.sum("n").over(own))
-    )
-    holds = lambda rank: (F.col("upto") - F.col("n") < rank) & (F.col("upto") >= rank)
-    first, second = F.expr("(total + 1) div 2"), F.expr("(total + 2) div 2")
-    at = lambda rank: F.max(F.when(holds(rank), F.col("penny")))
-    return ranked.where(holds(first) | holds(second)).groupBy(*keys).agg((at(first) + at(second)).alias("half"))
+    counted = penny_counts(reports, keys, F.col("price"))
+    return middle_of_counts(counted, keys).select(*keys, F.col("twice").alias("half"))
 
 
 def crowd_prices(reports: DataFrame, settings: Settings = DEFAULTS, published: bool = True) -> DataFrame:

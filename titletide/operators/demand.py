@@ -85,8 +85,3 @@ def demand_index(stats: DataFrame, change: DataFrame, trends: DataFrame, have_vi
     rows = ranked.join(change, "title", "left").join(trends.select("title", "trend_pct"), "title", "left")
     scored = signal_scores(rows, have_views).withColumn("demand", blend(settings.weights))
     return scored.orderBy(F.desc("demand"), F.desc("mentions"), "title")
-
-
-def by_keys(rows: DataFrame) -> DataFrame:
-    """Demand order."""
-    return rows.orderBy(F.desc("demand"), F.desc("mentions"), "title")

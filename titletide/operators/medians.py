@@ -1,8 +1,7 @@
 """Exact medians and bounded prefixes for groups of any size.
 
-A group may hold a third of all rows, so neither its values nor its rows are ever gathered in one
-task: values are first counted per penny (with map-side combine), the cell that holds the middle is
-found from a coarse histogram, and only that cell is looked at value by value.
+A group may hold a third of all rows, so its rows are never gathered in one task: they are first counted per penny
+with map-side combine, and the middle is found from those counts.
 """
 
 from __future__ import annotations
@@ -12,9 +11,6 @@ from pyspark.sql import functions as F
 
 from titletide.functions.numbers import pennies
 
-CELL = 4096
-
-
 def penny_counts(df: DataFrame, keys: list[str], amount: Column) -> DataFrame:
     """How often each amount occurs in each group; the only step that sees every row."""
     return df.groupBy(*keys, pennies(amount).alias("penny")).agg(F.count(F.lit(1)).alias("n"))
@@ -23,31 +19,23 @@ def penny_counts(df: DataFrame, keys: list[str], amount: Column) -> DataFrame:
 def middle_of_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
     """keys, copies, low, high and ``twice`` the exact median of counted whole numbers (``penny``, ``n``).
 
-    One flow without a join, so the counts are worked out once. A cell holds at most ``CELL`` different values,
-    whatever the number of rows behind them, and a group's cells are as many as its range of values needs.
+    A group is as many rows as it has different values, never as many as the rows behind them; those rows are
+    sorted and summed up in passing, and can spill.
     """
-    cells = counts.groupBy(*keys, F.floor(F.col("penny") / CELL).cast("bigint").alias("cell")).agg(
-        F.sum("n").alias("cell_n"), F.min("penny").alias("cell_low"), F.max("penny").alias("cell_high"),
-        F.collect_list(F.struct("penny", "n")).alias("values"))
     group = Window.partitionBy(*keys)
-    running = (Window.unboundedPreceding, Window.currentRow)
-    middle = (
-        cells.withColumn("before", F.sum("cell_n").over(group.orderBy("cell").rowsBetween(*running)) - F.col("cell_n"))
-        .withColumn("copies", F.sum("cell_n").over(group))
-        .withColumn("low", F.min("cell_low").over(group))
-        .withColumn("high", F.max("cell_high").over(group))
-        .withColumn("first", F.expr("(copies + 1) div 2"))
-        .withColumn("second", F.expr("(copies + 2) div 2"))
-        .where((F.col("before") < F.col("second")) & (F.col("before") + F.col("cell_n") >= F.col("first")))
-        .select(*keys, "cell", "before", "copies", "low", "high", "first", "second", F.inline("values"))
+    ordered = group.orderBy("penny").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = (
+        counts.withColumn("upto", F.sum("n").over(ordered))
+        .withColumn("copies", F.sum("n").over(group))
+        .withColumn("low", F.min("penny").over(group))
+        .withColumn("high", F.max("penny").over(group))
     )
-    inside = Window.partitionBy(*keys, "cell").orderBy("penny").rowsBetween(*running)
-    ranked = middle.withColumn("upto", F.col("before") + F.sum("n").over(inside))
-    at = lambda rank: F.max(F.when(
-        (F.col("upto") - F.col("n") < F.col(rank)) & (F.col("upto") >= F.col(rank)), F.col("penny")))
-    return ranked.groupBy(*keys).agg(
+    first, second = F.expr("(copies + 1) div 2"), F.expr("(copies + 2) div 2")
+    holds = lambda rank: (F.col("upto") - F.col("n") < rank) & (F.col("upto") >= rank)
+    at = lambda rank: F.max(F.when(holds(rank), F.col("penny")))
+    return ranked.where(holds(first) | holds(second)).groupBy(*keys).agg(
         F.first("copies").alias("copies"), F.first("low").alias("low"), F.first("high").alias("high"),
-        (at("first") + at("second")).alias("twice"))
+        (at(first) + at(second)).alias("twice"))
 
 
 def median_of_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
