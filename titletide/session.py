@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -48,3 +49,9 @@ def spread(df: DataFrame) -> DataFrame:
     Tables with enough splits are left as they are, so large inputs never pay for the shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """A broadcast hint for a narrow lookup that a count shows to be small; a larger one is left to a shuffle join.
+    For lookups that are joins themselves, whose size the planner can only overestimate. The count stops at the limit."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

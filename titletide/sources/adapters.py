@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from titletide.functions import text as X
 from titletide.functions.numbers import pennies
 from titletide.operators.medians import group_medians
-from titletide.session import spread
+from titletide.session import broadcast_if_small, spread
 
 # Which marketplace and currency each region stands for.
 SITE_OF_REGION = {"AMERICA": "US", "EUROPE": "UK", "ASIA": "DE", "AFRICA": "FR", "MIDDLE EAST": "IT"}
@@ -35,13 +35,14 @@ def month_number(c: Column) -> Column:
 def supplier_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """l_suppkey, site, currency."""
     site = lookup(SITE_OF_REGION, F.col("r_name"))
-    return (
+    sites = (
         table(spark, sf_dir, "supplier")
         .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .select(F.col("s_suppkey").alias("l_suppkey"), site.alias("site"),
                 lookup(CURRENCY_OF_SITE, site).alias("currency"))
     )
+    return broadcast_if_small(sites)
 
 
 def priced_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
