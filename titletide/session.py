@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
+import re
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,14 +33,42 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="titletide-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+    """The shared folder the cluster names in ``spark.checkpoint.dir``, else the one its context was given.
+
+    Only a run inside one machine may go without: it gets a temporary folder, removed when Python ends. Anywhere else a
+    missing setting is an error, as a folder of one machine is invisible to the others."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = tempfile.mkdtemp(prefix="titletide-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+def forget(spark: SparkSession, folder: str) -> None:
+    """Removes a folder of the shared store, wherever it is."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """The same rows written as Parquet under the shared folder and read back: a lineage cut that keeps column pruning
+    and statistics, survives lost executors and is read as often as needed. Removed when Python ends."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    atexit.register(_forget_quietly, spark, folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def _forget_quietly(spark: SparkSession, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone before Python is
+        forget(spark, folder)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The same rows read back from a reliable checkpoint, so that loops do not grow the plan."""
     context = df.sparkSession.sparkContext
