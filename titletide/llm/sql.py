@@ -21,7 +21,7 @@ SQL = {
             SELECT doc_id, size, xor(4294967295::UBIGINT, list_reduce(
                 list_concat([4294967295::UBIGINT], list_transform(range(size - 8),
                     lambda i: ('0x' || substr(digits, 2 * i + 1, 2))::UBIGINT)),
-                lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1])))::BIGINT AS text_crc32
+                lambda c, b: xor(c >> 8, step[((xor(c, b) & 255) + 1)::BIGINT])))::BIGINT AS text_crc32
             FROM read, steps
         ), summed AS (
             SELECT *, sum(size) OVER (ORDER BY doc_id, text_crc32, size ROWS UNBOUNDED PRECEDING) AS upto,
