@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from titletide.llm import exact, sharding, simhash, tokens
+from titletide.llm import embeddings, exact, language, packing, quality, reuse, sharding, simhash, tokens
 from titletide.llm.sql import SQL as SQL  # noqa: PLC0414 - the twins are read from here
 
 
@@ -29,4 +29,25 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_simhash_dedup, op4_token_counts)}
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_sequences(documents(spark, sf_dir)).drop("text_crc32")
+
+
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict_languages(documents(spark, sf_dir)).drop("text_key")
+
+
+def op10_bpe_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reuse.encoded(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_simhash_dedup, op4_token_counts, op5_quality,
+                                   op7_best_fit_packing, op8_embedding_dedup, op9_language_id, op10_bpe_reuse)}
