@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from titletide.llm import embeddings, exact, language, packing, quality, reuse, sharding, simhash, tokens
+from titletide.llm import embeddings, exact, language, packing, quality, repeats, reuse, sharding, simhash, tokens
 from titletide.llm.sql import SQL as SQL  # noqa: PLC0414 - the twins are read from here
 
 
@@ -33,6 +33,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(documents(spark, sf_dir))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_sequences(documents(spark, sf_dir)).drop("text_crc32")
 
@@ -50,4 +54,5 @@ def op10_bpe_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_simhash_dedup, op4_token_counts, op5_quality,
-                                   op7_best_fit_packing, op8_embedding_dedup, op9_language_id, op10_bpe_reuse)}
+                                   op6_repeated_passages, op7_best_fit_packing, op8_embedding_dedup, op9_language_id,
+                                   op10_bpe_reuse)}
