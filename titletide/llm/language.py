@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from titletide.llm.common import crc_of, ids_and_texts
+from titletide.llm.common import crc_of
 
 ORDERS = (1, 2, 3)  # lengths of n-grams, in characters
 PROFILE = 400  # n-grams of a language's profile
@@ -146,8 +147,8 @@ def _judge(profiles: Profiles):
         for batch in batches:
             found = [profiles.judge(x) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_key"), pa.array([f[0] for f in found], pa.string()),
-                 pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "text_key", "lang_pred", "score"])
+                [batch.column("doc_id"), batch.column("row"), pa.array([f[0] for f in found], pa.string()),
+                 pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "row", "lang_pred", "score"])
     return run
 
 
@@ -157,8 +158,8 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                      sample: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, text_key of every row.
+                      sample: int = SAMPLE, whole_rows: bool = False) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every row, and with ``whole_rows`` also row: all columns in one struct.
 
     Profiles are learned from about ``sample`` documents of each language, among those that are not held out and have a
     language and a text; they have ``PROFILE`` n-grams each, which is all that goes through the driver. Whole texts are
@@ -170,6 +171,10 @@ def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                         F.col(lang_col).cast("string").alias("lang"))
     learn = known.where("text IS NOT NULL AND lang IS NOT NULL").where(~held_out())
     profiles = Profiles([tuple(r) for r in learn_profiles(learn, sample).collect()])
-    read = ids_and_texts(docs, id_col, text_col).withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    judged = read.mapInArrow(_judge(profiles), "doc_id long, text_key long, lang_pred string, score double")
-    return judged.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "text_key")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if whole_rows else F.lit(None).cast("boolean")
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row.alias("row"))
+    schema = T.StructType([read.schema["doc_id"], read.schema["row"], T.StructField("lang_pred", T.StringType()),
+                           T.StructField("score", T.DoubleType())])
+    judged = read.mapInArrow(_judge(profiles), schema)
+    out = judged.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "row")
+    return out if whole_rows else out.drop("row")

@@ -46,13 +46,19 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.predict_languages(documents(spark, sf_dir)).drop("text_key")
+    return language.predict_languages(documents(spark, sf_dir))
 
 
 def op10_bpe_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reuse.encoded(documents(spark, sf_dir))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it imports the operators, and so comes last
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_simhash_dedup, op4_token_counts, op5_quality,
                                    op6_repeated_passages, op7_best_fit_packing, op8_embedding_dedup, op9_language_id,
-                                   op10_bpe_reuse)}
+                                   op10_bpe_reuse, pipeline)}

@@ -442,7 +442,7 @@ def merged(docs: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> tuple[np.nd
     return docs[head], lows[head], reach[last] - docs[head] * wide
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, carried string"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, carried string"
 
 
 def _remove(keep: bool):
@@ -467,8 +467,9 @@ def _remove(keep: bool):
                 kept.append(raw[at:end])
                 body = b"".join(kept)
                 rows.append((int(block.ids[i]) if block.known[i] else None, end - start, removed, edges[i + 1] - edges[i],
-                             hashlib.sha256(body).hexdigest(), body if keep else None, block.carried[i].decode() if keep else None))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string())
+                             hashlib.sha256(body).hexdigest(),
+                             body.decode("utf-8", "ignore") if keep else None, block.carried[i].decode() if keep else None))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
             for low in range(0, len(rows), 2000):
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[low:low + 2000]], k) for i, k in enumerate(kinds)],
                                                  names=[x.split()[0] for x in RESULT.split(", ")])
@@ -477,8 +478,8 @@ def _remove(keep: bool):
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None,
                     hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with ``carry`` (names of other columns, which may
-    be an empty list) also kept, the remaining bytes, and carried, those columns as a JSON object.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with ``carry`` (names of other columns, which may be
+    an empty list) also kept, the remaining bytes, and carried, those columns as a JSON object.
 
     Texts are bytes in UTF-8, null counts as empty, and a removed stretch may part the bytes of a character. Strings are
     judged on the input. A string that only the same document repeats stays. Rows that share an id never take anything
@@ -508,4 +509,4 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     phrases = at_blocks(shared).mapInArrow(_phrases(buckets), MESSAGE)
     found = at_buckets(phrases).mapInArrow(_repeats, MESSAGE)
     result = at_blocks(found).mapInArrow(_remove(carry is not None), RESULT)
-    return result if carry is not None else result.drop("kept", "carried")
+    return result if carry is not None else result.drop("kept_text", "carried")
