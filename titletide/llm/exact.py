@@ -24,6 +24,7 @@ from titletide.llm.common import ids_and_texts, partitions_for
 from titletide.session import stored
 
 STRETCH = 32 << 20  # bytes of different texts that a map task folds at once
+SPARK_SEED = 42  # of Spark's xxhash64
 OWNED = 16 << 20  # bytes of text that an owner should get
 ENTRY = "doc_id long, key long, text_sha256 string, n_bytes long, text_key long"
 FOLDED = "owner int, key long, text_sha256 string, body binary, keep_id long, copies long"
@@ -50,7 +51,7 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [(_signed(_key(b := x.as_py())), hashlib.sha256(b).hexdigest(), len(b)) for x in bodies]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()),
-             pa.array([r[2] for r in rows], pa.int64()), pa.array([_signed(_key(x.as_py())) for x in raw], pa.int64())],
+             pa.array([r[2] for r in rows], pa.int64()), pa.array([_signed(xxhash.xxh64_intdigest(x.as_py(), SPARK_SEED)) for x in raw], pa.int64())],
             names=["doc_id", "key", "text_sha256", "n_bytes", "text_key"])
 
 
@@ -160,8 +161,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Texts are equal when they are the same after lower-casing A-Z; null counts as empty. Of a group the row with the
     largest id stays. Rows without an id count in ``group_size`` and stay only if their group has no id at all. Rows
-    that repeat id and text are marked alike, as nothing tells them apart. ``text_key`` is a hash of the text as
-    written, for joining the answer back to rows whose ids repeat. An empty table gives an empty result.
+    that repeat id and text are marked alike, as nothing tells them apart. ``text_key`` is Spark's
+    xxhash64 of the text as written, for joining the answer back to rows whose ids repeat. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     docs = ids_and_texts(docs, id_col, text_col)

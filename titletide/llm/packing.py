@@ -2,8 +2,8 @@
 
 Texts become ids once; only lengths and checksums go on. The pieces are dealt to groups, each group is packed by
 best-fit decreasing, and dual feasible functions give a lower bound on its bins: a group that meets its bound cannot be
-packed better. Groups that miss theirs keep the bins that are full, put the rest of their pieces together, are dealt
-anew, and run again, for as long as that saves bins.
+packed better by itself. Groups that miss theirs give up all bins that are not full, the others only the bin they opened
+last; these pieces are exchanged, dealt to fewer groups, and packed again, for as long as that saves bins.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ END = 0  # the id that follows every document
 GROUP = 8192  # pieces of a group
 ROUNDS = 6
 PIECE = "doc_id long, text_crc32 long, piece int, start long, length long, ids_crc32 long"
-PLACED = PIECE + ", place long, group int, sequence_id long, offset long, free long, gap long"
+PLACED = PIECE + ", place long, group int, sequence_id long, offset long, free long, given_up boolean"
 
 
 def _pieces(vocabulary: str, capacity: int, end: int):
@@ -98,7 +98,7 @@ def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int], l
 
 
 def _pack(capacity: int, round_no: int):
-    """Rows of a group, longest first, get their bins; ``gap`` says how many bins the group is above its bound."""
+    """Rows of a group, longest first, get their bins; ``given_up`` says whether a bin's pieces may be exchanged."""
     def done(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
         lengths = rows.column("length").to_numpy()
@@ -108,8 +108,10 @@ def _pack(capacity: int, round_no: int):
         base = (round_no << 56) + (group << 28)
         places = np.array(bins, dtype=np.int64)
         columns = {name: rows.column(name) for name in rows.schema.names}
-        columns |= {"sequence_id": pa.array(places + base), "offset": pa.array(offsets, pa.int64()),
-                    "free": pa.array(np.array(free, dtype=np.int64)[places]), "gap": pa.array([gap] * len(bins), pa.int64())}
+        room = np.array(free, dtype=np.int64)[places]
+        given_up = (room > 0) & ((gap > 0) | (places == len(free) - 1))
+        columns |= {"sequence_id": pa.array(places + base), "offset": pa.array(offsets, pa.int64()), "free": pa.array(room),
+                    "given_up": pa.array(given_up)}
         names = [x.split()[0] for x in PLACED.split(", ")]
         return pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
 
@@ -131,27 +133,27 @@ def _pack(capacity: int, round_no: int):
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
-    """The pieces, each with a number ``place`` of its own, with group, sequence_id, offset, free (room left in the sequence) and gap, packed in rounds."""
+    """The pieces, each with a number ``place`` of its own, and their group, sequence_id, offset and free, the room left
+    in the sequence. Without a saving the bins of before hold, and the next round draws other groups."""
     columns = [*(x.split()[0] for x in PIECE.split(", ")), "place"]
     settled: list[DataFrame] = []
-    pool, best, waiting = pieces, None, pieces.count()
+    pool, used, waiting = pieces, None, pieces.count()
     for round_no in range(rounds):
         groups = max(1, -(-waiting // GROUP))
         draw = F.pmod(F.xxhash64("place", F.lit(round_no)), F.lit(groups)).cast("int")
         met = pool.select(*columns).withColumn("group", draw).repartition(groups, "group").sortWithinPartitions(
             "group", F.desc("length"), "place")
         packed = stored(met.mapInArrow(_pack(capacity, round_no), PLACED), "packing-round")
-        open_rows = F.expr("gap > 0 AND free > 0")
-        bins = packed.agg(F.count_if(F.col("offset") == 0), F.count_if(open_rows & (F.col("offset") == 0)),
-                          F.count_if(open_rows)).first()
-        if best is not None and bins[0] >= best[1]:
-            settled.append(best[0])  # this exchange saved nothing: the bins of the round before hold
-            return _all(settled)
-        if not bins[1]:
-            return _all([*settled, packed])
-        settled.append(packed.where("gap <= 0 OR free = 0"))
-        pool, waiting = packed.where(open_rows), bins[2]
-        best = (pool, bins[1])
+        opens, given_up = F.col("offset") == 0, F.col("given_up")
+        bins, bins_given_up, next_waiting = packed.agg(
+            F.count_if(opens), F.count_if(opens & given_up), F.count_if(given_up)).first()
+        if used is None or bins < used:
+            if groups == 1:
+                return _all([*settled, packed])
+            settled.append(packed.where(~given_up))
+            pool, used, waiting = packed.where(given_up), bins_given_up, next_waiting
+        elif groups == 1:
+            break
     return _all([*settled, pool])
 
 
