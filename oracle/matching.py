@@ -35,7 +35,7 @@ dict AS (
     ({quoted(vocab.DISTINCTIVE_SHORT)}) AND (regexp_matches(norm, '^[0-9]+$') OR NOT regexp_matches(norm, '[0-9]'))
     AS needs_context FROM lib WHERE length(norm) < 8
   UNION ALL SELECT norm, title, 100, 'fuzzy', false FROM lib WHERE length(norm) >= 8
-    AND len(string_split(norm, ' ')) BETWEEN 2 AND 6
+    AND len(string_split(norm, ' ')) >= 2
     AND len(list_filter(string_split(norm, ' '), lambda t: t NOT IN ({STOP}))) > 0
   UNION ALL SELECT gram, title, 92, 'variant', true FROM half
     WHERE len(list_filter(string_split(gram, ' '), lambda t: t IN (SELECT token FROM rare))) > 0)"""
@@ -48,9 +48,9 @@ FOUND = LIBRARY + f""", docs AS (SELECT doc_id AS doc, source = 'src1' OR {CONTE
     string_split({normalised('text')}, ' ') AS t FROM documents),
 pos AS (SELECT doc, context, t, unnest(range(0, len(t))) AS start FROM docs WHERE t <> ['']),
 gram AS (SELECT doc, context, start, n, array_to_string(t[start + 1:start + n], ' ') AS gram
-  FROM pos, (SELECT unnest(range(1, 7)) AS n) WHERE start + n <= len(t)),
+  FROM pos, (SELECT unnest(range(1, (SELECT max(len(string_split(gram, ' '))) FROM dict) + 1)) AS n) WHERE start + n <= len(t)),
 found AS (SELECT doc, title, method, gram, start FROM gram JOIN dict USING (gram)
-  WHERE (NOT needs_context OR context) AND (method = 'fuzzy' OR n <= 4))"""
+  WHERE NOT needs_context OR context)"""
 
 SQL = {
     "title_dictionary": f"WITH {LIBRARY} SELECT * FROM dict",

@@ -117,7 +117,8 @@ SELECT title, row_number() OVER (PARTITION BY title ORDER BY latest DESC, source
     "filtered_feed": f"""WITH {NAMED} SELECT event_id, feed, headline FROM named
 WHERE source_type IN ('news', 'podcast') AND (headline LIKE '%7%' OR source LIKE '%7%' OR title LIKE '%7%')
   AND feed IN (SELECT feed FROM items WHERE ts >= {NOW} - INTERVAL 1 DAY)""",
-    "newest_per_feed": f"""WITH {ITEMS}, r AS (SELECT event_id, feed, source_type, row_number() OVER (PARTITION BY feed
+    "newest_per_feed": f"WITH {ITEMS} SELECT event_id, feed FROM items WHERE trim(headline) <> ''",
+    "newest_entries": f"""WITH {ITEMS}, r AS (SELECT event_id, feed, source_type, row_number() OVER (PARTITION BY feed
   ORDER BY CASE WHEN source_type IN ('news', 'reddit') THEN NULL ELSE ts END DESC NULLS LAST, event_id) AS rank
   FROM items)
 SELECT event_id, feed, rank FROM r WHERE rank <= CASE source_type WHEN 'reddit' THEN 20 ELSE 10 END""",
@@ -135,7 +136,7 @@ HAVING count(*) > 1""",
   SELECT count(*) AS core_feeds, count(*) FILTER (NOT ok) AS core_failures FROM h)
 SELECT core_feeds, core_failures, (SELECT count(*) FROM events) AS items,
   core_feeds > 0 AND ((SELECT count(*) FROM events) = 0 OR core_failures > core_feeds // 2) AS abort FROM v""",
-    "check_order": f"""WITH {STATS}, top AS (SELECT title FROM stats ORDER BY mentions DESC, title LIMIT 60)
+    "check_order": f"""WITH {STATS}, top AS (SELECT title FROM stats)
 SELECT title, CAST(CASE WHEN last_day > 0 THEN 1 WHEN title IN (SELECT title FROM top) THEN 2 ELSE 3 END AS BIGINT)
   AS step, CASE WHEN last_day > 0 THEN last_day ELSE mentions END AS weight FROM stats""",
     "title_levels": levels(5, 1, "SELECT NULL AS title, CAST(NULL AS TIMESTAMP) AS held_until WHERE false"),
@@ -147,7 +148,7 @@ chg AS (SELECT replace(l.title, 'Brand#', 'title ') AS title,
     round_even(avg((l.median - w.week_median) / w.week_median * 100), 1) AS change_pct
   FROM latest l JOIN week w USING (title, site) WHERE l.site IN ('US', 'UK') AND l.copies >= 3 AND w.week_median > 0
   GROUP BY l.title),
-top AS (SELECT * FROM stats ORDER BY mentions DESC, title LIMIT 60),
+top AS (SELECT * FROM stats),
 sig AS (SELECT top.title, mentions, sources, views, change_pct, trend_pct,
     round_even(least(100, greatest(0, 50 + 33 * log2(((top.recent + 2) / 3) / ((top.prior + 6) / 11)))), 1) AS momentum,
     round_even(sources / (SELECT max(sources) FROM top) * 100, 1) AS breadth,
@@ -176,13 +177,24 @@ kept AS (SELECT * FROM stored WHERE NOT EXISTS (SELECT 1 FROM x WHERE NOT ({OLD}
   AND x.source = stored.s AND x.headline = stored.h)),
 fresh AS (SELECT month, source AS s, headline AS h, min(ts) AS d, min_by(source_type, (ts, source_type, link)) AS t,
     min_by(link, (ts, source_type, link)) AS l FROM x WHERE digital AND NOT ({OLD}) GROUP BY ALL)
+SELECT * FROM kept UNION ALL SELECT * FROM fresh WHERE NOT EXISTS (SELECT 1 FROM kept
+  WHERE kept.month = fresh.month AND kept.s = fresh.s AND kept.h = fresh.h)""",
+    "digital_archive": f"""WITH {ITEMS}, x AS (SELECT *, strftime(ts, '%Y-%m') AS month, digital AND NOT ({OLD}) AS still FROM items),
+stored AS (SELECT month, source AS s, headline AS h, min(ts) AS d, min_by(source_type, (ts, source_type, link)) AS t,
+    min_by(link, (ts, source_type, link)) AS l FROM x WHERE digital GROUP BY ALL),
+kept AS (SELECT * FROM stored WHERE NOT EXISTS (SELECT 1 FROM x WHERE NOT still
+  AND x.source = stored.s AND x.headline = stored.h)),
+fresh AS (SELECT month, source AS s, headline AS h, min(ts) AS d, min_by(source_type, (ts, source_type, link)) AS t,
+    min_by(link, (ts, source_type, link)) AS l FROM x WHERE still GROUP BY ALL)
 SELECT * FROM kept UNION ALL SELECT * FROM fresh WHERE NOT EXISTS (SELECT 1 FROM kept
   WHERE kept.month = fresh.month AND kept.s = fresh.s AND kept.h = fresh.h)""",
     "digital_days": f"""WITH {ITEMS}, x AS (SELECT strftime(ts, '%Y-%m') AS m, strftime(ts, '%Y-%m-%d') AS d FROM items
   WHERE digital)
 SELECT 'total' AS grouping, 'all' AS key, count(*) AS stories FROM x
 UNION ALL SELECT 'month', m, count(*) FROM x GROUP BY m UNION ALL SELECT 'day', d, count(*) FROM x GROUP BY d""",
-    "snapshot": f"""WITH {MERGED}, n AS (SELECT count(*) AS n, count(title) AS named FROM merged),
+    "snapshot": f"""WITH {MERGED} SELECT link AS key, event_id, feed, ts, title AS matched_game,
+  CASE WHEN fuzzy THEN 'fuzzy' ELSE 'exact' END AS match_method FROM merged""",
+    "trimmed_snapshot": f"""WITH {MERGED}, n AS (SELECT count(*) AS n, count(title) AS named FROM merged),
 c AS (SELECT CASE WHEN n <= 450 THEN 500 ELSE greatest(500, least(CAST(ceil(floor(n / 0.9) / 100) * 100 AS BIGINT), 900))
   END AS ceiling, named FROM n),
 r AS (SELECT *, row_number() OVER (PARTITION BY title IS NOT NULL ORDER BY date_trunc('minute', ts) DESC, ts DESC, link)
@@ -207,15 +219,13 @@ SELECT CAST(0 AS BIGINT) AS added, count(*) FILTER (ts < {NOW} - INTERVAL 14 DAY
       ELSE 'IT' END AS site, c_name AS title
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
   JOIN region ON n_regionkey = r_regionkey),
-recent AS (SELECT * FROM spent WHERE day IN (SELECT DISTINCT day FROM spent ORDER BY day DESC LIMIT 14)),
+recent AS (SELECT * FROM spent),
 g AS (SELECT day, 'total' AS grouping, NULL AS level, NULL AS site, NULL AS title, count(*) AS searches
     FROM recent GROUP BY day
   UNION ALL SELECT day, 'level_site', level, site, NULL, count(*) FROM recent GROUP BY ALL
   UNION ALL SELECT day, 'title', NULL, NULL, title, count(*) FROM recent GROUP BY ALL
-  UNION ALL SELECT day, 'level_title', level, NULL, title, count(*) FROM recent GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY day, grouping, level ORDER BY searches DESC, title, site) AS rk FROM g)
-SELECT day, grouping, level, site, title, searches FROM r
-WHERE rk <= CASE grouping WHEN 'title' THEN 400 WHEN 'level_title' THEN 100 ELSE rk END""",
+  UNION ALL SELECT day, 'level_title', level, NULL, title, count(*) FROM recent GROUP BY ALL)
+SELECT day, grouping, level, site, title, searches FROM g""",
     "run_verdict": f"""WITH {prices.HISTORY}, o AS (SELECT * FROM hist WHERE period = {prices.LAST} - 2),
 n AS (SELECT title, site, copies, copies = 1 AS failed FROM hist WHERE period = {prices.LAST} - 1),
 v AS (SELECT count(*) AS lookups, count(*) FILTER (n.site IN ('US', 'UK')) AS main,

@@ -58,9 +58,9 @@ SELECT * FROM crowd WHERE published""",
   CAST(sum(complete) AS BIGINT) AS complete, CAST(sum(loose) AS BIGINT) AS loose FROM owned
 WHERE sealed + complete + loose > 0 GROUP BY game HAVING count(*) >= 5""",
     "wanted": f"""WITH {OWNED} SELECT game, count(DISTINCT account) AS accounts FROM owned
-WHERE sealed + complete + loose > 0 GROUP BY game ORDER BY accounts DESC, game LIMIT 3000""",
+WHERE sealed + complete + loose > 0 GROUP BY game ORDER BY accounts DESC, game""",
     "wanted_sealed": f"""WITH {OWNED} SELECT game, count(DISTINCT account) AS accounts FROM owned
-WHERE sealed > 0 GROUP BY game HAVING count(DISTINCT account) >= 2 ORDER BY accounts DESC, game LIMIT 3000""",
+WHERE sealed > 0 GROUP BY game HAVING count(DISTINCT account) >= 2 ORDER BY accounts DESC, game""",
     "euro_history": f"""WITH {prices.HISTORY}, c AS (SELECT title, site, period, median AS amount,
     CASE site WHEN 'US' THEN 'USD' WHEN 'UK' THEN 'GBP' ELSE 'EUR' END AS currency FROM hist)
 SELECT *, round(CASE currency WHEN 'USD' THEN amount / 1.25 WHEN 'GBP' THEN amount / 0.8 ELSE amount END, 6) AS eur,

@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from titletide import schemas
+from titletide import schemas, session
 from titletide.config import Settings
 from titletide.operators import archive as ar
 from titletide.operators import demand as dm
@@ -64,7 +64,7 @@ def test_trim_keeps_named_rows_first(spark):
     kept = {r.key for r in sn.priority_trim(sn.with_key(items(spark, *rows)), settings).collect()}
     assert kept == {f"https://n/{d}" for d in range(6)} | {"https://o/0", "https://o/1"}
     ceilings = spark.createDataFrame([(100,), (27000,), (27001,), (50000,), (500000,)], "n INT").select(
-        sn.ceiling_for(F.col("n")).cast("int").alias("c"))
+        sn.ceiling_for(F.col("n"), Settings(row_ceiling=30000)).cast("int").alias("c"))
     assert [r.c for r in ceilings.collect()] == [30000, 30000, 35000, 60000, 80000]
 
 
@@ -95,6 +95,44 @@ def test_digital_archive(spark, tmp_path):
     assert index[("total", "all")] == 2 and index[("month", "2026-10")] == 2
 
 
+def test_a_month_without_stories_leaves_the_archive(spark, tmp_path):
+    path = str(tmp_path / "digital")
+    old, new = item(60, headline="no discs", digital=True), item(1, headline="all digital", digital=True)
+    sinks.write_digital(items(spark, old, new), path)
+    assert {r.month for r in spark.read.parquet(path).collect()} == {"2026-08", "2026-10"}
+    sinks.write_digital(items(spark, item(60, headline="no discs"), new), path)
+    assert {r.h for r in spark.read.parquet(path).collect()} == {"all digital"}
+    sinks.write_digital(items(spark, item(60, headline="no discs"), item(1, headline="all digital")), path)
+    assert sinks.stored(spark, path, ar.digital_rows(items(spark, old))).count() == 0
+
+
+def test_long_headlines_are_told_apart(spark, tmp_path):
+    start = "word " * 40
+    path = str(tmp_path / "archive")
+    frame = items(spark, item(1, "Ico", headline=start + "one"), item(1, "Ico", headline=start + "two"))
+    assert sinks.append_archive(frame, path) == 2
+    assert sinks.append_archive(frame, path) == 0
+
+
+class Session:
+    """A session of which only the settings that name the shared folder are asked."""
+
+    def __init__(self, master, setting=None, folder=None):
+        self.conf = {"spark.checkpoint.dir": setting} if setting else {}
+        self.sparkContext = self
+        self.master = master
+        self.getCheckpointDir = lambda: folder
+
+
+def test_shared_folder(spark):
+    assert session.shared_folder(Session("yarn", "hdfs:///a", "hdfs:///b")) == "hdfs:///a"
+    assert session.shared_folder(Session("yarn", None, "hdfs:///b")) == "hdfs:///b"
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
+        with pytest.raises(RuntimeError):
+            session.shared_folder(Session(master))
+    assert session.stored(spark.range(3), "trial").count() == 3
+
+
 def test_demand(spark):
     stats = spark.createDataFrame([("A", 10, 8, 2, 2, 5, 1000, 1), ("B", 2, 0, 2, 0, 1, 0, 0)],
                                   "title STRING, mentions BIGINT, recent BIGINT, prior BIGINT, last_day BIGINT, sources BIGINT, views BIGINT, videos BIGINT")

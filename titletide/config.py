@@ -11,26 +11,24 @@ class Settings:
     # Title matching
     headline_threshold: int = 88
     body_threshold: int = 93
-    near_threshold: int = 85
     short_title_chars: int = 8
-    gram_words: int = 6
+    gram_words: int = 6  # longest run that is tried at least; longer titles raise it
     gram_chars: int = 8
-    dictionary_gram_words: int = 4
-    body_words: int = 120
+    dictionary_gram_words: int | None = None  # None: as long as the entries are
     common_token_share: float = 0.01
     common_token_floor: int = 30
     library_min_titles: int = 500
 
     # Snapshot
     retention_days: int = 14
-    row_ceiling: int = 30000
+    row_ceiling: int | None = None  # None: no trim; a ceiling is raised in steps up to the maximum
     ceiling_step: int = 5000
     ceiling_max: int = 80000
-    entries_per_feed: int = 50
-    entries_per_reddit_feed: int = 100
+    entries_per_feed: int | None = None  # None: all
+    entries_per_reddit_feed: int | None = None
 
     # Demand
-    demand_titles: int = 60
+    demand_titles: int | None = None  # None: every title
     recent_days: int = 3
     baseline_days: int = 11
     trend_days: int = 7
@@ -93,7 +91,7 @@ class Settings:
     max_price: float = 20000.0
     max_copies: int = 99
     months_back: int = 24
-    wanted_limit: int = 3000
+    wanted_limit: int | None = None  # None: every title
 
     # Spelling audit
     audit_more_copies: int = 3
@@ -108,9 +106,9 @@ class Settings:
     sealed_every_hours: int = 24
     daily_searches: int = 4950
     searches_per_run: int = 500
-    search_log_titles: int = 400
-    search_log_level_titles: int = 100
-    search_log_days: int = 14
+    search_log_titles: int | None = None  # None: every title, and every day
+    search_log_level_titles: int | None = None
+    search_log_days: int | None = None
     rare_extra_top: int = 50
 
 

@@ -333,8 +333,8 @@ def is_digital_only(c: Column) -> Column:
     return ~unicode_rlike(c, vocab.DIGITAL_HOWTO) & (going | worded)
 
 
-def collectible_terms(c: Column) -> Column:
-    """At most three labels for why an article calls a title a rare collectible, in order of appearance."""
+def collectible_terms(c: Column, most: int | None = None) -> Column:
+    """Labels for why an article calls a title a rare collectible, in order of appearance."""
     sentences = F.filter(
         F.split(F.coalesce(c, F.lit("")), r"(?<=[.!?])\s+", -1),
         lambda s: ~unicode_rlike(s, vocab.IN_WORLD_WORDS),
@@ -344,17 +344,20 @@ def collectible_terms(c: Column) -> Column:
         hits = [F.when(unicode_rlike(sentence, p), F.lit(name)) for name, p in vocab.COLLECTIBLE]
         return F.array_compact(F.array(*hits))
 
-    return F.slice(F.array_distinct(F.flatten(F.transform(sentences, labels))), 1, 3)
+    found = F.array_distinct(F.flatten(F.transform(sentences, labels)))
+    return found if most is None else F.slice(found, 1, most)
 
 
-def article_check(c: Column) -> Column:
-    """What an article says: is it about a video game, does it name the platform, which labels apply."""
-    lead = F.lower(F.substring(F.coalesce(c, F.lit("")), 1, 700))
-    about = lead.contains("video game") | F.substring(lead, 1, 300).contains("game")
+def article_check(c: Column, lead: int | None = None, opening: int | None = None, labels: int | None = None) -> Column:
+    """What an article says: is it about a video game (its lead says so, or its opening names a game), does it name the
+    platform, which labels apply. The whole text counts as lead and opening unless their lengths are given."""
+    text = F.lower(F.coalesce(c, F.lit("")))
+    part = lambda n: text if n is None else F.substring(text, 1, n)
+    about = part(lead).contains("video game") | part(opening).contains("game")
     return F.struct(
         about.alias("is_game"),
         F.coalesce(c, F.lit("")).rlike("(?U)" + vocab.ARTICLE_PLATFORM).alias("names_platform"),
-        collectible_terms(c).alias("collectible"),
+        collectible_terms(c, labels).alias("collectible"),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from titletide.functions import text as X
@@ -10,7 +10,12 @@ from titletide.operators.medians import top_k
 from titletide.operators.mentions import mentions
 from titletide import vocab
 
-MENTION_KEY = ["g", "s", "h", "k"]
+MENTION_KEY = ["g", "w", "k"]
+
+
+def story_key() -> Column:
+    """A digest of the whole source and headline: what tells stories apart. ``s`` and ``h`` are short forms for show."""
+    return F.md5(F.concat_ws("\x1f", F.coalesce("source", F.lit("")), X.squash(F.col("headline"))))
 
 
 def archive_rows(items: DataFrame) -> DataFrame:
@@ -27,6 +32,7 @@ def archive_rows(items: DataFrame) -> DataFrame:
         tone.cast("int").alias("n"),
         F.coalesce("is_remaster_rumor", F.lit(False)).alias("r"),
         F.col("match_method").alias("m"),
+        story_key().alias("w"),
         F.date_format("ts", "yyyy-MM").alias("month"),
     )
 
@@ -41,9 +47,9 @@ def new_mentions(rows: DataFrame, stored: DataFrame) -> DataFrame:
     fresh = _keyed(rows)
     known = _keyed(stored).select("month", *MENTION_KEY).distinct()
     unseen = fresh.join(known, ["month", *MENTION_KEY], "left_anti")
-    columns = [c for c in rows.columns if c not in ("g", "s", "h", "month")]
+    columns = [c for c in rows.columns if c not in ("g", "w", "month")]
     first = F.min_by(F.struct(*columns), F.struct("d", "t")).alias("row")
-    return unseen.groupBy("month", *MENTION_KEY).agg(first).select("month", "g", "s", "h", "row.*")
+    return unseen.groupBy("month", *MENTION_KEY).agg(first).select("month", "g", "w", "row.*")
 
 
 def archive_index(stored: DataFrame, k: int = 5) -> DataFrame:
@@ -65,21 +71,26 @@ def digital_rows(items: DataFrame) -> DataFrame:
         F.substring(F.coalesce("source", F.lit("")), 1, 60).alias("s"),
         F.coalesce("source_type", F.lit("news")).alias("t"),
         F.when(link.rlike("^https?://"), link).alias("l"),
+        story_key().alias("w"),
         F.date_format("ts", "yyyy-MM").alias("month"),
     )
 
 
 def merge_digital(snapshot: DataFrame, stored: DataFrame) -> DataFrame:
     """The stored stories without those still in the snapshot but no longer flagged, plus the new ones."""
-    cleared = snapshot.where("is_digital_only = false").select(
-        F.substring(F.coalesce("source", F.lit("")), 1, 60).alias("s"), X.shorten(F.col("headline")).alias("h"))
-    kept = stored.join(cleared.distinct(), ["s", "h"], "left_anti")
-    fresh = digital_rows(snapshot).join(kept.select("month", "s", "h").distinct(), ["month", "s", "h"], "left_anti")
-    first = F.min_by(F.struct("d", "t", "l"), F.struct("d", "t", "l")).alias("row")
-    once = fresh.groupBy("month", "s", "h").agg(first).select("month", "s", "h", "row.*")
+    cleared = snapshot.where("is_digital_only = false").select(story_key().alias("w"))
+    kept = stored.join(cleared.distinct(), "w", "left_anti")
+    fresh = digital_rows(snapshot).join(kept.select("month", "w").distinct(), ["month", "w"], "left_anti")
+    once = first_stories(fresh)
     return kept.unionByName(once)
 
 
+def first_stories(rows: DataFrame) -> DataFrame:
+    """Digital rows with the earliest of each story."""
+    first = F.min_by(F.struct("s", "h", "d", "t", "l"), F.struct("d", "t", "l")).alias("row")
+    return rows.groupBy("month", "w").agg(first).select("month", "w", "row.*")
+
+
 def digital_index(stored: DataFrame) -> DataFrame:
     """grouping (total, month or day), its key, and the stories in it, in one pass."""
     rows = stored.select("month", F.date_format("d", "yyyy-MM-dd").alias("day"))

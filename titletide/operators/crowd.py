@@ -90,12 +90,12 @@ def crowd_owners(copies: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
 
 
 def wanted(copies: DataFrame, sealed: bool = False, at_least: int = 1, settings: Settings = DEFAULTS) -> DataFrame:
-    """game, accounts: what people own (or own sealed), most owned first, up to the service's list length."""
+    """game, accounts: what people own (or own sealed), most owned first; all of it unless settings limit the list."""
     held = copies.where("sealed > 0" if sealed else "sealed + complete + loose > 0")
-    return (
+    counts = (
         held.groupBy("game")
         .agg(F.count_distinct("account").alias("accounts"))
         .where(F.col("accounts") >= at_least)
         .orderBy(F.desc("accounts"), "game")
-        .limit(settings.wanted_limit)
     )
+    return counts if settings.wanted_limit is None else counts.limit(settings.wanted_limit)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from titletide.config import DEFAULTS, Settings
 from titletide.functions.numbers import clamp, momentum, round_even
 from titletide.operators.medians import top_k
+from titletide.operators.mentions import ranked_titles
 
 
 def trend(views: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -47,10 +48,10 @@ def usable_articles(titles: DataFrame, checks: DataFrame, resolved: DataFrame, o
 
 
 def signal_scores(rows: DataFrame, have_views: Column) -> DataFrame:
-    """The five 0-100 scores of each ranked title; NULL where there is nothing to score. ``rows`` is the ranked
-    list, sixty titles at most, so the best title is found in a plain window."""
-    whole = Window.partitionBy(F.lit(1))
-    most_sources, most_views = F.max("sources").over(whole), F.max("views").over(whole)
+    """The five 0-100 scores of each title; NULL where there is nothing to score. The best title is one row of two
+    figures, read once for all."""
+    best = rows.agg(F.struct(F.max("sources").alias("sources"), F.max("views").alias("views"))).scalar()
+    most_sources, most_views = best.getField("sources"), best.getField("views")
     seen = F.when(F.col("most_views") > 0, F.log1p("views") / F.log1p("most_views") * 100).otherwise(0.0)
     return (
         rows.withColumn("most_sources", most_sources)
@@ -79,9 +80,8 @@ def blend(weights: dict[str, float]) -> Column:
 
 def demand_index(stats: DataFrame, change: DataFrame, trends: DataFrame, have_views: Column,
                  settings: Settings = DEFAULTS) -> DataFrame:
-    """The most-mentioned titles with their scores and demand, best first. ``change``: title, change_pct;
+    """Titles (the most-mentioned ones where settings limit them) with their scores and demand, best first. ``change``: title, change_pct;
     ``trends``: title, trend_pct."""
-    ranked = stats.orderBy(F.desc("mentions"), "title").limit(settings.demand_titles)
-    rows = ranked.join(change, "title", "left").join(trends.select("title", "trend_pct"), "title", "left")
+    rows = ranked_titles(stats, settings).join(change, "title", "left").join(trends.select("title", "trend_pct"), "title", "left")
     scored = signal_scores(rows, have_views).withColumn("demand", blend(settings.weights))
     return scored.orderBy(F.desc("demand"), F.desc("mentions"), "title")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from titletide.operators.medians import top_k
 from titletide.config import CHEAP_MEDIAN, CHECK_EVERY_HOURS, DEFAULTS, MAIN_SITES, SITES, Settings
 from titletide.functions import text as X
 from titletide.sources.adapters import lookup
@@ -126,23 +127,28 @@ def allowance(used: int, settings: Settings = DEFAULTS) -> int:
 
 
 def search_log(spent: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Long log of a day's searches: grouping ``total``, ``level_site``, ``title`` and ``level_title``, in one pass.
-    ``spent``: day, level, site, title, searches. Titles keep the costliest of the day and of each level."""
-    days = spent.select("day").distinct().orderBy(F.desc("day")).limit(settings.search_log_days)
-    rows = spent.join(days, "day", "left_semi")
+    """Long log of searches: grouping ``total``, ``level_site``, ``title`` and ``level_title``, in one pass.
+    ``spent``: day, level, site, title, searches. Settings may keep the newest days only, and of titles the costliest
+    of each day and level."""
+    rows = spent
+    if settings.search_log_days is not None:
+        days = spent.select("day").distinct().orderBy(F.desc("day")).limit(settings.search_log_days)
+        rows = spent.join(days, "day", "left_semi")
     grouped = (
         rows.groupingSets([["day"], ["day", "level", "site"], ["day", "title"], ["day", "level", "title"]],
                           "day", "level", "site", "title")
         .agg(F.sum("searches").alias("searches"), F.grouping_id().alias("g"))
         .withColumn("grouping", F.when(F.col("g") == 7, "total").when(F.col("g") == 1, "level_site")
                     .when(F.col("g") == 6, "title").otherwise("level_title"))
+        .select("day", "grouping", "level", "site", "title", "searches")
     )
-    order = [F.desc("searches"), F.col("title")]
-    rank = F.row_number().over(Window.partitionBy("day", "grouping", "level").orderBy(*order, "site"))
-    limit = F.when(F.col("grouping") == "title", settings.search_log_titles).when(
-        F.col("grouping") == "level_title", settings.search_log_level_titles)
-    return grouped.withColumn("rank", rank).where(limit.isNull() | (F.col("rank") <= limit)).select(
-        "day", "grouping", "level", "site", "title", "searches")
+    for name, keys, k in (("title", ["day"], settings.search_log_titles),
+                          ("level_title", ["day", "level"], settings.search_log_level_titles)):
+        if k is not None:
+            own = F.col("grouping") == name
+            best = top_k(grouped.where(own), keys, [F.desc("searches"), F.col("title")], k).select(*grouped.columns)
+            grouped = grouped.where(~own).unionByName(best)
+    return grouped
 
 
 def run_verdict(results: DataFrame, latest: DataFrame) -> DataFrame:

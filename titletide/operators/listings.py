@@ -285,16 +285,15 @@ def numbers_of(summary: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     )
 
 
-def cheapest_kept(classified: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """The ten cheapest counted listings of each pair."""
-    return top_k(classified.where("reason IS NULL"), ["title", "site"], [F.col("price"), F.col("link")],
-                 settings.listings_kept)
+def cheapest_kept(classified: DataFrame, k: int = DEFAULTS.listings_kept) -> DataFrame:
+    """The k cheapest counted listings of each pair."""
+    return top_k(classified.where("reason IS NULL"), ["title", "site"], [F.col("price"), F.col("link")], k)
 
 
-def skipped_examples(classified: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Five left-out listing titles per pair and reason, cut at 120 characters."""
-    rows = classified.where("reason IS NOT NULL").withColumn("example", F.substring(X.squash(F.col("text")), 1, 120))
-    return top_k(rows, ["title", "site", "reason"], [F.col("item_id")], settings.skipped_examples)
+def skipped_examples(classified: DataFrame, k: int = DEFAULTS.skipped_examples) -> DataFrame:
+    """k left-out listing titles per pair and reason."""
+    rows = classified.where("reason IS NOT NULL").withColumn("example", X.squash(F.col("text")))
+    return top_k(rows, ["title", "site", "reason"], [F.col("item_id")], k)
 
 
 def near_misses(classified: DataFrame, summary: DataFrame) -> DataFrame:

@@ -122,13 +122,16 @@ def filter_items(items: DataFrame, view: str = "all", source_types: list[str] |
 
 
 def newest_per_feed(entries: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Core feeds keep their own order and the first entries of it; every other feed its newest ones."""
+    """Entries with a title; with limits, the first ones of core feeds in their own order and the newest ones of the
+    others, with their rank."""
+    entries = entries.where(F.trim("title") != "")
+    limits = (settings.entries_per_feed, settings.entries_per_reddit_feed)
+    if None in limits:
+        return entries
     core = F.col("source_type").isin(*vocab.CORE_TYPES)
     newest = F.when(~core, F.coalesce("published", "updated"))
-    limit = F.when(F.col("source_type") == "reddit", settings.entries_per_reddit_feed).otherwise(
-        settings.entries_per_feed)
-    kept = top_k(entries.where(F.trim("title") != ""), ["feed"], [F.desc_nulls_last(newest), F.col("position")],
-                 max(settings.entries_per_feed, settings.entries_per_reddit_feed))
+    limit = F.when(F.col("source_type") == "reddit", limits[1]).otherwise(limits[0])
+    kept = top_k(entries, ["feed"], [F.desc_nulls_last(newest), F.col("position")], max(limits))
     return kept.where(F.col("rank") <= limit)
 
 
@@ -190,10 +193,16 @@ def feed_verdict(fetches: DataFrame, items: Column) -> DataFrame:
     return one.withColumn("items", items).withColumn("abort", failed)
 
 
+def ranked_titles(stats: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """The most-mentioned titles, or all of them without a limit."""
+    if settings.demand_titles is None:
+        return stats
+    return stats.orderBy(F.desc("mentions"), "title").limit(settings.demand_titles)
+
+
 def check_order(stats: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """title, step, of the order articles are read in: named in the last day, then the ranked ones, then the rest."""
-    ranked = stats.orderBy(F.desc("mentions"), "title").limit(settings.demand_titles).select(
-        "title", F.lit(True).alias("ranked"))
+    ranked = ranked_titles(stats, settings).select("title", F.lit(True).alias("ranked"))
     step = F.when(F.col("last_day") > 0, 1).when(F.col("ranked"), 2).otherwise(3)
     return stats.join(ranked, "title", "left").select(
         "title", step.alias("step"), F.when(F.col("last_day") > 0, F.col("last_day")).otherwise(

@@ -54,11 +54,13 @@ def ceiling_for(count: Column, settings: Settings = DEFAULTS) -> Column:
 
 
 def priority_trim(items: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """The snapshot cut to its ceiling: rows naming a title first, the newest others into the room left.
+    """The snapshot, cut to its ceiling where settings have one: rows naming a title first, the newest others into the room left.
 
     The cut is found from counts per minute, never by sorting the table: minutes of a 14-day window are few,
     and the one minute on the boundary is split by a hash of the key.
     """
+    if settings.row_ceiling is None:
+        return items
     named = F.size(named_titles(items)) > 0
     sizes = items.agg(F.count(F.lit(1)).alias("n"), F.count_if(named).alias("named"))
     ceiling = ceiling_for(F.col("n"), settings).cast("bigint")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +17,9 @@ from titletide.operators import price_index as ix
 from titletide.operators import prices as pr
 from titletide.operators import snapshot as sn
 from titletide.plans.price_queries import last_period, stored_history
-from titletide.session import cut_lineage
+from titletide.session import cut_lineage, shared_folder
 from titletide.sources import adapters as ad
+from titletide.sources import sinks
 
 
 def full_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,11 +65,19 @@ def filtered_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def newest_per_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten entries a feed, twenty of a reddit feed."""
-    entries = ad.items(spark, sf_dir).select(
+    """Every entry with a title."""
+    return mn.newest_per_feed(_entries(spark, sf_dir)).select("event_id", "feed")
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ad.items(spark, sf_dir).select(
         "event_id", "feed", "source_type", F.col("headline").alias("title"), F.col("ts").alias("published"),
         F.lit(None).cast("timestamp_ntz").alias("updated"), F.col("event_id").alias("position"))
-    kept = mn.newest_per_feed(entries, Settings(entries_per_feed=10, entries_per_reddit_feed=20))
+
+
+def newest_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A top-k report: ten entries a feed, twenty of a reddit feed."""
+    kept = mn.newest_per_feed(_entries(spark, sf_dir), Settings(entries_per_feed=10, entries_per_reddit_feed=20))
     return kept.select("event_id", "feed", F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -151,11 +162,21 @@ def digital_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digital archive after a run: stories of the first twenty days stored, the last ten in the snapshot."""
     items, clock = full_items(spark, sf_dir), ad.now(spark, sf_dir)
     recent = F.col("ts") >= clock - F.expr("INTERVAL 10 DAYS")
-    stored = ar.digital_rows(items.where(~recent)).groupBy("month", "s", "h").agg(
-        F.min_by(F.struct("d", "t", "l"), F.struct("d", "t", "l")).alias("r")).select("month", "s", "h", "r.*")
+    stored = ar.first_stories(ar.digital_rows(items.where(~recent)))
     return ar.merge_digital(items.where(recent), stored).select("month", "s", "h", "d", "t", "l")
 
 
+def digital_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the sink holds after two runs: one with all flags, one in which only the last ten days are still flagged, so
+    that whole months lose their stories."""
+    items, clock = full_items(spark, sf_dir), ad.now(spark, sf_dir)
+    path = f"{shared_folder(spark)}/digital-{uuid.uuid4().hex}"
+    recent = F.col("ts") >= clock - F.expr("INTERVAL 10 DAYS")
+    sinks.write_digital(items, path)
+    sinks.write_digital(items.withColumn("is_digital_only", F.col("is_digital_only") & recent), path)
+    return sinks.stored(spark, path, ar.digital_rows(items)).select("month", "s", "h", "d", "t", "l")
+
+
 def digital_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ar.digital_index(ar.digital_rows(full_items(spark, sf_dir)))
 
@@ -168,7 +189,13 @@ def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q3: owner rule, upsert, retention and trim to a ceiling of 500 rows, raised in steps of 100 to 900."""
+    """Q3: owner rule, upsert, retention and clean-up, with every row."""
+    return sn.reclean(sn.priority_trim(_merged(spark, sf_dir))).select(
+        "key", "event_id", "feed", "ts", "matched_game", F.col("match_method"))
+
+
+def trimmed_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O1, where a caller asks for a ceiling: 500 rows, raised in steps of 100 to 900, rows that name a title first."""
     trimmed = sn.priority_trim(cut_lineage(_merged(spark, sf_dir)), Settings(row_ceiling=500, ceiling_step=100, ceiling_max=900))
     return sn.reclean(trimmed).select("key", "event_id", "feed", "ts", "matched_game", F.col("match_method"))
 
@@ -259,6 +286,7 @@ QUERIES = {
     "ever_named": ever_named,
     "filtered_feed": filtered_feed,
     "newest_per_feed": newest_per_feed,
+    "newest_entries": newest_entries,
     "source_health": source_health,
     "arrival_rate": arrival_rate,
     "shared_links": shared_links,
@@ -271,8 +299,10 @@ QUERIES = {
     "archive_months": archive_months,
     "archive_new": archive_new,
     "digital_stories": digital_stories,
+    "digital_archive": digital_archive,
     "digital_days": digital_days,
     "snapshot": snapshot,
+    "trimmed_snapshot": trimmed_snapshot,
     "thin_snapshot": thin_snapshot,
     "thin_rows": thin_rows,
     "snapshot_diff": snapshot_diff,

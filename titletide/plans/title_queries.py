@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from titletide.functions import text as X
 from titletide.operators import titles as tt
 from titletide.operators import prices as pr
-from titletide.session import cut_lineage, spread
+from titletide.session import cut_lineage
 from titletide.sources import adapters as ad
 
 
@@ -50,7 +50,7 @@ def headline_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page without its markup, as a feed body and as a post."""
-    rows = spread(ad.table(spark, sf_dir, "pages"))
+    rows = ad.table(spark, sf_dir, "pages")
     return rows.select("page_id", F.md5(X.strip_tags(F.col("html"))).alias("body"),
                        F.md5(X.post_text(F.col("html"))).alias("post"),
                        F.md5(X.first_words(X.strip_tags(F.col("html")), 120)).alias("lead"))

@@ -11,7 +11,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -44,8 +43,8 @@ def shared_folder(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     folder = tempfile.mkdtemp(prefix="titletide-")
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    spark.sparkContext.setCheckpointDir(folder)
+    return spark.sparkContext.getCheckpointDir()
 
 
 def forget(spark: SparkSession, folder: str) -> None:
@@ -75,16 +74,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt out over all cores when the input has fewer splits than cores (a small or unsplittable file).
-    Tables with enough splits are left as they are, so large inputs never pay for the shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
-def broadcast_if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
-    """A broadcast hint for a narrow lookup that a count shows to be small; a larger one is left to a shuffle join.
-    For lookups that are joins themselves, whose size the planner can only overestimate. The count stops at the limit."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

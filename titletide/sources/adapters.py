@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from titletide.functions import text as X
 from titletide.functions.numbers import pennies
 from titletide.operators.medians import group_medians
-from titletide.session import broadcast_if_small, spread
 
 # Which marketplace and currency each region stands for.
 SITE_OF_REGION = {"AMERICA": "US", "EUROPE": "UK", "ASIA": "DE", "AFRICA": "FR", "MIDDLE EAST": "IT"}
@@ -42,7 +41,7 @@ def supplier_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(F.col("s_suppkey").alias("l_suppkey"), site.alias("site"),
                 lookup(CURRENCY_OF_SITE, site).alias("currency"))
     )
-    return broadcast_if_small(sites)
+    return sites
 
 
 def priced_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +112,7 @@ def items_of(events: DataFrame) -> DataFrame:
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, headline (the first line), body (the other lines), text, source, lang."""
     t = F.col("text")
-    return spread(table(spark, sf_dir, "documents")).select(
+    return table(spark, sf_dir, "documents").select(
         "doc_id",
         F.split_part(t, F.lit("\n"), F.lit(1)).alias("headline"),
         F.when(t.contains("\n"), F.regexp_replace(t, "^[^\n]*\n", "")).otherwise("").alias("body"),
@@ -155,9 +154,9 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     The line's number says how the seller words it, its return flag whether it is complete, and its status
     whether the currency is the site's own.
     """
-    lines = spread(table(spark, sf_dir, "lineitem").select(
+    lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
-        "l_returnflag", "l_linestatus", "l_shipdate"))
+        "l_returnflag", "l_linestatus", "l_shipdate")
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type")
     number = F.col("l_linenumber")
     wording = (

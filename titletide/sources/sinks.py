@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from titletide.operators import archive as ar
 from titletide.operators import price_index as ix
-from titletide.session import cut_lineage
+from titletide.session import cut_lineage, forget
+
+MONTH_TASKS = 16  # that share the writing of a month
 
 
 def stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
@@ -23,24 +25,36 @@ def replace_months(df: DataFrame, path: str) -> None:
 
 
 def append_archive(items: DataFrame, path: str) -> int:
-    """Adds the mentions the archive does not hold; running it again adds nothing. Returns how many were added."""
+    """Adds the mentions the archive does not hold; running it again adds nothing. Returns how many were added.
+
+    Only the months that the items belong to are read, and a month is written by several tasks."""
     rows = ar.archive_rows(items)
-    fresh = cut_lineage(ar.new_mentions(rows, stored(items.sparkSession, path, rows)).select(*rows.columns))
+    months = [r.month for r in rows.select("month").distinct().collect()]  # a row for each month
+    known = stored(items.sparkSession, path, rows).where(F.col("month").isin(months))
+    fresh = cut_lineage(ar.new_mentions(rows, known).select(*rows.columns))
     added = fresh.count()
     if added:
-        fresh.repartition("month").sortWithinPartitions("d", "g").write.mode("append").partitionBy("month").parquet(path)
+        part = F.pmod(F.xxhash64("w", "d"), F.lit(MONTH_TASKS))
+        fresh.repartition("month", part).write.mode("append").partitionBy("month").parquet(path)
     return added
 
 
 def write_digital(snapshot: DataFrame, path: str) -> None:
-    """The digital archive after a snapshot: unflagged stories leave, new ones come; months are replaced whole."""
-    shape = ar.digital_rows(snapshot)
-    kept = stored(snapshot.sparkSession, path, shape)
+    """The digital archive after a snapshot: unflagged stories leave, new ones come; months are replaced whole, and a
+    month without a story left is removed."""
+    spark, shape = snapshot.sparkSession, ar.digital_rows(snapshot)
+    kept = stored(spark, path, shape)
     merged = cut_lineage(ar.merge_digital(snapshot, kept).select(*shape.columns))
-    before = kept.groupBy("month").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("s", "h")).alias("x"))
-    after = merged.groupBy("month").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("s", "h")).alias("x"))
-    moved = cut_lineage(after.join(before, ["month", "n", "x"], "left_anti").select("month"))
-    replace_months(merged.join(moved, "month", "left_semi"), path)
+    figures = lambda df, name: df.groupBy("month").agg(F.struct(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("w")).alias("x")).alias(name))
+    both = figures(kept, "before").join(figures(merged, "after"), "month", "full_outer")
+    changed = both.where(~F.col("before").eqNullSafe(F.col("after"))).select("month", F.col("after").isNull().alias("empty")).collect()
+    written = [r.month for r in changed if not r.empty]
+    if written:
+        replace_months(merged.where(F.col("month").isin(written)), path)
+    for r in changed:
+        if r.empty:
+            forget(spark, f"{path}/month={r.month}")
 
 
 def write_latest(latest: DataFrame, path: str) -> None:
