@@ -42,6 +42,8 @@ BLOCK = 8 << 20  # bytes of text in a block
 BUCKET = 16 << 20  # bytes of text whose triggers make a bucket
 SLICE = 1 << 20  # bytes that are hashed at once
 HOT = 2000  # documents from which on a trigger's phrases are spread string by string
+TEXT_LEVEL = 9  # of compression, for messages that hold text
+KEY_BITS = 36  # that tell the triggers of a bucket apart
 SORTED = 400_000  # strings that are sorted at once
 MESSAGE = "target long, kind int, source long, body binary"
 FOUND, SHARED, PHRASES, TEXTS = 0, 1, 2, 3  # kinds of messages
@@ -53,9 +55,9 @@ _POWERS = {n: np.uint64(pow(FACTOR, n, 1 << 64)) for n in (1, 2, 4, 8, 16)}
 _HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 
 
-def _tie(*arrays: np.ndarray) -> bytes:
+def _tie(*arrays: np.ndarray, level: int = 3) -> bytes:
     head = json.dumps([(a.dtype.str, len(a)) for a in arrays]).encode()
-    return zstandard.ZstdCompressor(level=3).compress(
+    return zstandard.ZstdCompressor(level=level).compress(
         struct.pack("<I", len(head)) + head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
 
 
@@ -90,7 +92,7 @@ class Block:
     def packed(ids: list, bodies: list[bytes], carried: list[bytes]) -> bytes:
         return _tie(np.array([i or 0 for i in ids], dtype=np.int64), np.array([i is not None for i in ids], dtype=bool),
                     np.array(list(map(len, bodies)), dtype=np.int64), np.frombuffer(b"".join(bodies), dtype=np.uint8),
-                    np.frombuffer(b"".join(carried), dtype=np.uint8), np.array(list(map(len, carried)), dtype=np.int64))
+                    np.frombuffer(b"".join(carried), dtype=np.uint8), np.array(list(map(len, carried)), dtype=np.int64), level=TEXT_LEVEL)
 
     def phrases(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(first string, number of strings, key of the trigger, document) of every phrase."""
@@ -163,6 +165,12 @@ def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def _shift(buckets: int) -> np.uint64:
+    """The low bits of a key that are not sent. The high ones give the bucket, the next ``KEY_BITS`` tell its triggers
+    apart, whatever the number of buckets, but for a few, and those only cost a look."""
+    return np.uint64(max(0, 64 - KEY_BITS - (buckets - 1).bit_length()))
+
+
 def _triggers(buckets: int):
     """Step 2, in blocks: every trigger once, and how many documents have it where it is more than one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,26 +189,22 @@ def _triggers(buckets: int):
                 rows = []
                 for bucket, (low, high) in enumerate(zip(edges.tolist(), edges[1:].tolist())):
                     if high > low:
-                        rows.append((bucket, SHARED, block, _ascending(keys[low:high], counts[low:high])))
+                        rows.append((bucket, SHARED, block, _ascending(keys[low:high] >> _shift(buckets), counts[low:high])))
                 yield _message(rows)
     return run
 
 
 def _ascending(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Ascending keys of one bucket as differences of their upper halves, by planes of bytes, with their lower halves'
-    upper 16 bits: enough to tell a bucket's triggers apart but for a few, and those only cost a look."""
-    short = keys >> np.uint64(16)
-    steps = np.diff(short, prepend=np.uint64(0)).astype("<u8")
+    """Ascending keys as differences, by planes of bytes, and the counts above one."""
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
     several = np.flatnonzero(counts > 1)
-    return _tie(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :6].T).ravel(), several.astype(np.uint32),
+    return _tie(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).ravel(), several.astype(np.uint32),
                 np.minimum(counts[several], 1 << 30).astype(np.uint32))
 
 
 def _short_keys(planes: np.ndarray) -> np.ndarray:
-    n = len(planes) // 6
-    wide = np.zeros((n, 8), dtype=np.uint8)
-    wide[:, :6] = planes.reshape(6, n).T
-    return np.cumsum(wide.view("<u8").ravel().astype(np.uint64), dtype=np.uint64)
+    steps = np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").ravel()
+    return np.cumsum(steps.astype(np.uint64), dtype=np.uint64)
 
 
 def _by_target(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, int, bytes]]]]:
@@ -263,7 +267,7 @@ def _phrases(buckets: int):
             keys, hot = keys[order], np.concatenate([k[1] for k in known])[order]
             block = Block(texts[0])
             first, strings, own, docs = block.phrases()
-            short = own >> np.uint64(16)
+            short = own >> _shift(buckets)
             at = np.minimum(np.searchsorted(keys, short), len(keys) - 1)
             shared = np.flatnonzero(keys[at] == short)
             first, strings, own, docs, hot = first[shared], strings[shared], own[shared], docs[shared], hot[at[shared]]
@@ -328,7 +332,7 @@ def _dictionary_rows(block: Block, number: int, buckets: int, first: np.ndarray,
             rows.append((bucket, PHRASES, number, _tie(
                 np.frombuffer(b"".join(bodies), dtype=np.uint8), np.array(list(map(len, bodies)), dtype=np.int32), keys[part],
                 ids[chosen[head[part]]], times[part].astype(np.int32), docs[members].astype(np.int32),
-                first[members] - block.starts[docs[members]])))
+                first[members] - block.starts[docs[members]], level=TEXT_LEVEL)))
     return rows
 
 
