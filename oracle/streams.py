@@ -7,10 +7,16 @@ SQL = {
 FROM named GROUP BY ALL""",
     "stream_surge_windows": f"""WITH {NAMED}, w AS (SELECT *, date_trunc('hour', ts) + INTERVAL 1 HOUR * h AS until
   FROM named, (SELECT unnest(range(1, 25)) AS h) WHERE NOT in_body)
-SELECT strftime(until, '%Y-%m-%d %H') AS until, title, count(*) AS mentions, count(DISTINCT source) AS sources,
-  count(DISTINCT array_to_string(list_sort(list_distinct(string_split(headline, ' '))), ' ')) AS stories FROM w GROUP BY ALL""",
+SELECT strftime(until, '%Y-%m-%d %H') AS until, title, count(*) AS mentions, count(DISTINCT source) > 1 AS several_sources,
+  count(DISTINCT array_to_string(list_sort(list_distinct(string_split(headline, ' '))), ' ')) > 1 AS several_stories FROM w GROUP BY ALL""",
     "stream_archive": f"""WITH {NAMED} SELECT strftime(ts, '%Y-%m') AS month, title AS g, source AS s, headline AS h,
   strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS d FROM named GROUP BY month, title, source, headline""",
+    "stream_surge_holds": f"""WITH {NAMED} SELECT title, strftime(max(ts) + INTERVAL 48 HOUR, '%Y-%m-%d %H:%M:%S') AS held_until
+FROM named WHERE source_type = 'news' GROUP BY title""",
+    "stream_source_health": """WITH f AS (SELECT user_id::VARCHAR AS feed, ts, value >= 3 AS ok FROM events),
+good AS (SELECT feed, max(ts) AS last_ok FROM f WHERE ok GROUP BY feed)
+SELECT feed, arg_max(ok, ts) AS ok, strftime(min(ts) FILTER (last_ok IS NULL OR ts > last_ok), '%Y-%m-%d %H:%M:%S') AS failing_since,
+  strftime(max(last_ok), '%Y-%m-%d %H:%M:%S') AS latest FROM f LEFT JOIN good USING (feed) GROUP BY feed""",
     "stream_price_changes": """WITH c AS (SELECT l_partkey, l_suppkey, l_shipdate, l_quantity, l_discount,
   lag(l_shipdate) OVER w AS d0, lag(l_quantity) OVER w AS q0, lag(l_discount) OVER w AS m0 FROM lineitem
   WINDOW w AS (PARTITION BY l_partkey, l_suppkey ORDER BY l_shipdate, l_quantity, l_discount))

@@ -230,6 +230,32 @@ def test_stream_holds_and_health(spark, tmp_path):
     assert got == {"f": (False, at(0), None), "g": (True, None, at(-5))}
 
 
+def test_stream_changes_over_several_batches(spark, tmp_path):
+    at = lambda h: NOW + dt.timedelta(hours=h)
+    shape = "title STRING, site STRING, stamp TIMESTAMP, copies DOUBLE, lowest DOUBLE, median DOUBLE"
+    checks = [[("a", "US", at(0), 1.0, None, 2.0), ("a", "US", at(1), 1.0, None, 2.0), ("b", "US", at(0), 1.0, 1.0, 2.0)],
+              [("a", "US", at(2), 1.0, None, 2.0), ("a", "US", at(3), 2.0, None, 2.0), ("b", "US", at(30), 1.0, 1.0, 2.0)],
+              [("a", "US", at(4), 2.0, None, 2.0), ("a", "US", at(26), 2.0, None, 2.0)]]
+    for batch in checks:
+        spark.createDataFrame(batch, shape).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(shape).parquet(str(tmp_path / "in")).withWatermark("stamp", "2 days")
+    run(jobs.price_changes(stream), tmp_path / "c", "append", jobs.batch_folders(str(tmp_path / "out")))
+    got = sorted((r.title, r.stamp) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("a", at(0)), ("a", at(3)), ("a", at(26)), ("b", at(0)), ("b", at(30))]
+
+
+def test_a_repeated_batch_changes_nothing(spark, tmp_path):
+    write, rows = jobs.batch_folders(str(tmp_path / "out")), spark.range(5)
+    for batch_id in (0, 1, 1, 0):
+        write(rows, batch_id)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 10
+    archive = jobs.archive_batches(str(tmp_path / "archive"))
+    frame = items(spark, item(1, "Ico", headline="Two"), item(2, "Okami", headline="Three"))
+    for _ in range(2):
+        archive(frame, 0)
+    assert spark.read.parquet(str(tmp_path / "archive")).count() == 2
+
+
 def test_stream_snapshot_equals_batch(spark, tmp_path):
     first = items(spark, item(3, "Ico", link="https://l/1", headline="one"), item(1, link="https://l/2"))
     second = items(spark, item(0, "Ico", link="https://l/1", headline="two"), item(30, link="https://l/3"))

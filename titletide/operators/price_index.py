@@ -118,8 +118,8 @@ def in_range(series: DataFrame, keys: list[str], length: int | None) -> DataFram
     """The points of each series within ``length`` periods of its last point; all when no length is given."""
     if length is None:
         return series
-    last = series.groupBy(*keys).agg(F.max("period").alias("last"))
-    return series.join(last, keys).where(F.col("period") >= F.col("last") - length).drop("last")
+    last = F.max("period").over(Window.partitionBy(*keys))
+    return series.withColumn("last", last).where(F.col("period") >= F.col("last") - length).drop("last")
 
 
 def rare_index(history: DataFrame, members: DataFrame, before: Column | None = None,

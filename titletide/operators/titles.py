@@ -9,6 +9,7 @@ from titletide import vocab
 from titletide.config import DEFAULTS, MAIN_SITES, Settings
 from titletide.functions import text as X
 from titletide.functions.similarity import block_ratio, best_name_score
+from titletide.operators.medians import top_k
 from titletide.session import cut_lineage
 
 
@@ -360,7 +361,10 @@ def close_pairs(keys: DataFrame, spellings: DataFrame, cutoff: float) -> DataFra
 
 def typo_match(keys: DataFrame, spellings: DataFrame, cutoff: float = 0.88) -> DataFrame:
     """key, spelling, score: the closest spelling with the same numbers and no differing word of one or two letters."""
-    pairs = close_pairs(keys, spellings, cutoff)
+    # Matching blocks are a common subsequence, so the ratio bounds the edit distance, which the JVM tests first.
+    room = F.floor((1 - cutoff) * (F.length("key") + F.length("spelling")) + 1e-9).cast("int")
+    near = F.call_function("levenshtein", F.col("key"), F.col("spelling"), room) >= 0
+    pairs = close_pairs(keys, spellings, cutoff).where(near)
     scored = pairs.withColumn("score", block_ratio(F.col("key"), F.col("spelling"))).where(F.col("score") >= cutoff)
     best = scored.groupBy("key").agg(F.max_by(F.struct("spelling", "score"), F.struct("score", "spelling")).alias("m"))
     words = lambda c: F.split(c, " ", -1)
@@ -370,9 +374,10 @@ def typo_match(keys: DataFrame, spellings: DataFrame, cutoff: float = 0.88) -> D
     return best.where(~small).select("key", "m.spelling", "m.score")
 
 
-def alias_cascade(names: DataFrame, known: DataFrame, manual: DataFrame | None = None, rounds: int = 3) -> DataFrame:
+def alias_cascade(names: DataFrame, known: DataFrame, manual: DataFrame | None = None, rounds: int = 30) -> DataFrame:
     """key, target, how: names the collection spells differently, found by hand list, same letters, unpadded numbers,
-    loose key, a unique longer name, then a typo. Names found can be targets in the next round. ``names``, ``known``: key."""
+    loose key, a unique longer name, then a typo. Names found can be targets in the next round, until a round finds none.
+    ``names``, ``known``: key."""
     left = names.select("key").distinct().join(known.select("key"), "key", "left_anti")
     base = known.select("key", F.col("key").alias("target")).distinct()
     found = None
@@ -406,10 +411,10 @@ def alias_cascade(names: DataFrame, known: DataFrame, manual: DataFrame | None =
         step = cut_lineage(rows.select("key", target.alias("target"), how.alias("how")).where("target IS NOT NULL"))
         found = step if found is None else found.unionByName(step)
         if step.isEmpty():
-            break
+            return found
         base = base.unionByName(step.select("key", "target"))
         left = left.join(step.select("key"), "key", "left_anti")
-    return found
+    raise RuntimeError("aliases did not settle; raise the number of rounds")
 
 
 def resolve_articles(candidates: DataFrame, threshold: int = 82) -> DataFrame:
@@ -464,26 +469,25 @@ def best_releases(files: DataFrame) -> DataFrame:
         "us IS NOT NULL OR pal IS NOT NULL")
 
 
-def quota_sample(rows: DataFrame, n: int, seed: int) -> DataFrame:
-    """About ``n`` rows: each bucket's share, topped up from what is left; a title fills at most three rows.
+def quota_sample(rows: DataFrame, n: int, seed: int, per_title: int = vocab.SAMPLE_MAX_PER_TITLE) -> DataFrame:
+    """About ``n`` rows: each bucket's share, topped up from what is left; a title fills at most ``per_title`` rows.
 
-    ``rows``: headline, titles. Draws are ranks of a seeded hash, so each bucket is trimmed to ``n`` rows before
-    anything is gathered.
+    ``rows``: headline, titles. Draws are ranks of a seeded hash, so titles and buckets are trimmed to the rows that can
+    be drawn before anything is gathered.
     """
     key = X.headline_key(F.col("headline"))
     first = F.min(F.struct("headline", "titles", "source")).alias("r")
     once = rows.where(F.length("headline") >= vocab.SAMPLE_MIN_CHARS).groupBy(key.alias("key")).agg(first).where(
         "key <> ''").select("key", "r.*")
     draw = F.xxhash64("key", F.lit(seed))
-    ranked = once.select("*", draw.alias("draw"), F.explode_outer("titles").alias("t"))
-    w = Window.partitionBy("t").orderBy("draw", "key")
-    over = ranked.where("t IS NOT NULL").withColumn("rank", F.row_number().over(w)).where(
-        F.col("rank") > vocab.SAMPLE_MAX_PER_TITLE).select("key").distinct()
-    pool = once.join(over, "key", "left_anti").withColumn("draw", draw).withColumn(
+    named = F.filter(F.array_distinct("titles"), lambda t: t.isNotNull())
+    once = once.withColumn("draw", draw).withColumn("named", F.coalesce(F.size(named), F.lit(0)))
+    pairs = once.select("key", "draw", F.explode(named).alias("t"))
+    within = top_k(pairs, ["t"], [F.col("draw"), F.col("key")], per_title).groupBy("key").agg(F.count(F.lit(1)).alias("fit"))
+    pool = once.join(within, "key", "left").where((F.col("named") == 0) | (F.col("named") == F.col("fit"))).withColumn(
         "bucket", X.sample_bucket(F.col("headline"), F.col("titles")))
     quota = F.lit(0)
     for bucket, share in vocab.SAMPLE_QUOTAS.items():
         quota = F.when(F.col("bucket") == bucket, round(n * share)).otherwise(quota)
-    inside = F.row_number().over(Window.partitionBy("bucket").orderBy("draw", "key"))
-    near = pool.withColumn("rank", inside).where(F.col("rank") <= n).withColumn("extra", F.col("rank") > quota)
+    near = top_k(pool, ["bucket"], [F.col("draw"), F.col("key")], n).withColumn("extra", F.col("rank") > quota)
     return near.orderBy("extra", "draw", "key").limit(n).select("headline", "source", "bucket", "titles")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from titletide.operators import listings as ls
+from titletide.session import stored
 from titletide.sources import adapters as ad
 
 
@@ -43,7 +44,7 @@ def cheapest_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def two_pass_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings of newer stock as the first search, all other ones as the keyword search."""
-    rows = _classified(spark, sf_dir)
+    rows = stored(_classified(spark, sf_dir).select("title", "site", "reason", "listed"), "classified")
     fresh = F.col("listed") >= F.lit("2001-06-01").cast("timestamp_ntz")
     chosen = ls.two_pass(rows.where(fresh), rows.where(~fresh))
     return chosen.groupBy("title", "site").agg(F.count(F.lit(1)).alias("listings"),

@@ -11,6 +11,7 @@ from titletide.operators import price_index as ix
 from titletide.operators import prices as pr
 from titletide.operators import valuation as va
 from titletide.plans.price_queries import last_period
+from titletide.session import stored
 from titletide.sources import adapters as ad
 
 # Rates the conversion examples use, in units per euro.
@@ -135,8 +136,8 @@ def shared_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = parts.groupBy("p_type", "p_size").agg(F.min("p_brand").alias("shown"))
     groups = parts.join(shown, ["p_type", "p_size"]).where("p_size = 1").select(
         F.col("p_brand").alias("title"), "shown").groupBy("title").agg(F.min("shown").alias("shown"))
-    latest = pr.latest_of(ad.history(spark, sf_dir)).withColumn(
-        "median", F.when(F.col("copies") > 3, F.col("median")))
+    latest = stored(pr.latest_of(ad.history(spark, sf_dir)).withColumn(
+        "median", F.when(F.col("copies") > 3, F.col("median"))), "latest")
     return va.share_prices(latest, groups.where("title <> shown"))
 
 

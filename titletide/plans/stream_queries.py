@@ -27,28 +27,34 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.with_event_time(rows.withColumn("fetched", F.col("ts")))
 
 
-def _finished(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """The rows a stream wrote once it has read everything there is."""
+def _finished(stream: DataFrame, name: str, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """The rows a stream wrote once it has read everything there is; with keys the last ones of each key."""
     spark = stream.sparkSession
     out = _folder(spark, name)
-    write = lambda batch, n: batch.write.mode("append" if mode != "complete" else "overwrite").parquet(out)
     query = (stream.writeStream.outputMode(mode).trigger(availableNow=True)
-             .option("checkpointLocation", _folder(spark, name + "-state")).foreachBatch(write).start())
+             .option("checkpointLocation", _folder(spark, name + "-state")).foreachBatch(jobs.batch_folders(out)).start())
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    if not query.recentProgress:
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.schema(stream.schema.add("batch", "long")).parquet(out)
+    if keys is None:
+        return rows.drop("batch")
+    others = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("row")).select(*keys, "row.*")
 
 
 def stream_mention_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mentions of each title and day."""
-    rows = _finished(jobs.mention_counts(_items(spark, sf_dir)), "counts", "complete")
+    rows = _finished(jobs.mention_counts(_items(spark, sf_dir)), "counts", "update", ["start", "title"])
     return rows.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "title", "mentions")
 
 
 def stream_surge_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headline mentions, sources and stories of each title in every 24-hour window, hour by hour."""
-    rows = _finished(jobs.surge_windows(_items(spark, sf_dir)), "surges", "complete")
+    """Headline mentions of each title in every 24-hour window, hour by hour, and whether several sources and stories
+    have them."""
+    rows = _finished(jobs.surge_windows(_items(spark, sf_dir)), "surges", "update", ["until", "title"])
     return rows.select(F.date_format("until", "yyyy-MM-dd HH").alias("until"), "title", "mentions",
-                       F.col("sources").cast("bigint").alias("sources"), F.col("stories").cast("bigint").alias("stories"))
+                       "several_sources", "several_stories")
 
 
 def stream_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,9 +72,28 @@ def stream_price_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     checks = _source(spark, sf_dir, "lineitem").select(
         F.col("l_partkey").cast("string").alias("title"), F.col("l_suppkey").cast("string").alias("site"),
         F.col("l_shipdate").cast("timestamp").alias("stamp"), F.col("l_quantity").alias("copies"),
-        F.lit(None).cast("double").alias("lowest"), F.col("l_discount").alias("median"))
+        F.lit(None).cast("double").alias("lowest"), F.col("l_discount").alias("median")).withWatermark("stamp", "1 day")
     rows = _finished(jobs.price_changes(checks), "changes", "append")
     return rows.groupBy("title").agg(F.count(F.lit(1)).alias("changes"))
 
 
-QUERIES = {f.__name__: f for f in (stream_mention_counts, stream_surge_windows, stream_archive, stream_price_changes)}
+def stream_surge_holds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Until when each title is held surging: 48 hours after its last mention in the news."""
+    rows = _items(spark, sf_dir).where("source_type = 'news'").select(
+        F.explode("matched_games").alias("title"), "ts")
+    held = _finished(jobs.surge_holds(rows), "holds", "append")
+    return held.groupBy("title").agg(F.date_format(F.max("held_until"), "yyyy-MM-dd HH:mm:ss").alias("held_until"))
+
+
+def stream_source_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State of every source after all its fetches; a fetch of value under 3 failed."""
+    events = _source(spark, sf_dir, "events")
+    fetches = events.select(F.col("user_id").cast("string").alias("feed"), F.col("ts").cast("timestamp").alias("at"),
+                            (F.col("value") >= 3).alias("ok"), F.col("ts").cast("timestamp").alias("latest"))
+    rows = _finished(jobs.source_states(fetches), "health", "update", ["feed"])
+    show = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return rows.select("feed", "ok", show("failing_since"), show("latest"))
+
+
+QUERIES = {f.__name__: f for f in (stream_mention_counts, stream_surge_windows, stream_archive, stream_price_changes,
+                                   stream_surge_holds, stream_source_health)}

@@ -15,9 +15,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from titletide.config import DEFAULTS, Settings
 from titletide.functions import text as X
-from titletide.operators import archive as ar
 from titletide.operators import snapshot as sn
 from titletide.operators.mentions import mentions
+from titletide.session import forget
 
 
 def with_event_time(stream: DataFrame, settings: Settings = DEFAULTS, ahead: str = "1 HOUR") -> DataFrame:
@@ -36,16 +36,18 @@ def mention_counts(stream: DataFrame, width: str = "1 day") -> DataFrame:
 
 
 def surge_windows(stream: DataFrame) -> DataFrame:
-    """Sliding 24-hour windows per title: headline mentions, sources, stories and whether one is sure. Streams have no
-    exact distinct counts, so the sets themselves are kept: they are as small as the sources of one day."""
+    """Sliding 24-hour windows per title: headline mentions, whether several sources and several stories name it, and
+    whether one is sure. A surge needs two of either, which the smallest and the largest tell, so the state of a window
+    is a few values, however many sources there are."""
     named = F.coalesce(F.col("matched_in") != "body", F.lit(True))
     rows = mentions(stream).where(named).withColumn("story", F.array_join(X.story_key(F.col("headline")), " "))
+    several = lambda c: F.coalesce(F.min(c) != F.max(c), F.lit(False))
     return rows.groupBy(F.window("ts", "24 hours", "1 hour"), "title").agg(
         F.count(F.lit(1)).alias("mentions"),
-        F.size(F.collect_set("source")).alias("sources"),
-        F.size(F.collect_set("story")).alias("stories"),
+        several("source").alias("several_sources"),
+        several("story").alias("several_stories"),
         F.max((F.col("match_method") != "fuzzy").cast("int")).alias("sure"),
-    ).select(F.col("window.end").alias("until"), "title", "mentions", "sources", "stories", "sure")
+    ).select(F.col("window.end").alias("until"), "title", "mentions", "several_sources", "several_stories", "sure")
 
 
 def surge_holds(stream: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -69,46 +71,61 @@ def surge_holds(stream: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
         step, "title STRING, held_until TIMESTAMP", "held_until TIMESTAMP", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def _sorted(batches: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
+    """A key's rows of one micro-batch, in order."""
+    return pd.concat(list(batches)).sort_values(by, kind="stable").reset_index(drop=True)
+
+
 def price_changes(stream: DataFrame) -> DataFrame:
     """The checks worth a history row: a pair's figures changed, or its first check of a day. ``stream``: title, site,
-    stamp, copies, lowest, median."""
-    columns = ["stamp", "copies", "lowest", "median"]
+    stamp (with a watermark), copies, lowest, median.
+
+    The state is the last check. It goes at the end of its day, as the first check of a new day counts in any case."""
+    figures = ["copies", "lowest", "median"]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["stamp", "copies", "median"])
-        figures, day = (tuple(state.get[:3]), state.get[3]) if state.exists else (None, None)
-        kept = []
-        for row in rows.itertuples(index=False):
-            now = tuple(None if pd.isna(x) else float(x) for x in (row.copies, row.lowest, row.median))
-            today = row.stamp.strftime("%Y-%m-%d")
-            if now != figures or today != day:
-                kept.append((key[0], key[1], row.stamp, row.copies, row.lowest, row.median))
-            figures, day = now, today
-        state.update((*figures, day))
-        yield pd.DataFrame(kept, columns=["title", "site", *columns])
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = _sorted(batches, ["stamp", "copies", "median"])
+        values = rows[figures].astype(float)
+        day = rows["stamp"].dt.strftime("%Y-%m-%d")
+        before, day_before = values.shift(1), day.shift(1)
+        if state.exists:
+            *last, last_day = state.get
+            before.loc[0] = [float("nan") if x is None else x for x in last]
+            day_before.loc[0] = last_day
+        same = ((values == before) | (values.isna() & before.isna())).all(axis=1) & (day == day_before)
+        plain = lambda x: None if pd.isna(x) else float(x)
+        state.update((*map(plain, values.iloc[-1]), day.iloc[-1]))
+        midnight = (rows["stamp"].iloc[-1].normalize() + pd.Timedelta(days=1)).timestamp() * 1000
+        state.setTimeoutTimestamp(max(int(midnight), state.getCurrentWatermarkMs() + 1))
+        kept = rows[~same]
+        yield pd.DataFrame({"title": key[0], "site": key[1], "stamp": kept["stamp"], **{c: kept[c] for c in figures}})
 
     return stream.groupBy("title", "site").applyInPandasWithState(
         step, "title STRING, site STRING, stamp TIMESTAMP, copies DOUBLE, lowest DOUBLE, median DOUBLE",
-        "copies DOUBLE, lowest DOUBLE, median DOUBLE, day STRING", "append", GroupStateTimeout.NoTimeout)
+        "copies DOUBLE, lowest DOUBLE, median DOUBLE, day STRING", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def source_states(stream: DataFrame) -> DataFrame:
     """feed, ok, failing_since, latest after every micro-batch that touches a source: repeated failures keep the time of
-    the first, and the newest item only moves forward. ``stream``: feed, at, ok, latest."""
+    the first, and the newest item only moves forward. ``stream``: feed, at, ok, latest. There are as many states, of
+    two stamps each, as there are sources."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        since, latest = state.get if state.exists else (None, None)
-        since = None if since is None else pd.Timestamp(since)
-        latest = None if latest is None else pd.Timestamp(latest)
-        ok = True
-        for row in pd.concat(list(batches)).sort_values("at").itertuples(index=False):
-            ok = bool(row.ok)
-            since = None if ok else (since if since is not None else row.at)
-            if ok and not pd.isna(row.latest):
-                latest = row.latest if latest is None else max(latest, row.latest)
-        plain = lambda t: None if t is None else t.to_pydatetime()
+        since, latest = (pd.Timestamp(x) if x is not None else pd.NaT for x in (state.get if state.exists else (None, None)))
+        rows = _sorted(batches, ["at"])
+        ok = rows["ok"].astype(bool)
+        failures = rows["at"][~ok & (ok[::-1].cumsum()[::-1] == 0)]  # those after the last success
+        if ok.any():
+            since = pd.NaT
+        if len(failures) and pd.isna(since):
+            since = failures.iloc[0]
+        latest = pd.Series([latest, rows["latest"][ok].max()]).max()
+        plain = lambda t: None if pd.isna(t) else t.to_pydatetime()
         state.update((plain(since), plain(latest)))
-        yield pd.DataFrame({"feed": [key[0]], "ok": [ok], "failing_since": [since], "latest": [latest]}).astype(
+        yield pd.DataFrame({"feed": [key[0]], "ok": [bool(ok.iloc[-1])], "failing_since": [since], "latest": [latest]}).astype(
             {"failing_since": "datetime64[ns]", "latest": "datetime64[ns]"})
 
     return stream.groupBy("feed").applyInPandasWithState(
@@ -129,7 +146,8 @@ def archive_batches(path: str):
 
 def snapshot_batches(path: str, now, settings: Settings = DEFAULTS):
     """A ``foreachBatch`` writer of the rolling snapshot: each batch writes a new version of the table beside the last
-    one, named by its batch id, so a repeated batch writes the same version again. ``now``: a Column."""
+    one, named by its batch id, so a repeated batch writes the same version again; the one before the last goes.
+    ``now``: a Column, or a function of the batch that gives one."""
     def version(n: int) -> str:
         return f"{path}/v={n}"
 
@@ -138,12 +156,18 @@ def snapshot_batches(path: str, now, settings: Settings = DEFAULTS):
 
         new = sn.with_key(batch)
         old = stored(batch.sparkSession, version(batch_id - 1), new)
-        rows = sn.retain(sn.upsert(old, sn.respect_owner(old, new)), now, settings)
+        clock = now(batch) if callable(now) else now
+        rows = sn.retain(sn.upsert(old, sn.respect_owner(old, new)), clock, settings)
         rows.write.mode("overwrite").parquet(version(batch_id))
+        forget(batch.sparkSession, version(batch_id - 2))
 
     return write
 
 
-def archived_rows(stream: DataFrame) -> DataFrame:
-    """Archive rows of a stream, for sinks that need no look back."""
-    return ar.archive_rows(stream)
+def batch_folders(path: str):
+    """A ``foreachBatch`` writer that keeps every micro-batch in a folder of its own: a repeated batch replaces what it
+    wrote before. Reading the path gives the rows with their ``batch``."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return write
