@@ -236,6 +236,11 @@ SELECT *, CASE WHEN main_failed = main THEN 'every lookup failed' WHEN main_fail
   THEN 'most lookups failed' END AS reason FROM v""",
     "first_seen": f"""WITH {ITEMS} SELECT event_id, (SELECT min(ts) FROM items b WHERE b.link = a.link) AS ts
 FROM items a WHERE source_type = 'forum'""",
+    "sealed_due": f"""WITH {DUE}, h AS (SELECT p_brand AS title FROM part GROUP BY p_brand
+  HAVING sum(p_size) % 7 <> 0 AND sum(p_size) % 5 <> 4)
+SELECT h.title, string_agg(m.site, ',' ORDER BY m.site) AS sites FROM h CROSS JOIN (VALUES ('US'), ('UK')) m(site)
+  LEFT JOIN newest n ON n.title = h.title AND n.site = m.site
+WHERE n.checked IS NULL OR n.checked <= (SELECT now FROM clock) - INTERVAL 1410 MINUTE GROUP BY h.title""",
     "due_lookups": f"""WITH {DUE} SELECT title, site, level, CAST(wait AS BIGINT) AS wait, waited FROM (
   SELECT title, site, level, wait, CAST(waited AS DOUBLE) AS waited, sealed FROM due)
 WHERE sealed OR waited IS NULL OR waited >= wait - 30""",

@@ -107,6 +107,28 @@ def due_lookups(titles: DataFrame, latest: DataFrame, steady: DataFrame, now: Co
                                             "pinned", "later")
 
 
+def sealed_due(held: DataFrame, latest: DataFrame, now: Column, settings: Settings = DEFAULTS) -> DataFrame:
+    """title, sealed_sites of the titles that people hold sealed and whose new copies are due on a main site: never asked
+    for, or asked a day ago. ``held``: title, kind, level; ``latest``: title, site, new_checked.
+
+    Consoles and editions have no such search, and rare titles always get one and are left alone."""
+    fits = ~F.coalesce(F.col("kind").isin("console", "edition"), F.lit(False)) & (F.col("level") != "rare")
+    pairs = held.where(fits).select("title").distinct().withColumn("site", F.explode(F.array(*[F.lit(s) for s in MAIN_SITES])))
+    minutes = settings.sealed_every_hours * 60 - settings.early_minutes
+    asked = F.col("new_checked") > now - F.expr(f"INTERVAL {minutes} MINUTES")
+    due = pairs.join(latest.select("title", "site", "new_checked"), ["title", "site"], "left").where(
+        ~F.coalesce(asked, F.lit(False)))
+    return due.groupBy("title").agg(F.sort_array(F.collect_set("site")).alias("sealed_sites"))
+
+
+def search_near(near: DataFrame) -> DataFrame:
+    """The near misses of each day's searches: grouping ``near`` by kind, ``near_title`` by title and kind, in one pass.
+    ``near``: day, title, near, n."""
+    grouped = near.groupingSets([["day", "near"], ["day", "title", "near"]], "day", "title", "near").agg(
+        F.sum("n").alias("n"), F.grouping_id().alias("g"))
+    return grouped.select("day", F.when(F.col("g") == 2, "near").otherwise("near_title").alias("grouping"), "title", "near", "n")
+
+
 def due_order() -> list[Column]:
     """Main sites first, then sealed copies, surging and pinned titles, then by how long a pair has waited."""
     return [F.col("extra"), ~F.col("sealed"), F.col("level") != "surging", ~F.col("pinned"), F.col("later"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from titletide.operators import listings as ls
+from titletide.operators import levels as lv
 from titletide.session import stored
 from titletide.sources import adapters as ad
 
@@ -60,7 +61,15 @@ def console_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ls.console_reasons(rows).groupBy("title", "site", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def near_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often listings nearly named a title that counted nothing on a site, by kind and title, as a day's log."""
+    rows = stored(_classified(spark, sf_dir), "classified")
+    near = ls.near_misses(rows, rows.groupBy("title", "site").agg(F.count_if(F.col("reason") == "nothing").alias("counted")))
+    return lv.search_near(near.withColumn("day", F.lit("today")))
+
+
 QUERIES = {
+    "near_misses": near_misses,
     "listing_reasons": listing_reasons,
     "listing_summary": listing_summary,
     "kept_figures": kept_figures,

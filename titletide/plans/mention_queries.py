@@ -268,6 +268,16 @@ STEADY = Settings(steady_look_days=6, steady_span_days=4, steady_min_rows=3, ste
                   steady_price_range=3.0, steady_copies_range=3.0)
 
 
+def sealed_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands whose new copies are due, when their newest line is the last time they were asked for."""
+    clock = ad.table(spark, sf_dir, "lineitem").agg(F.max("l_shipdate")).scalar().cast("timestamp_ntz")
+    size = F.sum("p_size")
+    held = ad.table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("title")).agg(
+        F.when(size % 7 == 0, "console").alias("kind"), F.when(size % 5 == 4, "rare").otherwise("normal").alias("level"))
+    asked = ad.priced_lines(spark, sf_dir).groupBy("title", "site").agg(F.max("stamp").cast("timestamp_ntz").alias("new_checked"))
+    return lv.sealed_due(held, asked, clock).select("title", F.array_join("sealed_sites", ",").alias("sites"))
+
+
 def due_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lookups(spark, sf_dir).select("title", "site", "level", F.col("wait").cast("bigint").alias("wait"), "waited")
 
@@ -310,6 +320,7 @@ QUERIES = {
     "search_log": search_log,
     "run_verdict": run_verdict,
     "first_seen": first_seen,
+    "sealed_due": sealed_due,
     "due_lookups": due_lookups,
     "lookup_budget": lookup_budget,
 }
