@@ -206,6 +206,34 @@ def test_reuse_and_decoding(spark, library):
     assert reuse.encoded(frame(spark, [])).count() == 0
 
 
+def test_roles_of_shared_chunks_over_batches():
+    import pyarrow as pa
+
+    rows = [(1, 5, 1), (1, 6, 2), (2, 7, 1), (2, 7, 1), (3, 7, 1), (9, 7, 4), (4, 8, 1)]  # block, chunk, docs
+    kinds = (pa.int32(), pa.int64(), pa.int64())
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[a:a + 2]], k) for i, k in enumerate(kinds)],
+                                          names=["block", "chunk", "docs"]) for a in range(0, len(rows), 2)]
+    got = {(r["block"], r["chunk"], r["kind"]) for b in reuse._roles(iter(batches)) for r in b.to_pylist()}
+    assert got == {(1, 6, reuse.LOCAL), (2, 7, reuse.OWN), (3, 7, reuse.FOREIGN), (9, 7, reuse.FOREIGN)}
+
+
+def test_a_chunk_under_a_wrong_key_is_noticed(library):
+    import pyarrow as pa
+
+    made = pieces.Pieces(tokens.VOCABULARY, bytes)
+    texts = [b"some words of a shared chunk", b"no boundary", b""]
+    parts = reuse.encode_parts(texts, made)
+    assert [reuse._part_of(reuse._part_as_bytes(p)) for p in parts] == parts
+    body = b"a start " + texts[0]
+    for shown, kind in ((body, reuse.RESULT), (body + b"!", reuse.FAILED)):
+        waiting = reuse._waiting([(7, reuse._text_key(shown), [b"a start ", 99]), (None, reuse._text_key(b"x y"), [b"x y"])])
+        rows = [(0, reuse.FOREIGN, 99, reuse._part_as_bytes(parts[0])), (0, reuse.TEXTS, None, waiting)]
+        out = [r for b in reuse._second(tokens.VOCABULARY)(iter([reuse._work(rows)])) for r in b.to_pylist()]
+        assert [(r["kind"], r["doc_id"]) for r in out] == [(kind, 7), (reuse.RESULT, None)]
+    ids = pieces.ids_as_bytes(library("a start some words of a shared chunk"))
+    assert reuse.joined_ids([reuse.encode_parts([b"a start "], made) + parts[:1]], made) == [ids]
+
+
 def test_decoder_is_the_library_s(library):
     decoder, made = reuse.Decoder(tokens.VOCABULARY), pieces.Pieces(tokens.VOCABULARY, bytes)
     draw = random.Random(4)

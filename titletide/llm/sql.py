@@ -19,8 +19,8 @@ SQL = {
             FROM documents
         ), sized AS (
             SELECT doc_id, size, xor(4294967295::UBIGINT, list_reduce(
-                list_concat([4294967295::UBIGINT], list_transform(range(size - 8),
-                    lambda i: ('0x' || substr(digits, 2 * i + 1, 2))::UBIGINT)),
+                list_concat([4294967295::UBIGINT], list_transform(regexp_extract_all(digits, '..'),
+                    lambda pair: ('0x' || pair)::UBIGINT)),
                 lambda c, b: xor(c >> 8, step[((xor(c, b) & 255) + 1)::BIGINT])))::BIGINT AS text_crc32
             FROM read, steps
         ), summed AS (
@@ -35,4 +35,51 @@ SQL = {
                NULL::INT AS grown_shard
         FROM cut
     """,
+    "op6_repeated_passages": """
+        WITH read AS (
+            SELECT doc_id, hex(encode(coalesce(text, ''))) AS digits, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+        ), pieces AS (  -- of 200 bytes and what the last string needs beyond them
+            SELECT doc_id, n, part, substr(digits, 400 * part + 1, 498) AS piece
+            FROM (SELECT *, unnest(range((n - 50) // 200 + 1)) AS part FROM read WHERE n >= 50)
+        ), strings AS (
+            SELECT doc_id, 200 * part + inside AS place, substr(piece, 2 * inside + 1, 100) AS string
+            FROM (SELECT *, unnest(range(least(200, n - 49 - 200 * part))) AS inside FROM pieces)
+        ), firsts AS (
+            SELECT string, min(doc_id) AS first_doc FROM strings GROUP BY string HAVING count(*) > 1
+        ), again AS (
+            SELECT doc_id, place, coalesce(place - lag(place) OVER (PARTITION BY doc_id ORDER BY place) > 50, true) AS new
+            FROM strings JOIN firsts USING (string) WHERE first_doc < doc_id
+        ), runs AS (
+            SELECT doc_id, place, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY place) AS run FROM again
+        ), spans AS (
+            SELECT doc_id, min(place) AS low, max(place) + 50 AS high FROM runs GROUP BY doc_id, run
+        ), ordered AS (
+            SELECT *, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 0) AS before FROM spans
+        ), cut AS (
+            SELECT doc_id, sum(high - low)::BIGINT AS n_removed, count(*) AS n_spans, max(high) AS rest,
+                   string_agg(substr(digits, 2 * before + 1, 2 * (low - before)), '' ORDER BY low) AS kept
+            FROM ordered JOIN read USING (doc_id) GROUP BY doc_id
+        )
+        SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(coalesce(kept, '') || substr(digits, 2 * coalesce(rest, 0) + 1))) AS kept_sha256
+        FROM read LEFT JOIN cut USING (doc_id)
+    """,
+    "op8_embedding_dedup": """
+        WITH RECURSIVE read AS (
+            SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), links AS (
+            SELECT a.vec_id AS one, b.vec_id AS other FROM read a JOIN read b
+            ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9
+        ), reached AS (
+            SELECT vec_id AS one, vec_id AS other FROM embeddings
+            UNION SELECT reached.one, links.other FROM reached JOIN links ON links.one = reached.other
+        ), lowest AS (
+            SELECT one AS vec_id, min(other) AS component_id FROM reached GROUP BY one
+        )
+        SELECT vec_id, (SELECT count(*) FROM links WHERE one = vec_id) AS n_links, component_id,
+               vec_id = component_id AS kept
+        FROM lowest
+    """,
 }
