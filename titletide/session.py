@@ -64,8 +64,13 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def _forget_quietly(spark: SparkSession, folder: str) -> None:
-    with contextlib.suppress(Exception):  # the session may be gone before Python is
-        forget(spark, folder)
+    """At the end of Python, when the session may be gone already: a mounted folder needs no session."""
+    local = re.sub("^file:/+", "/", folder)
+    if local.startswith("/"):
+        shutil.rmtree(local, ignore_errors=True)
+    else:
+        with contextlib.suppress(Exception):
+            forget(spark, folder)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
