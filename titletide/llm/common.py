@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import struct
+
+import numpy as np
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,3 +36,21 @@ def partitions_for(spark: SparkSession, size: int, each: int) -> int:
 def ids_and_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only what an operator reads, under its own names, so that other columns of the table never clash."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def tied(*arrays: np.ndarray, level: int = 3) -> bytes:
+    """Arrays as one compressed message."""
+    head = json.dumps([(a.dtype.str, len(a)) for a in arrays]).encode()
+    return zstandard.ZstdCompressor(level=level).compress(
+        struct.pack("<I", len(head)) + head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+
+
+def untied(body: bytes) -> list[np.ndarray]:
+    """The arrays of a message."""
+    whole = zstandard.ZstdDecompressor().decompress(body)
+    (size,) = struct.unpack_from("<I", whole)
+    at, out = 4 + size, []
+    for kind, n in json.loads(whole[4:at]):
+        out.append(np.frombuffer(whole, dtype=kind, count=n, offset=at))
+        at += out[-1].nbytes
+    return out

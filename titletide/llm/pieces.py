@@ -17,6 +17,7 @@ import numpy as np
 import public_tokenizers
 
 KNOWN = 700_000  # pieces that a worker remembers at most
+KEPT = 200_000  # of them that it keeps between tasks
 LONGEST = 96  # characters of a piece that is worth remembering
 BATCH = 1 << 19  # bytes that go to the library at once
 SLICE = 1 << 20  # characters of a text that are cut into pieces at once
@@ -128,6 +129,11 @@ class Pieces:
             else:
                 yield [head, *map(known.__getitem__, s[1:])]
 
+    def rest(self) -> None:
+        """At the end of a task: a large table of pieces goes, so that idle workers hold little."""
+        if len(self.known) > KEPT:
+            self.known = {}
+
     def of_each(self, texts: list[str], join: Callable[[list[object]], object]) -> Iterator[object]:
         """``join`` of the parts of every text; texts are met in groups, and long ones in slices, of bounded size."""
         group, held = [], 0

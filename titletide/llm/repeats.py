@@ -21,18 +21,15 @@ which phrases a document has, the dictionary holds each different phrase once.
 from __future__ import annotations
 
 import hashlib
-import json
-import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from titletide.llm.common import ids_and_texts, partitions_for, utf8_size
+from titletide.llm.common import ids_and_texts, partitions_for, tied, untied, utf8_size
 from titletide.session import stored
 
 SPAN = 50  # bytes of a string
@@ -55,22 +52,6 @@ _POWERS = {n: np.uint64(pow(FACTOR, n, 1 << 64)) for n in (1, 2, 4, 8, 16)}
 _HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 
 
-def _tie(*arrays: np.ndarray, level: int = 3) -> bytes:
-    head = json.dumps([(a.dtype.str, len(a)) for a in arrays]).encode()
-    return zstandard.ZstdCompressor(level=level).compress(
-        struct.pack("<I", len(head)) + head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
-
-
-def _untie(body: bytes) -> list[np.ndarray]:
-    whole = zstandard.ZstdDecompressor().decompress(body)
-    (size,) = struct.unpack_from("<I", whole)
-    at, out = 4 + size, []
-    for kind, n in json.loads(whole[4:at]):
-        out.append(np.frombuffer(whole, dtype=kind, count=n, offset=at))
-        at += out[-1].nbytes
-    return out
-
-
 def _message(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)],
@@ -81,7 +62,7 @@ class Block:
     """Some documents: their ids, whether they have one, what is carried along, and their bytes one after the other."""
 
     def __init__(self, body: bytes):
-        self.ids, self.known, sizes, self.data, carried, carried_sizes = _untie(body)
+        self.ids, self.known, sizes, self.data, carried, carried_sizes = untied(body)
         self.ends = np.cumsum(sizes)
         self.starts = self.ends - sizes
         ends = np.cumsum(carried_sizes).tolist()
@@ -90,7 +71,7 @@ class Block:
 
     @staticmethod
     def packed(ids: list, bodies: list[bytes], carried: list[bytes]) -> bytes:
-        return _tie(np.array([i or 0 for i in ids], dtype=np.int64), np.array([i is not None for i in ids], dtype=bool),
+        return tied(np.array([i or 0 for i in ids], dtype=np.int64), np.array([i is not None for i in ids], dtype=bool),
                     np.array(list(map(len, bodies)), dtype=np.int64), np.frombuffer(b"".join(bodies), dtype=np.uint8),
                     np.frombuffer(b"".join(carried), dtype=np.uint8), np.array(list(map(len, carried)), dtype=np.int64), level=TEXT_LEVEL)
 
@@ -198,7 +179,7 @@ def _ascending(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """Ascending keys as differences, by planes of bytes, and the counts above one."""
     steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
     several = np.flatnonzero(counts > 1)
-    return _tie(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).ravel(), several.astype(np.uint32),
+    return tied(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).ravel(), several.astype(np.uint32),
                 np.minimum(counts[several], 1 << 30).astype(np.uint32))
 
 
@@ -229,7 +210,7 @@ def _shared(hot_from: int):
         for _, messages in _by_target(batches):
             keys, sources, counts = [], [], []
             for _, source, body in messages:
-                planes, several, number = _untie(body)
+                planes, several, number = untied(body)
                 own = _short_keys(planes)
                 count = np.ones(len(own), dtype=np.int64)
                 count[several] = number
@@ -247,7 +228,7 @@ def _shared(hot_from: int):
             order = np.argsort(sources, kind="stable")
             keys, sources, hot = keys[order], sources[order], hot[order]
             cuts = np.concatenate(([0], np.flatnonzero(np.diff(sources)) + 1, [len(sources)])).tolist()
-            rows = [(int(sources[low]), SHARED, None, _tie(keys[low:high], hot[low:high]))
+            rows = [(int(sources[low]), SHARED, None, tied(keys[low:high], hot[low:high]))
                     for low, high in zip(cuts, cuts[1:]) if high > low]
             if rows:
                 yield _message(rows)
@@ -258,7 +239,7 @@ def _phrases(buckets: int):
     """Step 3: what a block has at shared triggers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, messages in _by_target(batches):
-            known = [_untie(body) for kind, _, body in messages if kind == SHARED]
+            known = [untied(body) for kind, _, body in messages if kind == SHARED]
             texts = [body for kind, _, body in messages if kind == TEXTS]
             if not known or not texts:
                 continue
@@ -312,7 +293,7 @@ def _dictionary_rows(block: Block, number: int, buckets: int, first: np.ndarray,
     rows = []
     if again.any():
         local = first[again] - block.starts[docs[again]]
-        rows.append((number % buckets, FOUND, number, _tie(docs[again], local, local + strings[again] + SPAN - 1)))
+        rows.append((number % buckets, FOUND, number, tied(docs[again], local, local + strings[again] + SPAN - 1)))
     kept = np.flatnonzero(~again)
     if len(kept):
         chosen = kept[np.argsort(place[kept], kind="stable")]
@@ -329,7 +310,7 @@ def _dictionary_rows(block: Block, number: int, buckets: int, first: np.ndarray,
             part = by_bucket[low:high]
             members = np.concatenate([chosen[head[p]:head[p] + times[p]] for p in part])
             bodies = [texts[place[chosen[head[p]]]] for p in part]
-            rows.append((bucket, PHRASES, number, _tie(
+            rows.append((bucket, PHRASES, number, tied(
                 np.frombuffer(b"".join(bodies), dtype=np.uint8), np.array(list(map(len, bodies)), dtype=np.int32), keys[part],
                 ids[chosen[head[part]]], times[part].astype(np.int32), docs[members].astype(np.int32),
                 first[members] - block.starts[docs[members]], level=TEXT_LEVEL)))
@@ -342,7 +323,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed = [(source, FOUND, None, body) for kind, source, body in messages if kind == FOUND]
         if passed:
             yield _message(passed)
-        given = [(source, _untie(body)) for kind, source, body in messages if kind == PHRASES]
+        given = [(source, untied(body)) for kind, source, body in messages if kind == PHRASES]
         if given:
             rows = _bucket_repeats(given)
             if rows:
@@ -399,7 +380,7 @@ def _bucket_repeats(given: list[tuple[int, list[np.ndarray]]]) -> list[tuple]:
     blocks, docs_out, lows, highs = (np.concatenate([o[i] for o in out]) for i in range(4))
     order = np.argsort(blocks, kind="stable")
     cuts = np.concatenate(([0], np.flatnonzero(np.diff(blocks[order])) + 1, [len(order)])).tolist()
-    return [(int(blocks[order[a]]), FOUND, None, _tie(docs_out[order[a:b]].astype(np.int64), lows[order[a:b]], highs[order[a:b]]))
+    return [(int(blocks[order[a]]), FOUND, None, tied(docs_out[order[a:b]].astype(np.int64), lows[order[a:b]], highs[order[a:b]]))
             for a, b in zip(cuts, cuts[1:]) if b > a]
 
 
@@ -457,7 +438,7 @@ def _remove(keep: bool):
             if not texts:
                 continue
             block = Block(texts[0])
-            found = [_untie(body) for kind, _, body in messages if kind == FOUND]
+            found = [untied(body) for kind, _, body in messages if kind == FOUND]
             empty = np.zeros(0, dtype=np.int64)
             docs, lows, highs = merged(*(np.concatenate([empty, *(f[i] for f in found)]) for i in range(3)))
             edges = np.searchsorted(docs, np.arange(len(block.ids) + 1)).tolist()

@@ -5,14 +5,15 @@ A rolling hash over 16 bytes cuts texts into chunks, so equal passages give equa
 1. Texts are scanned: each document tells which chunks it has. A chunk that several documents have is shared; the
    smallest block that holds it is its owner.
 2. Texts go to blocks by a hash of the document. The owner encodes each of its shared chunks once and gives out the ids.
-   A document without chunks from other blocks is finished here; the others leave their compressed text.
-3. Blocks get the ids of the foreign chunks and finish the rest.
+   A document without chunks of other owners is finished here; of the rest only the text outside shared chunks and the
+   keys of these go on.
+3. Blocks get the ids of the shared chunks they wait for and finish the rest.
 
-A chunk is encoded from its first to its last safe boundary, a space that begins a word. Where two chunks join, the text
-between the last safe boundary of the one and the first of the other is encoded anew; if a chunk has no such boundary,
+A chunk is encoded from its first to its last safe boundary, a space that begins a word. Where two parts join, the text
+between the last safe boundary of the one and the first of the other is encoded anew; if a part has no such boundary,
 the window goes on through it. Both edges are places where the library's own encoding starts afresh, so the result is
-exactly that of the whole text. Every result is decoded and held against the text; without agreement the text is
-encoded anew as a whole.
+exactly that of the whole text. Every result is decoded and held against the text, or against its hash where the text
+did not go on; without agreement (two chunks under one key) the text is encoded anew as a whole.
 """
 
 from __future__ import annotations
@@ -30,22 +31,25 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from titletide.llm.common import ids_and_texts, partitions_for, utf8_size
+from titletide.llm.common import ids_and_texts, partitions_for, tied, untied, utf8_size
 from titletide.llm.pieces import Pieces, encoder
 from titletide.llm.tokens import VOCABULARY
 from titletide.session import stored
 
+SPARK_SEED = 42  # of Spark's xxhash64
 WINDOW = 16  # bytes under the rolling hash
 CUT_BITS = 8  # a chunk has about 2^8 bytes
 FACTOR = 0x9E3779B97F4A7C15  # odd multiplier of the rolling hash
 LONGEST = 1 << 14  # bytes after which a chunk ends in any case
 STRETCH = 1 << 20  # bytes of text in one packed row
 BLOCK = 8 << 20  # bytes of text in a block
-SEEN = "block int, chunk long, doc_id long, docs long"
+SEEN = "block int, chunk long, docs long"
+WORTH = 64  # bytes that a chunk must have to be shared
+TEXT_LEVEL = 9  # of compression
 WORK = "block int, kind int, chunk long, body binary"
 DONE = "kind int, block int, doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, chunk long, body binary"
-TEXTS, OWN, FOREIGN = 2, 0, 1  # kinds of rows that a block gets; those about chunks come first
-RESULT, CODED, WAITING = 0, 1, 2  # kinds of rows that it gives
+OWN, LOCAL, FOREIGN, TEXTS = 0, 1, 2, 3  # kinds of rows that a block gets: chunks to give out, to keep, to wait for; texts
+RESULT, CODED, WAITING, FAILED = 0, 1, 2, 3  # kinds of rows that it gives
 
 
 def chunk_ends(body: bytes) -> np.ndarray:
@@ -111,7 +115,7 @@ def _scan(vocabulary: str, blocks: int):
                 if _has_special(body, special):
                     continue
                 block = _block_of(doc, body, blocks)
-                for key in {_key(c) for c in _chunks(body)}:
+                for key in {_key(c) for c in _chunks(body) if len(c) >= WORTH}:
                     seen[block, key] = seen.get((block, key), 0) + 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in seen], pa.int32()), pa.array([k[1] for k in seen], pa.int64()),
@@ -119,10 +123,37 @@ def _scan(vocabulary: str, blocks: int):
     return run
 
 
+def _roles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``SEEN`` in order of chunk and block become the shared chunks' rows for their blocks."""
+    def out(block: np.ndarray, chunk: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
+        new = np.ones(len(chunk), dtype=bool)
+        new[1:] = chunk[1:] != chunk[:-1]
+        new_block = new.copy()
+        new_block[1:] |= block[1:] != block[:-1]
+        first = np.flatnonzero(new)
+        sizes = np.diff(np.append(first, len(chunk)))
+        blocks, total = np.add.reduceat(new_block, first), np.add.reduceat(docs, first)
+        kind = np.where(new, np.where(np.repeat(blocks, sizes) > 1, OWN, LOCAL), FOREIGN).astype(np.int32)
+        keep = new_block & (np.repeat(total, sizes) > 1)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(block[keep]), pa.array(kind[keep]), pa.array(chunk[keep]), pa.nulls(int(keep.sum()), pa.binary())],
+            names=["block", "kind", "chunk", "body"])
+
+    held = [np.zeros(0, dtype=d) for d in (np.int32, np.int64, np.int64)]
+    for batch in batches:
+        rows = [np.concatenate((h, batch.column(c).to_numpy())) for h, c in zip(held, ("block", "chunk", "docs"))]
+        edge = int(np.searchsorted(rows[1], rows[1][-1])) if len(rows[1]) else 0  # the last chunk may go on
+        if edge:
+            yield out(*(r[:edge] for r in rows))
+        held = [r[edge:] for r in rows]
+    if len(held[1]):
+        yield out(*held)
+
+
 def _packed(rows: list[tuple[int | None, bytes]]) -> bytes:
     head = b"".join(struct.pack("<?qq", doc is not None, doc or 0, len(body)) for doc, body in rows)
     whole = struct.pack("<q", len(rows)) + head + b"".join(body for _, body in rows)
-    return zstandard.ZstdCompressor(level=5).compress(whole)
+    return zstandard.ZstdCompressor(level=TEXT_LEVEL).compress(whole)
 
 
 def _unpacked(packed: bytes) -> Iterator[tuple[int | None, bytes]]:
@@ -191,30 +222,28 @@ def _begins(chunk: bytes, space: int) -> bool:
     return 0x21 <= after < 0x7F or 0xC3 <= after <= 0xDF
 
 
-def encode_chunks(chunks: list[bytes], pieces: Pieces) -> list[bytes]:
-    """The ids of each chunk between its first and last safe boundary; empty where there are none."""
-    inner = []
-    for chunk in chunks:
-        first, last = _safe(chunk)
-        inner.append(chunk[first:last].decode() if first < last else "")
-    return list(pieces.of_each(inner, b"".join))
+Part = tuple[bytes, bytes | None, bytes]  # text before the first safe boundary, ids, text after the last one
+
 
+def encode_parts(texts: list[bytes], pieces: Pieces) -> list[Part]:
+    """Each text with the ids between its first and last safe boundary; without one it is all in front, with no ids."""
+    places = [_safe(t) for t in texts]
+    inner = pieces.of_each([t[a:b].decode() if a >= 0 else "" for t, (a, b) in zip(texts, places)], b"".join)
+    return [(t[:a], ids, t[b:]) if a >= 0 else (t, None, b"") for t, (a, b), ids in zip(texts, places, inner)]
 
-def joined_ids(bodies: list[list[bytes]], coded: dict[int, bytes], pieces: Pieces) -> list[bytes]:
-    """The ids of documents given as chunks: inner ids as they are, and every window around a join encoded anew."""
+
+def joined_ids(documents: list[list[Part]], pieces: Pieces) -> list[bytes]:
+    """The ids of documents given in parts: inner ids as they are, and every window around a join encoded anew."""
     plans, windows = [], []
-    for chunks in bodies:
+    for parts in documents:
         plan, open_text = [], b""
-        for chunk in chunks:
-            first, last = _safe(chunk)
-            if first < 0:
-                open_text += chunk
+        for head, ids, tail in parts:
+            if ids is None:
+                open_text += head
                 continue
-            plan.append(len(windows))
-            windows.append((open_text + chunk[:first]).decode())
-            if first < last:
-                plan.append(coded[_key(chunk)])
-            open_text = chunk[last:]
+            plan += [len(windows), ids]
+            windows.append((open_text + head).decode())
+            open_text = tail
         plan.append(len(windows))
         windows.append(open_text.decode())
         plans.append(plan)
@@ -222,6 +251,66 @@ def joined_ids(bodies: list[list[bytes]], coded: dict[int, bytes], pieces: Piece
     return [b"".join(ids[p] if isinstance(p, int) else p for p in plan) for plan in plans]
 
 
+def _part_as_bytes(part: Part) -> bytes:
+    """Ids of small vocabularies take two bytes each."""
+    head, ids, tail = part
+    wide = np.frombuffer(ids or b"", dtype="<u4")
+    width = 0 if ids is None else 2 if not len(wide) or wide.max() < 1 << 16 else 4
+    return struct.pack("<BII", width, len(head), len(tail)) + head + tail + (wide.astype("<u2").tobytes() if width == 2 else ids or b"")
+
+
+def _part_of(body: bytes) -> Part:
+    width, head, tail = struct.unpack_from("<BII", body)
+    at = 9 + head + tail
+    ids = body[at:] if width == 4 else np.frombuffer(body, dtype="<u2", offset=at).astype("<u4").tobytes()
+    return body[9:9 + head], ids if width else None, body[9 + head:at]
+
+
+Segments = list[bytes | int]  # a document as plain text and the keys of shared chunks
+
+
+def _segments(chunks: list[bytes], shared: set[int]) -> Segments:
+    out: Segments = []
+    for chunk in chunks:
+        key = _key(chunk) if len(chunk) >= WORTH else None
+        if key is not None and key in shared:
+            out.append(key)
+        elif out and isinstance(out[-1], bytes):
+            out[-1] += chunk
+        else:
+            out.append(chunk)
+    return out
+
+
+def _waiting(rows: list[tuple[int | None, int, Segments]]) -> bytes:
+    """Documents that wait, with the hash of their text."""
+    plain = [s for _, _, segments in rows for s in segments if isinstance(s, bytes)]
+    sizes = [len(s) if isinstance(s, bytes) else -1 for _, _, segments in rows for s in segments]
+    keys = [s for _, _, segments in rows for s in segments if isinstance(s, int)]
+    return tied(np.array([d or 0 for d, _, _ in rows], dtype=np.int64), np.array([d is not None for d, _, _ in rows], dtype=bool),
+                np.array([h for _, h, _ in rows], dtype=np.int64), np.array([len(s) for _, _, s in rows], dtype=np.int64),
+                np.array(sizes, dtype=np.int32), np.array(keys, dtype=np.int64), np.frombuffer(b"".join(plain), dtype=np.uint8),
+                level=TEXT_LEVEL)
+
+
+def _waited(body: bytes) -> Iterator[tuple[int | None, int, Segments]]:
+    ids, known, hashes, counts, sizes, keys, plain = untied(body)
+    sizes, keys, text = iter(sizes.tolist()), iter(keys.tolist()), plain.tobytes()
+    at = 0
+    for doc, has, digest, n in zip(ids.tolist(), known.tolist(), hashes.tolist(), counts.tolist()):
+        segments: Segments = []
+        for _ in range(n):
+            size = next(sizes)
+            segments.append(next(keys) if size < 0 else text[at:at + size])
+            at += max(size, 0)
+        yield (doc if has else None), digest, segments
+
+
+def _text_key(body: bytes) -> int:
+    key = xxhash.xxh64_intdigest(body, SPARK_SEED)
+    return key - (1 << 64) if key >> 63 else key
+
+
 class Decoder:
     """Turns ids back into text, by the bytes behind each id of a byte-level vocabulary."""
 
@@ -252,64 +341,100 @@ def decoder(vocabulary: str) -> Decoder:
     return _DECODERS[vocabulary]
 
 
-def _finish(vocabulary: str, last: bool):
-    """The work of a block. First come rows about its chunks (its own to encode, or those that others encode), then its
-    texts, packed row by packed row."""
+def _result(block: int, doc: int | None, ids: bytes, text: str) -> tuple:
+    return (RESULT, block, doc, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), None, None)
+
+
+def _first(vocabulary: str):
+    """A block's first turn: rows about its chunks, then its texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, back = encoder(vocabulary), decoder(vocabulary)
         special = [s.encode() for s in pieces.special]
-        block, own, foreign, known = None, set(), {}, {}
+        block, given, kept, foreign, known = None, set(), set(), set(), {}
         for batch in batches:
             for at, kind, chunk, packed in zip(*(batch.column(c).to_pylist() for c in ("block", "kind", "chunk", "body"))):
                 if at != block:
-                    block, own, foreign, known = at, set(), {}, {}
-                if kind == OWN:
-                    own.add(chunk)
-                    continue
-                if kind == FOREIGN:
-                    foreign[chunk] = packed
+                    block, given, kept, foreign, known = at, set(), set(), set(), {}
+                if kind != TEXTS:
+                    {OWN: given, LOCAL: kept, FOREIGN: foreign}[kind].add(chunk)
                     continue
+                shared = given | kept | foreign
                 ready, waiting, new = [], [], {}
                 for doc, body in _unpacked(packed):
-                    chunks = None if _has_special(body, special) else _chunks(body)
-                    keyed = {} if chunks is None else {_key(c): c for c in chunks}
-                    waits = not last and not foreign.keys().isdisjoint(keyed)
+                    if _has_special(body, special):
+                        ready.append((doc, body, None))
+                        continue
+                    chunks = _chunks(body)
+                    segments = _segments(chunks, shared)
+                    keys = {s for s in segments if isinstance(s, int)}
+                    waits = not foreign.isdisjoint(keys)
+                    if not keys.issubset(known):
+                        wanted = (keys & given) if waits else keys
+                        new |= {k: c for c in chunks if len(c) >= WORTH and (k := _key(c)) in wanted and k not in known}
                     if waits:
-                        waiting.append((doc, body))
+                        local = _segments(chunks, given | foreign)  # what only this block shares is not sent
+                        waiting.append((doc, _text_key(body), local))
                     else:
-                        ready.append((doc, body, chunks))
-                    new |= {k: c for k, c in keyed.items()
-                            if k not in known and k not in foreign and (k in own or not waits)}
-                fresh = dict(zip(new, encode_chunks(list(new.values()), pieces)))
-                shared = {k: ids for k, ids in fresh.items() if k in own}
-                known |= shared  # what several documents have is kept for the whole block
-                out = [(CODED, block, None, None, None, None, k, ids) for k, ids in shared.items()]
-                table = _Tables(known, fresh, foreign)
-                coded = iter(joined_ids([c for _, _, c in ready if c is not None], table, pieces))
-                for doc, body, chunks in ready:
+                        ready.append((doc, body, segments))
+                coded = dict(zip(new, encode_parts(list(new.values()), pieces)))
+                known |= coded
+                out = [(CODED, block, None, None, None, None, k, _part_as_bytes(p)) for k, p in coded.items() if k in given]
+                plain = iter(encode_parts([s for _, _, g in ready for s in g or () if isinstance(s, bytes)], pieces))
+                parts = [[known[s] if isinstance(s, int) else next(plain) for s in g] for _, _, g in ready if g is not None]
+                joined = iter(joined_ids(parts, pieces))
+                for doc, body, segments in ready:
                     text = body.decode()
-                    ids = next(coded) if chunks is not None else None
+                    ids = next(joined) if segments is not None else None
                     decoded = back.text(ids) if ids is not None else None
-                    if decoded != text:  # special strings, or two chunks under one key: no agreement, so all anew
+                    if decoded != text:
                         [ids] = pieces.encode([text])
                         decoded = back.text(ids)
-                    out.append((RESULT, block, doc, len(ids) // 4, hashlib.sha256(ids).hexdigest(),
-                                hashlib.sha256(decoded.encode()).hexdigest(), None, None))
+                    out.append(_result(block, doc, ids, decoded))
                 if waiting:
-                    out.append((WAITING, block, None, None, None, None, None, _packed(waiting)))
+                    out.append((WAITING, block, None, None, None, None, None, _waiting(waiting)))
                 yield _done(out)
+        pieces.rest()
     return run
 
 
-class _Tables(dict):
-    """Several tables of coded chunks looked up as one."""
+def _second(vocabulary: str):
+    """A block's second turn: the shared chunks it waits for, then its waiting documents."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, back = encoder(vocabulary), decoder(vocabulary)
+        block, known = None, {}
+        for batch in batches:
+            for at, kind, chunk, packed in zip(*(batch.column(c).to_pylist() for c in ("block", "kind", "chunk", "body"))):
+                if at != block:
+                    block, known = at, {}
+                if kind != TEXTS:
+                    known[chunk] = packed
+                    continue
+                rows = list(_waited(packed))
+                plain = iter(encode_parts([s for _, _, g in rows for s in g if isinstance(s, bytes)], pieces))
+                parts = [[_part_of(known[s]) if isinstance(s, int) else next(plain) for s in g] for _, _, g in rows]
+                out = []
+                for (doc, digest, _), ids in zip(rows, joined_ids(parts, pieces)):
+                    text = back.text(ids)
+                    if _text_key(text.encode()) == digest:
+                        out.append(_result(block, doc, ids, text))
+                    else:
+                        out.append((FAILED, block, doc, None, None, None, digest, None))
+                yield _done(out)
+        pieces.rest()
+    return run
 
-    def __init__(self, *tables: dict[int, bytes]):
-        super().__init__()
-        self.tables = tables
 
-    def __missing__(self, key: int) -> bytes:
-        return next(t[key] for t in self.tables if key in t)
+def _whole(vocabulary: str):
+    """Texts encoded as a whole, without any chunks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, back = encoder(vocabulary), decoder(vocabulary)
+        for batch in batches:
+            out = []
+            for doc, body in _bodies(batch):
+                [ids] = pieces.encode([body.decode()])
+                out.append(_result(0, doc, ids, back.text(ids)))
+            yield _done(out)
+    return run
 
 
 def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -322,21 +447,24 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
     read = ids_and_texts(docs, id_col, text_col)
     size = read.agg(F.sum(utf8_size(F.col("text")))).first()[0] or 0
     blocks = max(64, partitions_for(spark, size, BLOCK))
-    seen = stored(read.mapInArrow(_scan(vocabulary, blocks), "block int, chunk long, docs long"), "reuse-seen")
-    shared = stored(seen.groupBy("chunk").agg(F.min("block").alias("owner"), F.sum("docs").alias("docs"))
-                    .where("docs > 1").select("chunk", "owner"), "reuse-shared")
-    needs = stored(seen.join(shared, "chunk").select("block", "chunk", "owner").distinct(), "reuse-needs")
+    seen = read.mapInArrow(_scan(vocabulary, blocks), SEEN)
+    roles = stored(seen.repartition(blocks, "chunk").sortWithinPartitions("chunk", "block").mapInArrow(_roles, WORK), "reuse-roles")
     texts = read.mapInArrow(_deal(blocks), WORK)
-    roles = needs.select("block", F.when(F.col("block") == F.col("owner"), OWN).otherwise(FOREIGN).alias("kind"), "chunk",
-                         F.lit(None).cast("binary").alias("body"))
 
     def met(rows: DataFrame) -> DataFrame:
         return rows.repartition(blocks, "block").sortWithinPartitions("block", "kind")
 
-    first = stored(met(texts.unionByName(roles)).mapInArrow(_finish(vocabulary, False), DONE), "reuse-first")
-    given = first.where(F.col("kind") == CODED).select("chunk", "body")
-    sent = needs.join(given, "chunk").select("block", F.lit(FOREIGN).alias("kind"), "chunk", "body")
+    first = stored(met(texts.unionByName(roles)).mapInArrow(_first(vocabulary), DONE), "reuse-first")
+    coded = first.where(F.col("kind") == CODED).select("chunk", "body")
+    sent = roles.where(F.col("kind") != LOCAL).select("block", "chunk").join(coded, "chunk").select(
+        "block", F.lit(FOREIGN).alias("kind"), "chunk", "body")
     left = first.where(F.col("kind") == WAITING).select("block", F.lit(TEXTS).alias("kind"), F.lit(None).cast("long").alias("chunk"), "body")
-    second = met(left.unionByName(sent)).mapInArrow(_finish(vocabulary, True), DONE)
+    second = stored(met(left.unionByName(sent)).mapInArrow(_second(vocabulary), DONE), "reuse-second")
     columns = ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
-    return first.where(F.col("kind") == RESULT).select(*columns).unionByName(second.where(F.col("kind") == RESULT).select(*columns))
+    done = first.unionByName(second).where(F.col("kind") == RESULT).select(*columns)
+    failed = second.where(F.col("kind") == FAILED).select(F.col("doc_id").alias("id"), F.col("chunk").alias("text_key"))
+    if failed.isEmpty():
+        return done
+    keyed = read.withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    again = keyed.join(failed, keyed["doc_id"].eqNullSafe(failed["id"]) & (keyed["key"] == failed["text_key"]), "left_semi")
+    return done.unionByName(again.select("doc_id", "text").mapInArrow(_whole(vocabulary), DONE).select(*columns))
