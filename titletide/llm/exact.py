@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from titletide.llm.common import ids_and_texts, partitions_for
 from titletide.session import stored
 
-STRETCH = 32 << 20  # bytes of different texts that a map task folds at once
+STRETCH = 8 << 20  # bytes of different texts that a map task folds at once
 SPARK_SEED = 42  # of Spark's xxhash64
 OWNED = 16 << 20  # bytes of text that an owner should get
 ENTRY = "doc_id long, key long, text_sha256 string, n_bytes long, text_key long"

@@ -48,6 +48,7 @@ def _pieces(vocabulary: str, capacity: int, end: int):
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)],
                                              names=[x.split()[0] for x in PIECE.split(", ")])
+        pieces.rest()
     return run
 
 

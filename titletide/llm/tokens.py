@@ -23,6 +23,7 @@ def _count(vocabulary: str):
             counts = pa.array(pieces.of_each(texts, sum), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), counts],
                                              names=["doc_id", "n_bytes", "n_tokens"])
+        pieces.rest()
     return run
 
 
