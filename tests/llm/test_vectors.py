@@ -82,3 +82,36 @@ def test_forest_joins_what_is_linked():
     rows /= np.linalg.norm(rows, axis=1, keepdims=True)
     links = embeddings.vector_forest(np.array([10, 11, 12, 13]), rows, 0.9)
     assert {frozenset(x) for x in links} == {frozenset((10, 11)), frozenset((11, 12))}
+
+
+@pytest.mark.parametrize("length, vectors", [(0.0, 50_000), (1.0, 50_000), (1.0, 10_000_000), (2.0, 3_000_000), (5.0, 50_000)])
+def test_recall_with_a_common_direction(length, vectors):
+    """A mean as long as the spread, or longer, and plans for millions of vectors: pairs at 0.9 still share a key."""
+    draw = np.random.default_rng(4)
+    common = length * np.eye(64)[0]
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    sample, a = (unit(common + draw.normal(scale=1 / 8, size=(n, 64))) for n in (2000, 3000))
+    side = draw.normal(size=a.shape)
+    side = unit(side - (a * side).sum(axis=1, keepdims=True) * a)
+    b = 0.9 * a + math.sqrt(1 - 0.81) * side
+    bits, parts, centre, projections = embeddings.measured_plan(vectors, sample)
+    met = np.zeros(len(a), dtype=bool)
+    for p in projections:
+        same = ((a - centre) @ p >= 0) == ((b - centre) @ p >= 0)
+        for part in range(parts):
+            met |= same[:, part * bits:(part + 1) * bits].all(axis=1)
+    assert met.mean() >= 0.94
+    assert bits > 0 or length == 5.0
+
+
+def test_links_with_a_common_direction(spark):
+    """Pairs at 0.901 among vectors whose unlike pairs are at about 0.5; each pair is a component."""
+    draw = np.random.default_rng(6)
+    a = draw.normal(size=(400, 64)) / 8 + np.eye(64)[0]
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    side = draw.normal(size=a.shape)
+    side -= (a * side).sum(axis=1, keepdims=True) * a
+    b = 0.901 * a + math.sqrt(1 - 0.901 ** 2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    table = [(i, v.tolist()) for i, v in enumerate(np.concatenate((a, b)))]
+    got = embeddings.near_vectors(spark.createDataFrame(table, "vec_id long, embedding array<double>")).collect()
+    assert sum(r.n_links > 0 for r in got) >= 0.94 * len(table)

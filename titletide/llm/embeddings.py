@@ -1,9 +1,11 @@
 """Near-duplicate vectors by iterative quantisation and multi-index Hamming tables.
 
 Rotations are learned so that the signs of the rotated vectors make balanced codes. Each code is cut into parts, and
-every part is the key of one table: vectors at a small angle agree on at least one part. What meets in a bucket is
-compared with the vectors themselves, in double precision, and a bucket gives a spanning forest of its links. The
-forests make components, and inside its component every vector's links are counted with the vectors again.
+every part is the key of one table: vectors at a small angle agree on at least one part. How often they do depends on
+the data, as signs are taken from the mean: it is measured with partners made for sampled vectors, and codes are added
+until enough of them share a key. What meets in a bucket is compared with the vectors themselves, in double precision,
+and a bucket gives a spanning forest of its links. The forests make components, and inside its component every
+vector's links are counted with the vectors again.
 
 Buckets and components above ``TILE`` vectors are cut into tiles, and each pair of tiles is a group of its own, so no
 task holds more than two tiles. Equal vectors go through all this as one.
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +32,17 @@ BITS = 64  # of a code, at most
 SAMPLE = 8192  # vectors that the rotations are learned from, at most
 TURNS = 40  # steps of a rotation's learning
 TILE = 4096
+PARTNERS = 2048  # more sampled vectors, which rotations are not learned from, that get partners at the threshold, at most
+LEAST_BITS = 4  # of a key
+ROW = 2000  # what sending a vector to one table costs, in comparisons of two vectors
+FREE = 200_000  # comparisons a vector that keys may cost before all pairs are thought of
 
 
 
 def table_plan(vectors: int, dimensions: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int, int]:
-    """(bits of a key, keys of a code, codes): keys long enough that unlike vectors rarely meet, and as many as it takes
-    for a pair at the threshold to agree on one of them with probability ``recall``."""
+    """(bits of a key, keys of a code, codes) for vectors without a common direction: keys long enough that unlike vectors
+    rarely meet, and as many as it takes for a pair at the threshold to agree on one of them with probability ``recall``.
+    ``measured_plan`` makes no such assumption."""
     width = min(dimensions, BITS)
     bits = max(1, min(width, 24, max(8, math.ceil(math.log2(max(vectors, 2))) - 3)))
     same = (1 - math.acos(threshold) / math.pi) ** bits
@@ -42,9 +50,8 @@ def table_plan(vectors: int, dimensions: int, threshold: float = THRESHOLD, reca
     return bits, width // bits, -(-tables // (width // bits))
 
 
-def learn_rotations(sample: np.ndarray, codes: int, seed: int = 3) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(centre, projections): principal directions of unit vectors, each time turned by a rotation that brings the signs
-    as close to the values as it can, from another random start."""
+def _rotations(sample: np.ndarray, seed: int = 3) -> tuple[np.ndarray, Iterator[np.ndarray]]:
+    """(centre, projections without end), as ``learn_rotations`` gives them."""
     centre = sample.mean(axis=0)
     moved = sample - centre
     width = min(sample.shape[1], BITS)
@@ -52,15 +59,89 @@ def learn_rotations(sample: np.ndarray, codes: int, seed: int = 3) -> tuple[np.n
     main = directions[:, ::-1][:, :width]
     values = moved @ main
     draw = np.random.Generator(np.random.PCG64(seed))
+
+    def learn() -> Iterator[np.ndarray]:
+        while True:
+            turn, _ = np.linalg.qr(draw.normal(size=(width, width)))
+            for _ in range(TURNS):
+                signs = np.where(values @ turn >= 0, 1.0, -1.0)
+                left, _, right = np.linalg.svd(values.T @ signs)
+                turn = left @ right
+            yield main @ turn
+    return centre, learn()
+
+
+def learn_rotations(sample: np.ndarray, codes: int, seed: int = 3) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(centre, projections): principal directions of unit vectors, each time turned by a rotation that brings the signs
+    as close to the values as it can, from another random start."""
+    centre, learned = _rotations(sample, seed)
+    return centre, list(islice(learned, codes))
+
+
+def partners(some: np.ndarray, sample: np.ndarray, threshold: float, seed: int = 5) -> list[np.ndarray]:
+    """Two unit vectors at the threshold for each of ``some``: one to any side, one to a side to which the data vary."""
+    draw = np.random.Generator(np.random.PCG64(seed))
+    sides = (draw.normal(size=some.shape), sample[draw.integers(len(sample), size=len(some))]
+             - sample[draw.integers(len(sample), size=len(some))])
     out = []
-    for _ in range(codes):
-        turn, _ = np.linalg.qr(draw.normal(size=(width, width)))
-        for _ in range(TURNS):
-            signs = np.where(values @ turn >= 0, 1.0, -1.0)
-            left, _, right = np.linalg.svd(values.T @ signs)
-            turn = left @ right
-        out.append(main @ turn)
-    return centre, out
+    for side in sides:
+        side = side - (some * side).sum(axis=1, keepdims=True) * some
+        size = np.linalg.norm(side, axis=1, keepdims=True)
+        fine = size[:, 0] > 1e-6  # none to a side along the vector, as of two equal samples, or in one dimension
+        if fine.any():
+            made = some.copy()
+            made[fine] = threshold * some[fine] + math.sqrt(1 - threshold * threshold) * side[fine] / size[fine]
+            made[~fine] = np.nan
+            out.append(made)
+    return out
+
+
+def measured_plan(vectors: int, sample: np.ndarray, threshold: float = THRESHOLD,
+                  recall: float = RECALL) -> tuple[int, int, np.ndarray, list[np.ndarray]]:
+    """(bits of a key, keys of a code, centre, projections): codes are learned until, of sampled vectors and partners made
+    for them at the threshold, the share ``recall`` agrees on a key, two standard errors on the safe side. Rotations push
+    the vectors they are learned from away from zero, so others are sampled for this.
+
+    Every length of keys is followed at once, and the one that costs least by what sampled vectors meet in its buckets is
+    taken; a length that cannot cost least any more is left. Where keys would cost more than all pairs, as with vectors
+    that differ less from each other than a pair at the threshold, the key has no bits: every vector meets every other.
+    """
+    held = min(PARTNERS, len(sample) // 4)
+    some, taught = (sample[:held], sample[held:]) if held > 8 else (sample, sample)
+    centre, learned = _rotations(taught)
+    width = min(sample.shape[1], BITS)
+    made = partners(some, sample, threshold)
+    if not made:  # one dimension: a vector has no other direction but the opposite
+        return 0, 1, centre, [next(learned)]
+    lengths = range(min(LEAST_BITS, width), min(24, width) + 1)
+    met = {bits: [np.zeros(len(some), dtype=bool) for _ in made] for bits in lengths}
+    shared, meets = dict.fromkeys(lengths, 0.0), max(len(some) * (len(some) - 1), 1)
+    best = max(vectors + ROW * -(-vectors // TILE), FREE), 0, 0
+    projections: list[np.ndarray] = []
+    while met:
+        projections.append(next(learned))
+        codes = len(projections)
+        own, *others = ((rows - centre) @ projections[-1] >= 0 for rows in (some, *made))
+        for bits in list(met):
+            weights = 1 << np.arange(bits, dtype=np.int64)
+            for i in range(width // bits):
+                part = slice(i * bits, (i + 1) * bits)
+                for seen, theirs in zip(met[bits], others):
+                    seen |= (own[:, part] == theirs[:, part]).all(axis=1)
+                sizes = np.unique(own[:, part] @ weights, return_counts=True)[1]
+                shared[bits] += float((sizes * (sizes - 1)).sum()) / meets
+            cost = ROW * codes * (width // bits) + vectors * shared[bits]
+            shares = [(seen[fine].mean(), fine.sum()) for seen, rows in zip(met[bits], made) if (fine := ~np.isnan(rows[:, 0])).any()]
+            if all(share - 2 * math.sqrt(share * (1 - share) / n) >= recall for share, n in shares):
+                best = min(best, (cost, bits, codes))
+                del met[bits]
+            else:
+                missed = 1 - min(min(share for share, _ in shares), 1 - 1e-9)
+                wanted = max(1.0, math.log(1 - recall) / math.log(missed)) if missed < 1 else math.inf
+                if cost * (wanted if codes >= 5 else 1) >= best[0]:
+                    del met[bits]
+    _, bits, codes = best
+    return (bits, width // bits, centre, projections[:codes]) if bits else (0, 1, centre, projections[:1])
 
 
 def _unit(packed: pa.Array, kind: str) -> np.ndarray:
@@ -87,9 +168,20 @@ def _codes(centre: np.ndarray, projections: list[np.ndarray], bits: int, parts:
     return run
 
 
+def _linked(rows: np.ndarray, threshold: float) -> np.ndarray:
+    """Places of the vectors that have a link at all."""
+    found = np.zeros(len(rows), dtype=bool)
+    for low in range(0, len(rows), 512):
+        near = rows[low:low + 512] @ rows[low:].T >= threshold - 1e-9  # the forest decides; products may round otherwise
+        near[np.arange(len(near)), np.arange(len(near))] = False
+        found[low:low + 512] |= near.any(axis=1)
+        found[low:] |= near.any(axis=0)
+    return np.flatnonzero(found)
+
+
 def vector_forest(ids: np.ndarray, rows: np.ndarray, threshold: float) -> list[tuple[int, int]]:
     """Links that join whatever is linked, one fewer than members for each component."""
-    links, rest = [], np.arange(len(ids))
+    links, rest = [], _linked(rows, threshold)
     while len(rest) > 1:
         front, rest = rest[:1], rest[1:]
         while len(front) and len(rest):
@@ -194,13 +286,13 @@ def _one_length(classes: DataFrame, dimensions: int, kind: str, threshold: float
     packed = stored(classes.where(F.size("vector") == dimensions).select("class", "copies", "low_id", "vector").mapInArrow(
         _pack(kind), "class long, copies long, low_id long, body binary"), "itq-vectors")
     n = packed.count()
-    bits, parts, codes = table_plan(n, dimensions, threshold)
-    sample = packed.select("class", "body").orderBy(F.xxhash64("body"), "class").limit(SAMPLE).select("body").toArrow().column("body")
-    centre, projections = learn_rotations(_unit(sample.combine_chunks(), kind), codes)
+    sample = packed.select("class", "body").orderBy(F.xxhash64("body"), "class").limit(SAMPLE + PARTNERS).select("body").toArrow().column("body")
+    bits, parts, centre, projections = measured_plan(n, _unit(sample.combine_chunks(), kind), threshold)
     coded = stored(packed.select("class", "body").mapInArrow(
         _codes(centre, projections, bits, parts, kind), "class long, body binary, keys array<long>"), "itq-codes")
     keyed = coded.select("class", "body", F.posexplode("keys").alias("part", "key"))
-    partitions = max(64, partitions_for(spark, n * parts * codes * (size * dimensions + 40), 16 << 20))
+    copies = parts * len(projections) if bits else -(-n // TILE)  # of a vector
+    partitions = max(64, partitions_for(spark, n * copies * (size * dimensions + 40), 16 << 20))
     links = _tiled(keyed, ["class", "body"], partitions).mapInArrow(_links(threshold, kind), "a long, b long")
     return stored(links.distinct(), "itq-links"), packed
 
