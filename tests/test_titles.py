@@ -40,6 +40,19 @@ def test_components(spark):
     assert {got[f"n{i:02d}"] for i in range(40)} == {"n00"} and got["z2"] == "z1"
 
 
+def test_components_of_long_chains(spark):
+    """Chains of 1,000 nodes whose keys are in no order, or in order, and a comb of stars."""
+    import random
+    draw = random.Random(3)
+    keys = [f"c{i:04d}" for i in range(1000)]
+    draw.shuffle(keys)
+    edges = [*zip(keys, keys[1:]), *((f"d{i:04d}", f"d{i + 1:04d}") for i in range(999)),
+             *((f"e{i % 10}z", f"e{i % 10}{i:03d}") for i in range(200)), *((f"e{i}z", f"e{i + 1}z") for i in range(9))]
+    nodes = sorted({x for e in edges for x in e}) + ["f"]
+    got = {r.key: r.root for r in tt.components(names(spark, *nodes), spark.createDataFrame(edges, "a STRING, b STRING")).collect()}
+    assert got == {n: {"c": "c0000", "d": "d0000", "e": "e0000", "f": "f"}[n[0]] for n in nodes}
+
+
 def test_groups_show_the_real_spelling(spark):
     rows = spark.createDataFrame([("soul calibur 2", True, None), ("soulcalibur 2", True, None), ("calibur soul 2", False, None),
                                   ("ace combat 04", True, "f1"), ("ace combat 4", True, "f1"), ("combat", True, None)],

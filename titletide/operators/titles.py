@@ -10,7 +10,7 @@ from titletide.config import DEFAULTS, MAIN_SITES, Settings
 from titletide.functions import text as X
 from titletide.functions.similarity import block_ratio, best_name_score
 from titletide.operators.medians import top_k
-from titletide.session import cut_lineage
+from titletide.session import cut_lineage, stored
 
 
 # ---------------------------------------------------------------------------------------------
@@ -201,25 +201,44 @@ def spelling_edges(titles: DataFrame, same: DataFrame | None = None) -> DataFram
     return edges.where("a <> b").distinct()
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 30) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """key, root: connected components, each named by its smallest key.
 
-    Every round takes the smallest label of the neighbours and then the label of that label, so the number of
-    rounds grows with the logarithm of the longest chain. Rounds are cut by reliable checkpoints.
+    Every round hooks each node to its smallest neighbour. Only two nodes can point at each other, and the smaller of them
+    is a root, so every tree has two nodes at least. Pointers jump until the trees are flat, and the edges between
+    different roots are the graph of the next round, with at most half its nodes: rounds grow with the logarithm of a
+    component's size, jumps with that of a tree's depth, and both go on until nothing is left. Rounds are cut by
+    written tables: a checkpoint keeps the constraints of its plan, which multiply with every join of a table with itself.
     """
-    both = cut_lineage(edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").distinct())
-    labels = cut_lineage(nodes.select("key").distinct().withColumn("root", F.col("key")))
-    for _ in range(rounds):
-        near = both.join(labels, both["b"] == labels["key"]).groupBy("a").agg(F.min("root").alias("low"))
-        hooked = labels.join(near, labels["key"] == near["a"], "left").select(
-            "key", "root", F.least("root", "low").alias("next"))
-        up = labels.select(F.col("key").alias("next"), F.col("root").alias("above"))
-        stepped = cut_lineage(hooked.join(up, "next").select("key", F.least("next", "above").alias("new"), "root"))
-        moved = stepped.agg(F.count_if(F.col("new") != F.col("root"))).first()[0]
-        labels = stepped.select("key", F.col("new").alias("root"))
-        if moved == 0:
-            return labels
-    raise RuntimeError("components did not settle; raise the number of rounds")
+    known = stored(nodes.where("key IS NOT NULL").select("key").distinct())
+    inside = edges.select("a", "b").where("a <> b").join(known.withColumnRenamed("key", "a"), "a", "left_semi").join(
+        known.withColumnRenamed("key", "b"), "b", "left_semi").select("a", "b")
+    open_ = stored(inside.union(inside.select("b", "a")).distinct())
+    rounds: list[DataFrame] = []
+    while not open_.isEmpty():
+        hooks = stored(open_.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("up")))
+        above = lambda tree: tree.select(F.col("key").alias("up"), F.col("up").alias("above"))
+        is_root = (F.col("above") == F.col("key")) & (F.col("key") < F.col("up"))
+        tree = stored(hooks.join(above(hooks), "up").select(
+            "key", F.when(is_root, F.col("key")).otherwise(F.col("up")).alias("up")), "components")
+        moved = 1
+        while moved:
+            jumped = stored(tree.join(above(tree), "up").select(
+                "key", F.col("above").alias("up"), (F.col("above") != F.col("up")).alias("moved")), "components")
+            moved = jumped.agg(F.count_if("moved")).first()[0]
+            tree = jumped.select("key", "up")
+        rounds.append(tree)
+        left, right = (tree.select(F.col("key").alias(n), F.col("up").alias(f"{n}_root")) for n in ("a", "b"))
+        open_ = stored(open_.join(left, "a").join(right, "b").where("a_root <> b_root").select(
+            F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct())
+    if not rounds:
+        return known.withColumn("root", F.col("key"))
+    found = rounds.pop()
+    while rounds:  # roots of a round are nodes of the next, unless their component is whole
+        later = found.select(F.col("key").alias("up"), F.col("up").alias("last"))
+        found = stored(rounds.pop().join(later, "up", "left").select("key", F.coalesce("last", "up").alias("up")), "components")
+    named = found.join(found.groupBy("up").agg(F.min("key").alias("root")), "up").select("key", "root")
+    return known.join(named, "key", "left").select("key", F.coalesce("root", "key").alias("root"))
 
 
 def title_groups(titles: DataFrame, same: DataFrame | None = None, apart: DataFrame | None = None) -> DataFrame:
