@@ -423,3 +423,7 @@ def test_pipeline(spark, library):
     odd = corpus_pipeline.cut_repeats(spark, frame(spark), SF)
     assert odd.columns == frame(spark).columns and odd.count() == len(ODD)
     assert corpus_pipeline.drop_exact_copies(spark, docs, SF).columns == docs.columns
+
+
+def test_letters_of_every_plane():
+    assert language.letters_of(chr(0x30000) + " " + chr(0x323AF)).tolist() == [32, 0x30000, 32, 0x323AF, 32]

@@ -29,7 +29,7 @@ SPACE = 32
 def _letter_table() -> np.ndarray:
     """For every code point its lower-case letter, or a space."""
     table = np.full(0x110000, SPACE, dtype=np.uint32)
-    for code in range(0x30000):
+    for code in range(len(table)):
         if (c := chr(code)).isalpha():
             low = c.lower()
             table[code] = ord(low) if len(low) == 1 else code
