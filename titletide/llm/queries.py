@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from titletide.llm import (embeddings, exact, language, packing, quality, repeats, reuse, sharding, simhash, tokens,
-                           whitening)
+from titletide.llm import (embeddings, exact, language, negatives, packing, quality, repeats, reuse, sharding, simhash,
+                           tokens, whitening)
 from titletide.llm.sql import SQL as SQL  # noqa: PLC0414 - the twins are read from here
 
 
@@ -54,6 +54,10 @@ def op10_bpe_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reuse.encoded(documents(spark, sf_dir))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -66,4 +70,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_simhash_dedup, op4_token_counts, op5_quality,
                                    op6_repeated_passages, op7_best_fit_packing, op8_embedding_dedup, op9_language_id,
-                                   op10_bpe_reuse, op13_embedding_whitening, pipeline)}
+                                   op10_bpe_reuse, op11_hard_negatives, op13_embedding_whitening,
+                                   pipeline)}
