@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from titletide.llm import (embeddings, exact, language, negatives, packing, quality, repeats, reuse, sharding, simhash,
-                           tokens, whitening)
+from titletide.llm import (embeddings, exact, language, negatives, packing, phrases, quality, repeats, reuse, sharding,
+                           simhash, tokens, whitening)
 from titletide.llm.sql import SQL as SQL  # noqa: PLC0414 - the twins are read from here
 
 
@@ -58,6 +59,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrases.without_phrases(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -70,5 +76,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_simhash_dedup, op4_token_counts, op5_quality,
                                    op6_repeated_passages, op7_best_fit_packing, op8_embedding_dedup, op9_language_id,
-                                   op10_bpe_reuse, op11_hard_negatives, op13_embedding_whitening,
-                                   pipeline)}
+                                   op10_bpe_reuse, op11_hard_negatives, op12_repeated_phrases,
+                                   op13_embedding_whitening, pipeline)}

@@ -104,4 +104,26 @@ SQL = {
         WINDOW near AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)
         QUALIFY rank <= 3
     """,
+    "op12_repeated_phrases": r"""
+        WITH read AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+        ), windows AS (
+            SELECT doc_id, place, array_to_string(words[place:place + 34], ' ') AS run
+            FROM (SELECT *, unnest(range(1, len(words) - 33)) AS place FROM read WHERE len(words) >= 35)
+        ), again AS (
+            SELECT doc_id, place FROM windows JOIN (SELECT run FROM windows GROUP BY run HAVING count(*) > 1) USING (run)
+        ), each AS (
+            SELECT doc_id, words[place] AS word, place
+            FROM (SELECT *, unnest(range(1, len(words) + 1)) AS place FROM read)
+        ), judged AS (
+            SELECT e.doc_id, word, e.place,
+                   coalesce(e.place - max(a.place) OVER (PARTITION BY e.doc_id ORDER BY e.place) < 35, false) AS gone
+            FROM each e LEFT JOIN again a ON a.doc_id = e.doc_id AND a.place = e.place
+        ), kept AS (
+            SELECT doc_id, count_if(gone) AS n_removed, string_agg(word, ' ' ORDER BY place) FILTER (NOT gone) AS kept
+            FROM judged GROUP BY doc_id
+        )
+        SELECT doc_id, len(words) AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM read LEFT JOIN kept USING (doc_id)
+    """,
 }
