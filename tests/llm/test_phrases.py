@@ -89,6 +89,13 @@ def test_one_seed_with_like_and_unlike_segments(spark):
     same(phrases.without_phrases(spark.createDataFrame(table, "doc_id long, text string")).collect(), brute(table))
 
 
+def test_pairs_are_told_apart_by_both_sums():
+    one, two = np.array([1, 1, 2, 3]), np.array([5, 6, 5, 9])
+    for known in ([(1, 5), (2, 5)], [(1, 5), (1, 7), (3, 9)], []):
+        pairs = np.array(known, dtype=np.int64).reshape(-1, 2)
+        assert phrases._among(one, two, pairs[:, 0], pairs[:, 1]).tolist() == [p in known for p in zip([1, 1, 2, 3], [5, 6, 5, 9])]
+
+
 def test_least_of_each_window():
     draw = np.random.default_rng(1)
     keys = draw.integers(0, 6, 300).astype(np.uint64)

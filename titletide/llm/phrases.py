@@ -12,7 +12,7 @@ What moves is a tenth of a hash for each word, the windows at the edges of repea
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain, compress
+from itertools import chain, compress, count
 
 import ahocorasick
 import numpy as np
@@ -28,7 +28,7 @@ from titletide.session import stored
 
 WINDOW = 35
 SEED = 12  # words of a seed
-BLOCK = 4 << 20  # bytes of text of a block
+BLOCK = 2 << 20  # bytes of text of a block
 SHARD = 400_000  # words of the phrases of one automaton
 OTHER = 0x10FFFF  # stands for words that no phrase has
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)  # odd, so that powers can be undone
@@ -44,7 +44,7 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first powers of a base modulo 2^64, and what undoes them."""
     if base not in _POWERS or len(_POWERS[base][0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         both = []
         for b in (base, pow(base, -1, 1 << 64)):
             steps = np.full(size, b, dtype=np.uint64)
@@ -91,11 +91,14 @@ class Block:
         self.counts = np.array([len(w) for w in self.words], dtype=np.int64)
         self.offsets = np.concatenate(([0], np.cumsum(self.counts)))
         flat = list(chain.from_iterable(self.words))
-        self.vocabulary = dict(zip(dict.fromkeys(flat), range(len(flat))))
-        self.ids = np.fromiter(map(self.vocabulary.__getitem__, flat), dtype=np.int32, count=len(flat))
+        numbers: dict[bytes, int] = {}  # a word's number is its first place
+        self.ids = np.fromiter(map(numbers.setdefault, flat, count()), dtype=np.int32, count=len(flat))
+        digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, numbers)), dtype=np.uint64).reshape(-1, 2)
+        at = np.fromiter(numbers.values(), dtype=np.int64, count=len(numbers))
         self.sums = []
-        for seed, base in enumerate(BASES):
-            hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in self.vocabulary), dtype=np.uint64, count=len(self.vocabulary))
+        for half, base in enumerate(BASES):
+            hashes = np.zeros(len(flat), dtype=np.uint64)
+            hashes[at] = digests[:, half]
             steps = hashes[self.ids] * _powers(base, len(flat) + 1)[0][:len(flat)]
             self.sums.append(np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(steps, dtype=np.uint64))))
         runs = [np.arange(low, high - window + 1) for low, high in zip(self.offsets.tolist(), self.offsets[1:].tolist()) if high - low >= window]
@@ -164,7 +167,7 @@ def covered(block: Block, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         mine = shard == number
         lows, sizes = start[mine], length[mine]
         places = np.repeat(lows - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
-        text, width = _spelled(block.ids, np.unique(block.ids[places]), len(block.vocabulary))
+        text, width = _spelled(block.ids, np.unique(block.ids[places]), len(block.ids))
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for low, size in zip(lows.tolist(), sizes.tolist()):
             automaton.add_word(text[low * width:(low + size) * width], size)
@@ -196,6 +199,19 @@ def _counted(*keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     return [k[order[at]] for k in keys], np.diff(np.concatenate((at, [len(order)]))).astype(np.int32)
 
 
+def _among(one: np.ndarray, two: np.ndarray, known_one: np.ndarray, known_two: np.ndarray) -> np.ndarray:
+    """Which pairs are among the known ones."""
+    if not len(known_one):
+        return np.zeros(len(one), dtype=bool)
+    order = np.argsort(known_one)
+    known_one, known_two = known_one[order], known_two[order]
+    if (known_one[1:] == known_one[:-1]).any():
+        known = set(zip(known_one.tolist(), known_two.tolist()))
+        return np.fromiter((pair in known for pair in zip(one.tolist(), two.tolist())), dtype=bool, count=len(one))
+    at = np.minimum(np.searchsorted(known_one, one), len(known_one) - 1)
+    return (known_one[at] == one) & (known_two[at] == two)
+
+
 def _blocks(window: int):
     """Documents become blocks of about ``BLOCK`` bytes, each with its different seeds and segments."""
     def made(number: int, ids: list[int | None], texts: list[bytes]) -> pa.RecordBatch:
@@ -260,8 +276,7 @@ def _kept(window: int):
             seeds = block.seeds.view(np.int64)
             confirmed = np.repeat(np.isin(seeds, alike), block.last - block.first + 1)
             number, first, second = block.windows_of(np.isin(seeds, unlike))
-            known = set(zip(one.tolist(), two.tolist()))
-            confirmed[number] = [pair in known for pair in zip(first.view(np.int64).tolist(), second.view(np.int64).tolist())]
+            confirmed[number] = _among(first.view(np.int64), second.view(np.int64), one, two)
             gone = covered(block, *block.phrases(confirmed)) if confirmed.any() else np.zeros(len(block.ids), dtype=bool)
             edges = np.concatenate(([0], np.cumsum(gone)))
             removed = edges[block.offsets[1:]] - edges[block.offsets[:-1]]
