@@ -62,10 +62,12 @@ def letters(column: str) -> str:
 def found(t: str, source: str) -> str:
     """Exact occurrences in ``source``, a query of doc, text and platform; its CTEs end in ``t``."""
     return f"""docs{t} AS (SELECT doc, text, platform OR {CONTEXT} AS context, string_split({normalised('text')}, ' ') AS t FROM ({source})),
-pos{t} AS (SELECT doc, context, t, unnest(range(0, len(t))) AS start FROM docs{t} WHERE t <> ['']),
-gram{t} AS (SELECT doc, context, t, start, n, array_to_string(t[start + 1:start + n], ' ') AS gram
-  FROM pos{t}, (SELECT unnest(range(1, greatest(6, (SELECT max(len(string_split(gram, ' '))) FROM dict)) + 1)) AS n) WHERE start + n <= len(t)),
-found{t} AS (SELECT doc, title, method, gram, start, score, t FROM gram{t} JOIN dict USING (gram) WHERE NOT needs_context OR context)"""
+reach{t} AS (SELECT greatest(6, max(len(string_split(gram, ' ')))) AS reach FROM dict),
+pos{t} AS (SELECT doc, context, unnest(range(0, len(t))) AS start, unnest(list_transform(range(0, len(t)), lambda i: t[i + 1:i + reach])) AS w
+  FROM docs{t}, reach{t} WHERE t <> ['']),
+gram{t} AS (SELECT doc, context, start, n, array_to_string(w[1:n], ' ') AS gram
+  FROM pos{t}, (SELECT unnest(range(1, reach + 1)) AS n FROM reach{t}) WHERE n <= len(w)),
+found{t} AS (SELECT doc, title, method, gram, start, score FROM gram{t} JOIN dict USING (gram) WHERE NOT needs_context OR context)"""
 
 
 def near(t: str, threshold: int) -> str:
@@ -82,10 +84,10 @@ pair{t} AS (SELECT gram, norm, title, a, named, string_split(gram, '') AS b
     AND levenshtein(gram, norm) <= floor({(100 - threshold) / 100} * (size + length(norm)) + 1e-9)
     + octet_length(encode(gram)) - size + octet_length(encode(norm)) - length(norm)),
 ratio{t} AS (SELECT gram, norm, title, named, 200.0::DOUBLE * {COMMON} / (len(a) + len(b)) AS ratio FROM pair{t}),
-best{t} AS (SELECT doc, start, gram, t, norm, title, named, ratio FROM run{t} JOIN ratio{t} USING (gram)
+best{t} AS (SELECT doc, start, gram, t, norm, title, named, ratio FROM run{t} JOIN ratio{t} USING (gram) JOIN docs{t} USING (doc)
   WHERE ratio >= {threshold} AND len(list_filter(named, lambda w: NOT list_contains({STOP_LIST}, w) AND list_contains(t, w))) > 0
   QUALIFY row_number() OVER (PARTITION BY doc, start, gram ORDER BY ratio DESC, title) = 1),
-near{t} AS (SELECT doc, title, 'fuzzy' AS method, gram, start, round_even(ratio, 0) AS score, t
+near{t} AS (SELECT doc, title, 'fuzzy' AS method, gram, start, round_even(ratio, 0) AS score
   FROM (SELECT *, string_split(gram, ' ') AS spoken FROM best{t})
   WHERE gram <> norm AND len(list_filter(named, lambda w: regexp_matches(w, '[0-9]') AND NOT list_contains(t, w))) = 0 AND NOT ({LOOKALIKE})
     AND NOT (regexp_matches(named[-1], '^[0-9]+$') AND len(list_filter(spoken, lambda w: regexp_matches(w, '^[0-9]+$'))) = 0)
@@ -98,18 +100,18 @@ RANK = "list_position(['alias', 'exact', 'variant', 'fuzzy'], method)"
 
 def standing(t: str, rows: str) -> str:
     """The claims of occurrences that stand: one spelling for each text and title, none inside a longer exact claim."""
-    return f"""occ{t} AS (SELECT DISTINCT doc, title, {normalised('title')} AS norm, method, gram, start, start + len(string_split(gram, ' ')) AS stop, score, t FROM {rows}),
+    return f"""occ{t} AS (SELECT DISTINCT doc, title, {normalised('title')} AS norm, method, gram, start, start + len(string_split(gram, ' ')) AS stop, score FROM {rows}),
 claim{t} AS (SELECT *, row_number() OVER () AS id FROM occ{t}
   QUALIFY dense_rank() OVER (PARTITION BY doc, norm ORDER BY {RANK}, score DESC, length(gram) DESC, gram) = 1),
-shift{t} AS (SELECT id, doc, norm, start, stop, t, string_split(norm, ' ') AS named, string_split(gram, ' ') AS run,
+shift{t} AS (SELECT id, doc, norm, start, stop, string_split(norm, ' ') AS named, string_split(gram, ' ') AS run,
     unnest(range(0, greatest(len(string_split(norm, ' ')) - (stop - start), 0) + 1)) AS o
   FROM claim{t} WHERE method <> 'fuzzy' OR score = 100),
-reach{t} AS (SELECT *,
+spelt{t} AS (SELECT s.*, t,
     list_max(list_filter(range(0, least(start, o) + 1), lambda k: k = 0 OR t[start - k + 1:start] = named[o - k + 1:o])) AS l,
     list_max(list_filter(range(0, least(len(t) - stop, len(named) - o - len(run)) + 1),
                          lambda k: k = 0 OR t[stop + 1:stop + k] = named[o + len(run) + 1:o + len(run) + k])) AS r
-  FROM shift{t} WHERE named[o + 1:o + len(run)] = run),
-widest{t} AS (SELECT id, start - l AS a, stop + r AS b FROM reach{t} QUALIFY row_number() OVER (PARTITION BY id ORDER BY l + r DESC, o) = 1),
+  FROM shift{t} s JOIN docs{t} USING (doc) WHERE named[o + 1:o + len(run)] = run),
+widest{t} AS (SELECT id, start - l AS a, stop + r AS b FROM spelt{t} QUALIFY row_number() OVER (PARTITION BY id ORDER BY l + r DESC, o) = 1),
 wide{t} AS (SELECT DISTINCT doc, norm, coalesce(a, start) AS a, coalesce(b, stop) AS b
   FROM claim{t} LEFT JOIN widest{t} USING (id) WHERE method <> 'fuzzy' OR score = 100),
 inside{t} AS (SELECT DISTINCT c.id FROM claim{t} c JOIN wide{t} w ON c.doc = w.doc AND c.norm <> w.norm

@@ -20,6 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt to as many partitions as ``spark.titletide.partitions`` says, and as they are where it is unset: a
+    local run over single small files would else work on one core."""
+    partitions = df.sparkSession.conf.get("spark.titletide.partitions", None)
+    return df.repartition(int(partitions)) if partitions else df
+
+
 def lookup(pairs: dict[str, str], c: Column) -> Column:
     rule = None
     for key, value in pairs.items():
@@ -112,7 +119,7 @@ def items_of(events: DataFrame) -> DataFrame:
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, headline (the first line), body (the other lines), text, source, lang."""
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")).select(
         "doc_id",
         F.split_part(t, F.lit("\n"), F.lit(1)).alias("headline"),
         F.when(t.contains("\n"), F.regexp_replace(t, "^[^\n]*\n", "")).otherwise("").alias("body"),
@@ -154,9 +161,9 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     The line's number says how the seller words it, its return flag whether it is complete, and its status
     whether the currency is the site's own.
     """
-    lines = table(spark, sf_dir, "lineitem").select(
+    lines = spread(table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
-        "l_returnflag", "l_linestatus", "l_shipdate")
+        "l_returnflag", "l_linestatus", "l_shipdate"))
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type")
     number = F.col("l_linenumber")
     wording = (
