@@ -164,3 +164,4 @@ FROM o FULL JOIN n ON o.title = n.title AND o.site = n.site""",
   WHERE l.site IN ('US', 'UK') AND l.copies >= 3 AND w.week_median > 0)
 SELECT title, round_even(avg(pct), 1) AS change_pct FROM rows GROUP BY title""",
 }
+SQL["latest_table"] = SQL["latest_update"]  # the stored table holds what the update gives

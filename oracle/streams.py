@@ -1,14 +1,22 @@
 """SQL twins of the streaming queries: the same rules over the finished table."""
 
-from oracle.mentions import NAMED
+from oracle.mentions import ITEMS, NAMED, NOW
 
 SQL = {
     "stream_mention_counts": f"""WITH {NAMED} SELECT strftime(ts, '%Y-%m-%d') AS day, title, count(*) AS mentions
 FROM named GROUP BY ALL""",
     "stream_surge_windows": f"""WITH {NAMED}, w AS (SELECT *, date_trunc('hour', ts) + INTERVAL 1 HOUR * h AS until
   FROM named, (SELECT unnest(range(1, 25)) AS h) WHERE NOT in_body)
-SELECT strftime(until, '%Y-%m-%d %H') AS until, title, count(*) AS mentions, count(DISTINCT source) > 1 AS several_sources,
-  count(DISTINCT array_to_string(list_sort(list_distinct(string_split(headline, ' '))), ' ')) > 1 AS several_stories FROM w GROUP BY ALL""",
+SELECT strftime(until, '%Y-%m-%d %H') AS until, title, count(*) AS mentions, count(DISTINCT source) AS sources,
+  count(DISTINCT array_to_string(list_sort(list_distinct(string_split(headline, ' '))), ' ')) AS stories FROM w GROUP BY ALL""",
+    "rolling_snapshot": f"""WITH {ITEMS}, alive AS (SELECT *, ts >= {NOW} - INTERVAL 14 DAY AS fresh, hour(ts) < 12 AS early FROM items),
+one AS (SELECT link, feed, ts, event_id, fresh FROM alive WHERE early
+  QUALIFY row_number() OVER (PARTITION BY link ORDER BY ts DESC) = 1),
+two AS (SELECT a.link, a.event_id, a.fresh FROM alive a LEFT JOIN one ON one.link = a.link AND one.fresh
+  WHERE NOT early AND (a.source_type <> 'forum' OR one.feed IS NULL OR one.feed = a.feed)
+  QUALIFY row_number() OVER (PARTITION BY a.link ORDER BY a.ts DESC) = 1)
+SELECT link AS key, event_id FROM two WHERE fresh
+UNION ALL SELECT link, event_id FROM one WHERE fresh AND link NOT IN (SELECT link FROM two)""",
     "stream_archive": f"""WITH {NAMED} SELECT strftime(ts, '%Y-%m') AS month, title AS g, source AS s, headline AS h,
   strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS d FROM named GROUP BY month, title, source, headline""",
     "stream_surge_holds": f"""WITH {NAMED} SELECT title, strftime(max(ts) + INTERVAL 48 HOUR, '%Y-%m-%d %H:%M:%S') AS held_until

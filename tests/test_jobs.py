@@ -206,6 +206,7 @@ def test_index_sink_is_sticky(spark, tmp_path):
     path = str(tmp_path / "index")
     sinks.write_index(line, spark.createDataFrame([("console",)], "title STRING"), path)
     sinks.write_index(line, spark.createDataFrame([("edition",)], "title STRING"), path)
+    assert sinks.index_lines(spark, path, line).collect() == line.collect()
     assert {r.title for r in sinks.left_out(spark, path).collect()} == {"console", "edition"}
 
 
@@ -263,5 +264,5 @@ def test_stream_snapshot_equals_batch(spark, tmp_path):
     write(first, 0)
     write(second, 1)
     write(second, 1)
-    got = {r.key: r.headline for r in spark.read.parquet(str(tmp_path / "snap/v=1")).collect()}
+    got = {r.key: r.headline for r in jobs.rolling_snapshot(spark, str(tmp_path / "snap"), sn.with_key(first), now()).collect()}
     assert got == {"https://l/1": "two", "https://l/2": "a 1"}

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from titletide.config import DEFAULTS, Settings
 from titletide.operators import price_index as ix
 from titletide.operators import prices as pr
-from titletide.session import cut_lineage
+from titletide.session import cut_lineage, shared_folder
 from titletide.sources import adapters as ad
+from titletide.sources import sinks
 
 # Months stand in for days here: sales are spread over years, so a pair has a few copies a month.
 MONTHLY_STEADY = Settings(steady_look_days=6, steady_span_days=4, steady_min_rows=3, steady_min_copies=4,
@@ -106,20 +109,36 @@ def latest_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   "lowest", "median")
 
 
-def latest_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The state of two months ago brought up to date with last month's checks: month-old figures below
-    three copies count as unmatched and sites with a single copy as errors."""
+def _checks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Figures of two months ago and of last month as checks: those below three copies count as unmatched, sites with a
+    single copy as errors."""
     h = stored_history(spark, sf_dir)
     last = last_period(spark, sf_dir)
     empty = [F.lit(None).cast("bigint").alias("new_copies"), F.lit(None).cast("double").alias("new_median")]
     state = F.when(F.col("copies") == 1, "error").when(F.col("copies") == 2, "unmatched").otherwise("ok")
     columns = ["title", "site", state.alias("status"), F.col("stamp").alias("checked"), "copies", "lowest", "median",
                *empty, F.lit(None).cast("timestamp_ntz").alias("new_checked")]
-    old = h.where(F.col("period") == last - 2).select(*columns)
-    new = h.where(F.col("period") == last - 1).select(*columns)
-    return pr.update_latest(old.where("status <> 'error'"), new).select(
-        "title", "site", "status", ad.month_number(F.col("checked")).alias("period"),
-        F.col("copies").cast("bigint").alias("copies"), "lowest", "median")
+    old, new = (h.where(F.col("period") == last - back).select(*columns) for back in (2, 1))
+    return old.where("status <> 'error'"), new
+
+
+def _shown(latest: DataFrame) -> DataFrame:
+    return latest.select("title", "site", "status", ad.month_number(F.col("checked")).alias("period"),
+                         F.col("copies").cast("bigint").alias("copies"), "lowest", "median")
+
+
+def latest_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of two months ago brought up to date with last month's checks."""
+    return _shown(pr.update_latest(*_checks(spark, sf_dir)))
+
+
+def latest_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through the stored table: it is switched to the old state, then to what the checks make of what it holds."""
+    old, new = _checks(spark, sf_dir)
+    path = f"{shared_folder(spark)}/latest-{uuid.uuid4().hex}"
+    sinks.write_latest(old, path)
+    sinks.write_latest(pr.update_latest(sinks.read_latest(spark, path, old), new), path)
+    return _shown(sinks.read_latest(spark, path, old))
 
 
 def market_change(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,5 +164,6 @@ QUERIES = {
     "change_log": change_log,
     "latest_prices": latest_prices,
     "latest_update": latest_update,
+    "latest_table": latest_table,
     "market_change": market_change,
 }

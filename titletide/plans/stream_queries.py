@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titletide.functions import text as X
+from titletide.operators import snapshot as sn
 from titletide.sources import adapters as ad
 from titletide.session import shared_folder
 from titletide.streaming import jobs
@@ -50,11 +50,23 @@ def stream_mention_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_surge_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headline mentions of each title in every 24-hour window, hour by hour, and whether several sources and stories
-    have them."""
-    rows = _finished(jobs.surge_windows(_items(spark, sf_dir)), "surges", "update", ["until", "title"])
-    return rows.select(F.date_format("until", "yyyy-MM-dd HH").alias("until"), "title", "mentions",
-                       "several_sources", "several_stories")
+    """Headline mentions of each title in every 24-hour window, hour by hour, and how many sources and stories have them."""
+    members = _finished(jobs.surge_members(_items(spark, sf_dir)), "surges", "update", ["until", "title", "kind", "value"])
+    return jobs.surge_windows(members).select(
+        F.date_format("until", "yyyy-MM-dd HH").alias("until"), "title", "mentions", "sources", "stories")
+
+
+def rolling_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The snapshot after two batches of every event: those before noon of any day, then the others. The batches go into
+    a keyed table, and the second is repeated."""
+    rows, clock = ad.items(spark, sf_dir), ad.now(spark, sf_dir)
+    path = _folder(spark, "snapshot")
+    write = jobs.snapshot_batches(path, clock)
+    morning = F.hour("ts") < 12
+    for batch_id, batch in enumerate((rows.where(morning), rows.where(~morning))):
+        write(batch, batch_id)
+    write(rows.where(~morning), 1)
+    return jobs.rolling_snapshot(spark, path, sn.with_key(rows), clock).select("key", "event_id")
 
 
 def stream_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,5 +107,5 @@ def stream_source_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("feed", "ok", show("failing_since"), show("latest"))
 
 
-QUERIES = {f.__name__: f for f in (stream_mention_counts, stream_surge_windows, stream_archive, stream_price_changes,
+QUERIES = {f.__name__: f for f in (stream_mention_counts, stream_surge_windows, rolling_snapshot, stream_archive, stream_price_changes,
                                    stream_surge_holds, stream_source_health)}

@@ -1,4 +1,4 @@
-"""Writers. Tables are Parquet partitioned by month; replacing a table goes through the job commit protocol."""
+"""Writers. Archives are Parquet partitioned by month; a table that is replaced whole is switched by its manifest."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from titletide.operators import archive as ar
 from titletide.operators import price_index as ix
 from titletide.session import cut_lineage, forget
+from titletide.sources import tables
 
 MONTH_TASKS = 16  # that share the writing of a month
 
@@ -58,8 +59,13 @@ def write_digital(snapshot: DataFrame, path: str) -> None:
 
 
 def write_latest(latest: DataFrame, path: str) -> None:
-    """The latest table, whole. The rows are cut from their source first: it may be this very table."""
-    cut_lineage(latest).write.mode("overwrite").parquet(path)
+    """The latest table, whole, in one switch. Its rows may come from this very table."""
+    tables.publish(latest, path)
+
+
+def read_latest(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """The latest table as it was last switched, empty before the first time."""
+    return tables.published(spark, path, like)
 
 
 def append_history(rows: DataFrame, path: str) -> None:
@@ -73,14 +79,19 @@ def write_series(series: DataFrame, path: str, epoch) -> None:
 
 
 def write_index(index: DataFrame, left_out: DataFrame, path: str) -> None:
-    """The index lines, and beside them the titles left out of them: once left out, always left out."""
+    """The index lines, and beside them the titles left out of them: once left out, always left out. The titles are
+    switched first, so that a run that stops between the two has left out no less than its lines show."""
     spark = index.sparkSession
-    once = stored(spark, path + "/left_out", left_out.select("title"))
-    titles = cut_lineage(once.unionByName(left_out.select("title")).distinct())
-    titles.write.mode("overwrite").parquet(path + "/left_out")
-    cut_lineage(index).write.mode("overwrite").parquet(path + "/lines")
+    once = tables.published(spark, path + "/left_out", left_out.select("title"))
+    tables.publish(once.unionByName(left_out.select("title")).distinct(), path + "/left_out")
+    tables.publish(index, path + "/lines")
 
 
 def left_out(spark: SparkSession, path: str) -> DataFrame:
     """title of everything ever left out of the index."""
-    return stored(spark, path + "/left_out", spark.createDataFrame([], "title STRING"))
+    return tables.published(spark, path + "/left_out", spark.createDataFrame([], "title STRING"))
+
+
+def index_lines(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """The index lines of the last run."""
+    return tables.published(spark, path + "/lines", like)

@@ -17,7 +17,6 @@ from titletide.config import DEFAULTS, Settings
 from titletide.functions import text as X
 from titletide.operators import snapshot as sn
 from titletide.operators.mentions import mentions
-from titletide.session import forget
 
 
 def with_event_time(stream: DataFrame, settings: Settings = DEFAULTS, ahead: str = "1 HOUR") -> DataFrame:
@@ -35,19 +34,26 @@ def mention_counts(stream: DataFrame, width: str = "1 day") -> DataFrame:
         F.col("window.start").alias("start"), "title", "mentions")
 
 
-def surge_windows(stream: DataFrame) -> DataFrame:
-    """Sliding 24-hour windows per title: headline mentions, whether several sources and several stories name it, and
-    whether one is sure. A surge needs two of either, which the smallest and the largest tell, so the state of a window
-    is a few values, however many sources there are."""
+def surge_members(stream: DataFrame) -> DataFrame:
+    """until, title, kind, value, n: in sliding 24-hour windows per title, how often each source, each story and each way
+    of being sure comes among its headline mentions. A state is one number for each, and goes with its window, so that
+    exact numbers of different sources and stories follow without a set of them in any state."""
     named = F.coalesce(F.col("matched_in") != "body", F.lit(True))
-    rows = mentions(stream).where(named).withColumn("story", F.array_join(X.story_key(F.col("headline")), " "))
-    several = lambda c: F.coalesce(F.min(c) != F.max(c), F.lit(False))
-    return rows.groupBy(F.window("ts", "24 hours", "1 hour"), "title").agg(
-        F.count(F.lit(1)).alias("mentions"),
-        several("source").alias("several_sources"),
-        several("story").alias("several_stories"),
-        F.max((F.col("match_method") != "fuzzy").cast("int")).alias("sure"),
-    ).select(F.col("window.end").alias("until"), "title", "mentions", "several_sources", "several_stories", "sure")
+    story = F.array_join(X.story_key(F.col("headline")), " ")
+    member = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"))
+    kinds = F.array(member("mention", F.lit("")), member("source", F.col("source")), member("story", story),
+                    member("sure", F.col("match_method") != "fuzzy"))
+    rows = mentions(stream).where(named).select("ts", "title", F.inline(kinds))
+    return rows.groupBy(F.window("ts", "24 hours", "1 hour"), "title", "kind", "value").agg(F.count(F.lit(1)).alias("n")).select(
+        F.col("window.end").alias("until"), "title", "kind", "value", "n")
+
+
+def surge_windows(members: DataFrame) -> DataFrame:
+    """until, title, mentions, sources, stories, sure: the newest members of every window, counted."""
+    of = lambda kind: F.count_if((F.col("kind") == kind) & F.col("value").isNotNull())
+    return members.groupBy("until", "title").agg(
+        F.sum(F.when(F.col("kind") == "mention", F.col("n"))).alias("mentions"), of("source").alias("sources"),
+        of("story").alias("stories"), F.bool_or((F.col("kind") == "sure") & (F.col("value") == "true")).alias("sure"))
 
 
 def surge_holds(stream: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -145,25 +151,27 @@ def archive_batches(path: str):
 
 
 def snapshot_batches(path: str, now, settings: Settings = DEFAULTS):
-    """A ``foreachBatch`` writer of the rolling snapshot: each batch writes a new version of the table beside the last
-    one, named by its batch id, so a repeated batch writes the same version again; the one before the last goes.
-    ``now``: a Column, or a function of the batch that gives one."""
-    def version(n: int) -> str:
-        return f"{path}/v={n}"
-
+    """A ``foreachBatch`` writer of the rolling snapshot, a keyed table: a batch reads and writes only the buckets of its
+    keys, and a repeated batch changes nothing. ``now``: a Column, or a function of the batch that gives one."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        from titletide.sources.sinks import stored
+        from titletide.sources import tables
 
         new = sn.with_key(batch)
-        old = stored(batch.sparkSession, version(batch_id - 1), new)
         clock = now(batch) if callable(now) else now
-        rows = sn.retain(sn.upsert(old, sn.respect_owner(old, new)), clock, settings)
-        rows.write.mode("overwrite").parquet(version(batch_id))
-        forget(batch.sparkSession, version(batch_id - 2))
+        alive = F.col("ts") >= clock - F.expr(f"INTERVAL {settings.retention_days} DAYS")
+        none = new.limit(0)
+        tables.merge_batch(lambda old: sn.upsert(none, sn.respect_owner(old, new)), new, path, batch_id, new, alive)
 
     return write
 
 
+def rolling_snapshot(spark, path: str, like: DataFrame, now, settings: Settings = DEFAULTS) -> DataFrame:
+    """The rows of the rolling snapshot that have not expired at ``now``. ``like``: items with their key."""
+    from titletide.sources import tables
+
+    return sn.retain(tables.merged(spark, path, like), now, settings)
+
+
 def batch_folders(path: str):
     """A ``foreachBatch`` writer that keeps every micro-batch in a folder of its own: a repeated batch replaces what it
     wrote before. Reading the path gives the rows with their ``batch``."""
