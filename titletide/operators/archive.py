@@ -37,15 +37,15 @@ def archive_rows(items: DataFrame) -> DataFrame:
     )
 
 
-def _keyed(rows: DataFrame) -> DataFrame:
+def keyed(rows: DataFrame) -> DataFrame:
     """Board rows read alike, so their start time is part of what tells them apart."""
     return rows.withColumn("k", F.when(F.col("t") == vocab.BOARD_TYPE, F.col("d").cast("string")).otherwise(""))
 
 
 def new_mentions(rows: DataFrame, stored: DataFrame) -> DataFrame:
     """The rows the archive does not hold yet, each once (the earliest of equals)."""
-    fresh = _keyed(rows)
-    known = _keyed(stored).select("month", *MENTION_KEY).distinct()
+    fresh = keyed(rows)
+    known = keyed(stored).select("month", *MENTION_KEY).distinct()
     unseen = fresh.join(known, ["month", *MENTION_KEY], "left_anti")
     columns = [c for c in rows.columns if c not in ("g", "w", "month")]
     first = F.min_by(F.struct(*columns), F.struct("d", "t")).alias("row")

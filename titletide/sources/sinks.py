@@ -8,9 +8,7 @@ from pyspark.sql import functions as F
 from titletide.operators import archive as ar
 from titletide.operators import price_index as ix
 from titletide.session import cut_lineage, forget
-from titletide.sources import tables
-
-MONTH_TASKS = 16  # that share the writing of a month
+from titletide.sources import membership, tables
 
 
 def stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
@@ -28,15 +26,13 @@ def replace_months(df: DataFrame, path: str) -> None:
 def append_archive(items: DataFrame, path: str) -> int:
     """Adds the mentions the archive does not hold; running it again adds nothing. Returns how many were added.
 
-    Only the months that the items belong to are read, and a month is written by several tasks."""
+    Of the archive only the parts that may hold one of the batch's mentions are read."""
     rows = ar.archive_rows(items)
-    months = [r.month for r in rows.select("month").distinct().collect()]  # a row for each month
-    known = stored(items.sparkSession, path, rows).where(F.col("month").isin(months))
+    known = membership.known(ar.keyed(rows), path, ar.MENTION_KEY, rows)
     fresh = cut_lineage(ar.new_mentions(rows, known).select(*rows.columns))
     added = fresh.count()
     if added:
-        part = F.pmod(F.xxhash64("w", "d"), F.lit(MONTH_TASKS))
-        fresh.repartition("month", part).write.mode("append").partitionBy("month").parquet(path)
+        membership.append(ar.keyed(fresh), path, ar.MENTION_KEY)
     return added
 
 
