@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from titletide.operators import snapshot as sn
 from titletide.sources import adapters as ad
@@ -27,19 +28,21 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.with_event_time(rows.withColumn("fetched", F.col("ts")))
 
 
-def _finished(stream: DataFrame, name: str, mode: str, keys: list[str] | None = None) -> DataFrame:
-    """The rows a stream wrote once it has read everything there is; with keys the last ones of each key."""
+def _finished(stream: DataFrame, name: str, mode: str, keys: list[str] | None = None, writer=None, schema: str | None = None) -> DataFrame:
+    """The rows a stream wrote once it has read everything there is; with keys the last ones of each key. ``writer(out)``
+    writes batches of rows of a ``schema`` of its own."""
     spark = stream.sparkSession
     out = _folder(spark, name)
-    query = (stream.writeStream.outputMode(mode).trigger(availableNow=True)
-             .option("checkpointLocation", _folder(spark, name + "-state")).foreachBatch(jobs.batch_folders(out)).start())
+    query = (stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", _folder(spark, name + "-state"))
+             .foreachBatch(writer(out) if writer else jobs.batch_folders(out)).start())
     query.awaitTermination()
+    shape = T._parse_datatype_string(schema) if schema else stream.schema
     if not query.recentProgress:
-        return spark.createDataFrame([], stream.schema)
-    rows = spark.read.schema(stream.schema.add("batch", "long")).parquet(out)
+        return spark.createDataFrame([], shape)
+    rows = spark.read.schema(T.StructType([*shape.fields, T.StructField("batch", T.LongType())])).parquet(out)
     if keys is None:
         return rows.drop("batch")
-    others = [c for c in stream.columns if c not in keys]
+    others = [c for c in shape.names if c not in keys]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("row")).select(*keys, "row.*")
 
 
@@ -84,8 +87,9 @@ def stream_price_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     checks = _source(spark, sf_dir, "lineitem").select(
         F.col("l_partkey").cast("string").alias("title"), F.col("l_suppkey").cast("string").alias("site"),
         F.col("l_shipdate").cast("timestamp").alias("stamp"), F.col("l_quantity").alias("copies"),
-        F.lit(None).cast("double").alias("lowest"), F.col("l_discount").alias("median")).withWatermark("stamp", "1 day")
-    rows = _finished(jobs.price_changes(checks), "changes", "append")
+        F.lit(None).cast("double").alias("lowest"), F.col("l_discount").alias("median"))
+    rows = _finished(checks, "changes", "append", writer=lambda out: jobs.price_change_batches(_folder(spark, "last-checks"), out),
+                     schema="title STRING, site STRING, stamp TIMESTAMP, copies DOUBLE, lowest DOUBLE, median DOUBLE")
     return rows.groupBy("title").agg(F.count(F.lit(1)).alias("changes"))
 
 
@@ -102,7 +106,8 @@ def stream_source_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _source(spark, sf_dir, "events")
     fetches = events.select(F.col("user_id").cast("string").alias("feed"), F.col("ts").cast("timestamp").alias("at"),
                             (F.col("value") >= 3).alias("ok"), F.col("ts").cast("timestamp").alias("latest"))
-    rows = _finished(jobs.source_states(fetches), "health", "update", ["feed"])
+    rows = _finished(fetches, "health", "append", ["feed"], lambda out: jobs.source_state_batches(_folder(spark, "sources"), out),
+                     "feed STRING, ok BOOLEAN, failing_since TIMESTAMP, latest TIMESTAMP")
     show = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
     return rows.select("feed", "ok", show("failing_since"), show("latest"))
 

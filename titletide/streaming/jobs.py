@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -77,66 +77,76 @@ def surge_holds(stream: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
         step, "title STRING, held_until TIMESTAMP", "held_until TIMESTAMP", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def _sorted(batches: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    """A key's rows of one micro-batch, in order."""
-    return pd.concat(list(batches)).sort_values(by, kind="stable").reset_index(drop=True)
+def _keyed_batches(state: str, out: str, step, keep=None):
+    """A ``foreachBatch`` writer of a rule that keeps a row for each key. ``step(batch, old)`` gives what the batch emits
+    and the new rows of the state; the state is a keyed table. What is emitted is written first, to a folder of the batch
+    under ``out``, and the state moves on after it, so a batch that is cut short is done again whole and a repeated one
+    changes nothing. Nothing but joins, windows and sums is held, and these spill, however many rows a key has."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        from titletide.sources import tables
 
+        emitted, rows, like = step(batch, None)
 
-def price_changes(stream: DataFrame) -> DataFrame:
-    """The checks worth a history row: a pair's figures changed, or its first check of a day. ``stream``: title, site,
-    stamp (with a watermark), copies, lowest, median.
+        def new(old: DataFrame) -> DataFrame:
+            emitted, rows, _ = step(batch, old)
+            emitted.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+            return rows
 
-    The state is the last check. It goes at the end of its day, as the first check of a new day counts in any case."""
-    figures = ["copies", "lowest", "median"]
+        tables.merge_batch(new, rows, state, batch_id, batch.select(like.alias("key")), keep(batch) if keep else None)
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = _sorted(batches, ["stamp", "copies", "median"])
-        values = rows[figures].astype(float)
-        day = rows["stamp"].dt.strftime("%Y-%m-%d")
-        before, day_before = values.shift(1), day.shift(1)
-        if state.exists:
-            *last, last_day = state.get
-            before.loc[0] = [float("nan") if x is None else x for x in last]
-            day_before.loc[0] = last_day
-        same = ((values == before) | (values.isna() & before.isna())).all(axis=1) & (day == day_before)
-        plain = lambda x: None if pd.isna(x) else float(x)
-        state.update((*map(plain, values.iloc[-1]), day.iloc[-1]))
-        midnight = (rows["stamp"].iloc[-1].normalize() + pd.Timedelta(days=1)).timestamp() * 1000
-        state.setTimeoutTimestamp(max(int(midnight), state.getCurrentWatermarkMs() + 1))
-        kept = rows[~same]
-        yield pd.DataFrame({"title": key[0], "site": key[1], "stamp": kept["stamp"], **{c: kept[c] for c in figures}})
-
-    return stream.groupBy("title", "site").applyInPandasWithState(
-        step, "title STRING, site STRING, stamp TIMESTAMP, copies DOUBLE, lowest DOUBLE, median DOUBLE",
-        "copies DOUBLE, lowest DOUBLE, median DOUBLE, day STRING", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def source_states(stream: DataFrame) -> DataFrame:
-    """feed, ok, failing_since, latest after every micro-batch that touches a source: repeated failures keep the time of
-    the first, and the newest item only moves forward. ``stream``: feed, at, ok, latest. There are as many states, of
-    two stamps each, as there are sources."""
+    return write
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        since, latest = (pd.Timestamp(x) if x is not None else pd.NaT for x in (state.get if state.exists else (None, None)))
-        rows = _sorted(batches, ["at"])
-        ok = rows["ok"].astype(bool)
-        failures = rows["at"][~ok & (ok[::-1].cumsum()[::-1] == 0)]  # those after the last success
-        if ok.any():
-            since = pd.NaT
-        if len(failures) and pd.isna(since):
-            since = failures.iloc[0]
-        latest = pd.Series([latest, rows["latest"][ok].max()]).max()
-        plain = lambda t: None if pd.isna(t) else t.to_pydatetime()
-        state.update((plain(since), plain(latest)))
-        yield pd.DataFrame({"feed": [key[0]], "ok": [bool(ok.iloc[-1])], "failing_since": [since], "latest": [latest]}).astype(
-            {"failing_since": "datetime64[ns]", "latest": "datetime64[ns]"})
-
-    return stream.groupBy("feed").applyInPandasWithState(
-        step, "feed STRING, ok BOOLEAN, failing_since TIMESTAMP, latest TIMESTAMP",
-        "failing_since TIMESTAMP, latest TIMESTAMP", "update", GroupStateTimeout.NoTimeout)
+
+def price_change_batches(state: str, out: str):
+    """R6: a ``foreachBatch`` writer of the checks worth a history row: a pair's figures changed, or its first check of a
+    day. Batches have title, site, stamp, copies, lowest, median; the state is the last check of each pair, which goes
+    once it is two days old, as the first check of a new day counts in any case."""
+    figures = ["copies", "lowest", "median"]
+    key = F.to_json(F.array(F.col("title"), F.col("site")))
+    day = F.date_format("stamp", "yyyy-MM-dd")
+
+    def step(batch: DataFrame, old: DataFrame | None):
+        rows = batch.select(key.alias("key"), "title", "site", "stamp", *(F.col(c).cast("double").alias(c) for c in figures)).withColumn("day", day)
+        last = F.struct("stamp", *figures, "day")
+        order = Window.partitionBy("key").orderBy("stamp", "copies", "median")
+        changed = rows.groupBy("key").agg(F.max_by(last, F.struct("stamp", "copies", "median")).alias("last")).select("key", "last.*")
+        if old is None:
+            return None, changed, key
+        held = old.select("key", F.struct(*(F.col(c) for c in (*figures, "day"))).alias("held"))
+        before = rows.withColumn("before", F.lag(F.struct(*figures, "day")).over(order)).join(held, "key", "left").withColumn(
+            "before", F.coalesce("before", "held"))
+        same = F.struct(*figures, "day").eqNullSafe(F.col("before"))
+        return before.where(~same).select("title", "site", "stamp", *figures), changed, key
+
+    def keep(batch: DataFrame):
+        newest = batch.agg(F.max("stamp")).first()[0]
+        return F.lit(True) if newest is None else F.col("stamp") >= F.lit(newest) - F.expr("INTERVAL 2 DAYS")
+
+    return _keyed_batches(state, out, step, keep)
+
+
+def source_state_batches(state: str, out: str):
+    """R7: a ``foreachBatch`` writer of feed, ok, failing_since, latest of every source that a batch touches: repeated
+    failures keep the time of the first, and the newest item only moves forward. Batches have feed, at, ok, latest. There
+    are as many states, of two stamps each, as there are sources."""
+    key = F.coalesce(F.col("feed"), F.lit(""))
+
+    def step(batch: DataFrame, old: DataFrame | None):
+        rows = batch.select(key.alias("key"), "feed", "at", F.col("ok").cast("boolean").alias("ok"), "latest")
+        won = rows.groupBy("key").agg(F.max(F.when(F.col("ok"), F.col("at"))).alias("won"))
+        after = ~F.col("ok") & (F.col("won").isNull() | (F.col("at") > F.col("won")))
+        sums = rows.join(won, "key").groupBy("key").agg(
+            F.first("feed").alias("feed"), F.max_by("ok", F.struct("at", "ok")).alias("ok"), F.first("won").alias("won"),
+            F.min(F.when(after, F.col("at"))).alias("failed"), F.max(F.when(F.col("ok"), F.col("latest"))).alias("newest"))
+        if old is None:
+            return None, sums.select("key", F.col("failed").alias("failing_since"), F.col("newest").alias("latest")), key
+        held = old.select("key", F.col("failing_since").alias("since"), F.col("latest").alias("before"))
+        since = F.when(F.col("won").isNull(), F.coalesce("since", "failed")).otherwise(F.col("failed"))
+        now = sums.join(held, "key", "left").select("key", "feed", "ok", since.alias("failing_since"),
+                                                    F.greatest("newest", "before").alias("latest"))
+        return now.drop("key"), now.select("key", "failing_since", "latest"), key
+
+    return _keyed_batches(state, out, step)
 
 
 def archive_batches(path: str):
