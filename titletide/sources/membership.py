@@ -30,16 +30,16 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def _part(parts: Column) -> Column:
-    return F.pmod(F.col("h"), parts).cast("int")
+    return F.pmod(F.col("_hash"), parts).cast("int")
 
 
 def _sub(subs: Column) -> Column:
-    return F.pmod(F.xxhash64("h", F.lit(1)), subs).cast("int")
+    return F.pmod(F.xxhash64("_hash", F.lit(1)), subs).cast("int")
 
 
 def _places() -> Column:
     """The bits of a key in its bitmap."""
-    return F.array(*(F.pmod(F.xxhash64("h", F.lit(i)), F.lit(BITS)).cast("int") for i in (2, 3, 4)))
+    return F.array(*(F.pmod(F.xxhash64("_hash", F.lit(i)), F.lit(BITS)).cast("int") for i in (2, 3, 4)))
 
 
 def _is_set(place: Column) -> Column:
@@ -58,12 +58,12 @@ def _sized(rows: DataFrame, part_rows: int) -> DataFrame:
 def append(rows: DataFrame, path: str, key: list[str], part_rows: int = PART_ROWS) -> None:
     """Adds rows, with their ``month``, under a run of its own: its index first."""
     run = uuid.uuid4().hex
-    dealt = _sized(rows.withColumn("h", F.xxhash64(*key)), part_rows)
+    dealt = _sized(rows.withColumn("_hash", F.xxhash64(*key)), part_rows)
     bits = dealt.withColumn("sub", _sub(F.col("subs"))).withColumn("place", F.explode(_places()))
     index = bits.groupBy("month", "parts", "part", "subs", "sub").agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(F.col("place") + 1)).alias("bitmap")).withColumn("run", F.lit(run))
     index.select(*(c.split()[0] for c in INDEX.split(", "))).write.partitionBy("month", "run").parquet(f"{path}/_index", mode="append")
-    dealt.drop("h", "parts", "subs").withColumn("run", F.lit(run)).repartition("month", "part").write.mode("append").partitionBy(
+    dealt.drop("_hash", "parts", "subs").withColumn("run", F.lit(run)).repartition("month", "part").write.mode("append").partitionBy(
         "month", "run", "part").parquet(path)
 
 
@@ -72,7 +72,7 @@ def possible(keys: DataFrame, path: str, key: list[str]) -> DataFrame:
     spark = keys.sparkSession
     if not _exists(spark, f"{path}/_index"):
         return spark.createDataFrame([], "month STRING, run STRING, part INT")
-    asked = keys.select("month", F.xxhash64(*key).alias("h")).distinct()
+    asked = keys.select("month", F.xxhash64(*key).alias("_hash")).distinct()
     months = [r.month for r in asked.select("month").distinct().collect()]  # a row for each month
     index = spark.read.schema(INDEX).parquet(f"{path}/_index").where(F.col("month").isin(months))
     runs = index.select("month", "run", "parts", "subs").distinct()
