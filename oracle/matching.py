@@ -156,4 +156,6 @@ SQL = {
       SELECT (SELECT count(*) FROM good) AS items, (SELECT count(*) FROM good WHERE doc NOT IN (SELECT doc FROM bad)) AS exact,
         hits, misses, spurious, round(CASE WHEN hits + spurious = 0 THEN 1.0 ELSE hits / (hits + spurious) END, 6)::DOUBLE AS precision,
         round(CASE WHEN hits + misses = 0 THEN 1.0 ELSE hits / (hits + misses) END, 6)::DOUBLE AS recall FROM sums""",
+    "repeat_offenders": f"""WITH {FOUND}, {standing('', 'found')}
+      SELECT title, count(DISTINCT doc) AS n FROM stands JOIN labels ON doc_id = doc WHERE quality = 1 GROUP BY title HAVING n > 1""",
 }

@@ -74,7 +74,30 @@ lib AS (SELECT name AS other FROM names UNION SELECT p_name || ' ' || lower(p_ty
     CASE WHEN p_size > 25 THEN ' edition' ELSE '' END FROM part
   UNION SELECT lower(p_type) || ' ' || p_name FROM part WHERE p_size <= 10)"""
 
+
+
+def merged(t: str, flagged: str) -> str:
+    """Outcomes of a merge by first figures; ``flagged`` lists the titles that the audit keeps apart."""
+    return f"""m{t} AS (SELECT t.*, root, coalesce(max(copies) FILTER (site = 'US'), 0) AS us, coalesce(max(copies) FILTER (site = 'UK'), 0) AS uk,
+    count(site) FILTER (site IN ('US', 'UK')) > 0 AND level <> 'surging' AS open
+  FROM t JOIN grp USING (title) LEFT JOIN firsts USING (title) GROUP BY title, level, pinned, mentions, root),
+k{t} AS (SELECT root, title AS kt, us AS kus, uk AS kuk FROM m{t} WHERE open
+  QUALIFY row_number() OVER (PARTITION BY root ORDER BY pinned DESC, us + uk DESC, length(title), title DESC) = 1),
+j{t} AS (SELECT title, kt, CASE WHEN n = 1 THEN 'kept' WHEN kt IS NULL THEN 'apart' WHEN title = kt THEN 'kept'
+    WHEN pinned OR level = 'surging' OR us > kus OR uk > kuk OR title IN ({flagged}) THEN 'apart' ELSE 'dropped' END AS outcome
+  FROM m{t} JOIN (SELECT root, count(*) AS n FROM m{t} GROUP BY root) USING (root) LEFT JOIN k{t} USING (root))"""
+
+
 SQL = {
+    "audited_merge": f"""WITH {prices.HISTORY}, {COPIES}, {GROUPS},
+firsts AS (SELECT title, site, arg_min(copies, period) AS copies FROM hist GROUP BY ALL),
+t AS (SELECT p_brand AS title, CASE sum(p_size) % 4 WHEN 0 THEN 'dormant' WHEN 1 THEN 'surging' WHEN 2 THEN 'normal'
+    ELSE 'staple' END AS level, min(p_size) > 1 AS pinned, count(*) AS mentions FROM part GROUP BY p_brand),
+{merged('1', "SELECT NULL WHERE false")},
+bad AS (SELECT DISTINCT j1.title FROM j1 JOIN latest a ON a.title = j1.title AND a.site IN ('US', 'UK')
+  JOIN latest b ON b.title = kt AND b.site = a.site WHERE outcome = 'dropped' AND a.copies >= b.copies + 3 AND a.copies >= b.copies * 1.5),
+{merged('2', 'SELECT title FROM bad')}
+SELECT title, CASE WHEN outcome = 'dropped' THEN kt END AS keeper, outcome FROM j2""",
     "text_forms": f"""SELECT doc_id, md5({NORMALISED}) AS normalised, md5({words('text')}) AS words,
   md5({numerals(without(words('text'), 'and'), vocab.LISTING_NUMERALS)}) AS name_words FROM documents""",
     "text_tone": f"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS l FROM documents),

@@ -158,3 +158,24 @@ def test_summary(spark):
 def test_near_misses(spark, text, expected):
     got = spark.range(1).select(ls.near_miss(F.lit(text), F.lit("silent hill 2"), F.array().cast("array<string>")).alias("x")).first().x
     assert got == expected
+
+
+def test_a_flagged_spelling_is_unmerged_by_the_next_run(spark, tmp_path):
+    titles = spark.createDataFrame([("A", "normal", False, False, 3), ("B", "normal", False, False, 2), ("C", "normal", False, False, 1)],
+                                   "title STRING, level STRING, pinned BOOLEAN, special BOOLEAN, mentions BIGINT")
+    groups = spark.createDataFrame([("A", "g"), ("B", "g"), ("C", "g")], "title STRING, root STRING")
+    figures = spark.createDataFrame([("A", "US", 10), ("B", "US", 5), ("C", "US", 4)], "title STRING, site STRING, copies BIGINT")
+    looks = spark.createDataFrame([("A", "US", 10, 1.0, False), ("B", "US", 40, 1.0, False), ("C", "US", 4, 1.0, False)],
+                                  "title STRING, site STRING, copies BIGINT, median DOUBLE, unmatched BOOLEAN")
+    run = lambda: {r.title: r.outcome for r in tt.audited_merge(str(tmp_path / "audit"), titles, groups, figures, looks).collect()}
+    assert run() == {"A": "kept", "B": "dropped", "C": "dropped"}
+    assert run() == {"A": "kept", "B": "apart", "C": "dropped"}
+    assert run() == {"A": "kept", "B": "apart", "C": "dropped"}  # the verdict stays
+
+
+def test_without_an_audit_nothing_is_unmerged(spark, tmp_path):
+    none = spark.createDataFrame([], "title STRING, level STRING, pinned BOOLEAN, special BOOLEAN, mentions BIGINT")
+    groups = spark.createDataFrame([], "title STRING, root STRING")
+    figures = spark.createDataFrame([], "title STRING, site STRING, copies BIGINT")
+    looks = spark.createDataFrame([], "title STRING, site STRING, copies BIGINT, median DOUBLE, unmatched BOOLEAN")
+    assert tt.audited_merge(str(tmp_path / "audit"), none, groups, figures, looks).count() == 0

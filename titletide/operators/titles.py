@@ -11,6 +11,7 @@ from titletide.functions import text as X
 from titletide.functions.similarity import block_ratio, best_name_score
 from titletide.operators.medians import top_k
 from titletide.session import cut_lineage, stored
+from titletide.sources import tables
 
 
 # ---------------------------------------------------------------------------------------------
@@ -449,6 +450,23 @@ def resolve_articles(candidates: DataFrame, threshold: int = 82) -> DataFrame:
     return best.select("title", "b.article", "b.score").where(F.col("score") >= threshold)
 
 
+def audited_merge(path: str, titles: DataFrame, groups: DataFrame, figures: DataFrame, looks: DataFrame,
+                  settings: Settings = DEFAULTS) -> DataFrame:
+    """R9: one run of the audit loop, which reads the verdicts of the run before from the table at ``path`` and leaves its
+    own there. A spelling that was flagged is not merged again, so a merge that turns out to lose copies undoes itself; its
+    verdict is kept, as a spelling that stands for itself is looked at no more. ``figures``: what is merged by; ``looks``:
+    the merged spellings' own figures and the keepers'. Returns the merge."""
+    shape = titles.sparkSession.createDataFrame(
+        [], "spelling STRING, keeper STRING, site STRING, copies BIGINT, median DOUBLE, keeper_copies BIGINT, keeper_median DOUBLE, verdict STRING")
+    before = tables.published(titles.sparkSession, path, shape)
+    merged = merge_spellings(titles, figures, groups, before)
+    dropped = merged.where("outcome = 'dropped'").select(F.col("title").alias("spelling"), "keeper")
+    found = audit_spellings(dropped, looks, looks, settings).select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in shape.schema))
+    flagged = before.where("verdict = 'FLAGGED'").join(dropped, "spelling", "left_anti").select(*shape.columns)
+    tables.publish(found.unionByName(flagged), path)
+    return merged
+
+
 def majority(votes: DataFrame, value: str = "genre", order: str = "position") -> DataFrame:
     """key and the value most votes name; of equals the one seen first. ``votes``: key, value, order."""
     counts = votes.groupBy("key", value).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from titletide.functions import text as X
 from titletide.operators import titles as tt
 from titletide.operators import prices as pr
-from titletide.session import cut_lineage
+from titletide.session import cut_lineage, shared_folder
 from titletide.sources import adapters as ad
 
 
@@ -161,6 +163,16 @@ def spelling_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
         "keeper_copies", F.col("keeper_copies").cast("bigint"))
 
 
+def audited_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second of two runs of the audit loop: both merge by each brand's first figures, and the audit between them looks
+    at the newest, so spellings that came to list clearly more than their keeper stand for themselves again."""
+    history = ad.history(spark, sf_dir)
+    first = cut_lineage(history.groupBy("title", "site").agg(F.min_by("copies", F.struct("period", "stamp")).alias("copies")))
+    path = f"{shared_folder(spark)}/audit-{uuid.uuid4().hex}"
+    runs = [tt.audited_merge(path, _tracked(spark, sf_dir), _groups(spark, sf_dir), first, _latest(spark, sf_dir)) for _ in range(2)]
+    return runs[-1].select("title", "keeper", "outcome")
+
+
 def genre_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A genre for every part name, by majority of its parts' types."""
     kind = ad.lookup({"ECONOMY": "Racing", "SMALL": "Racing / Arcade", "MEDIUM": "Puzzle", "LARGE": "Sing",
@@ -252,5 +264,5 @@ def releases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     text_forms, text_tone, digital_flags, article_checks, headline_forms, page_text, title_forms, library, siblings, renames,
-    title_groups, group_roots, brand_components, spelling_merge, spelling_audit, genre_votes, keyword_genres, extra_titles,
+    title_groups, group_roots, brand_components, spelling_merge, spelling_audit, audited_merge, genre_votes, keyword_genres, extra_titles,
     collection_keys, listed_places, fresh_labels, lost_mentions, typo_titles, aliases, articles, headline_sample, releases)}
