@@ -3,7 +3,8 @@
 Texts become ids once; only lengths and checksums go on. The pieces are dealt to groups, each group is packed by
 best-fit decreasing, and dual feasible functions give a lower bound on its bins: a group that meets its bound cannot be
 packed better by itself. Groups that miss theirs give up all bins that are not full, the others only the bin they opened
-last; these pieces are exchanged, dealt to fewer groups, and packed again, for as long as that saves bins.
+last; these pieces are exchanged, dealt to fewer groups, and packed again. That ends when the bound of all pieces that
+were exchanged certifies their bins, when one group holds them, or when two draws of groups in a row save no bin.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from titletide.session import stored
 CAPACITY = 2048
 END = 0  # the id that follows every document
 GROUP = 8192  # pieces of a group
-ROUNDS = 6
+STALLED = 2  # draws in a row that save nothing, after which the bins stay
 PIECE = "doc_id long, text_crc32 long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECE + ", place long, group int, sequence_id long, offset long, free long, given_up boolean"
 
@@ -56,7 +57,11 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     """The largest of the bounds by dual feasible functions: the plain volume; for every threshold up to half a bin,
     pieces over its complement alone, the others over half a bin apart and the rest by volume; and the step functions
     that round x (k + 1) / capacity down unless it is whole."""
-    counts = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    return bound_of(np.bincount(lengths, minlength=capacity + 1).astype(np.int64), capacity)
+
+
+def bound_of(counts: np.ndarray, capacity: int) -> int:
+    """The same from the number of pieces of each length from 0 to ``capacity``."""
     sizes = np.arange(capacity + 1)
     number, volume = np.cumsum(counts), np.cumsum(counts * sizes)
     best = -(-int(volume[-1]) // capacity)
@@ -133,28 +138,39 @@ def _pack(capacity: int, round_no: int):
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
+def _bound(pieces: DataFrame, capacity: int) -> tuple[int, int]:
+    """(number of pieces, lower bound on their bins); no more than ``capacity`` rows of counts come to the driver."""
+    counts = np.zeros(capacity + 1, dtype=np.int64)
+    for length, n in pieces.groupBy("length").count().collect():
+        counts[length] = n
+    return int(counts.sum()), bound_of(counts, capacity)
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, stalled: int = STALLED) -> DataFrame:
     """The pieces, each with a number ``place`` of its own, and their group, sequence_id, offset and free, the room left
     in the sequence. Without a saving the bins of before hold, and the next round draws other groups."""
     columns = [*(x.split()[0] for x in PIECE.split(", ")), "place"]
     settled: list[DataFrame] = []
-    pool, used, waiting = pieces, None, pieces.count()
-    for round_no in range(rounds):
+    pool, used, idle, round_no = pieces, None, 0, 0
+    waiting, bound = _bound(pieces, capacity)
+    while used is None or (used > bound and idle < stalled):
         groups = max(1, -(-waiting // GROUP))
         draw = F.pmod(F.xxhash64("place", F.lit(round_no)), F.lit(groups)).cast("int")
         met = pool.select(*columns).withColumn("group", draw).repartition(groups, "group").sortWithinPartitions(
             "group", F.desc("length"), "place")
         packed = stored(met.mapInArrow(_pack(capacity, round_no), PLACED), "packing-round")
-        opens, given_up = F.col("offset") == 0, F.col("given_up")
-        bins, bins_given_up, next_waiting = packed.agg(
-            F.count_if(opens), F.count_if(opens & given_up), F.count_if(given_up)).first()
+        bins, given_up = packed.agg(F.count_if(F.col("offset") == 0), F.count_if((F.col("offset") == 0) & F.col("given_up"))).first()
+        round_no += 1
         if used is None or bins < used:
             if groups == 1:
                 return _all([*settled, packed])
-            settled.append(packed.where(~given_up))
-            pool, used, waiting = packed.where(given_up), bins_given_up, next_waiting
+            settled.append(packed.where("NOT given_up"))
+            pool, used, idle = packed.where("given_up"), given_up, 0
+            waiting, bound = _bound(pool, capacity)
         elif groups == 1:
             break
+        else:
+            idle += 1
     return _all([*settled, pool])
 
 

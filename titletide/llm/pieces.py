@@ -4,7 +4,9 @@ The tokenizer splits a text into words before it merges bytes, and a space that
 is no white space always begins a word there, whatever comes before it. So a text may be cut in front of every such
 space, the pieces encoded apart and the results put together, and nothing changes. Texts that hold one of the
 tokenizer's special strings are encoded whole, as those are looked for first. Most pieces are words seen before: their
-result comes from a table of bounded size, and the rest go to the library in batches of about equal bytes.
+result comes from a table of bounded size. A full table gives way to a new one, which takes over what is asked for
+again. A piece that ends in marks is the piece without them, which may be known, and the marks. The rest go to the
+library in batches of about equal bytes.
 """
 
 from __future__ import annotations
@@ -12,16 +14,19 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import public_tokenizers
 
-KNOWN = 700_000  # pieces that a worker remembers at most
+KNOWN = 350_000  # pieces of either table that a worker remembers
 KEPT = 200_000  # of them that it keeps between tasks
 LONGEST = 96  # characters of a piece that is worth remembering
 BATCH = 1 << 19  # bytes that go to the library at once
 SLICE = 1 << 20  # characters of a text that are cut into pieces at once
 CUT = re.compile(r" (?=\S)")
+RUN = re.compile(r" (?!\S)")
+MARKS = ".,;:!?"  # after a letter, at the end of a piece, they are a word of their own
 SPACE = "\u0120"  # how a byte-level vocabulary writes the space
 
 
@@ -47,15 +52,10 @@ def safe_slices(text: str, limit: int = SLICE) -> Iterator[str]:
 
 
 def _batches(texts: list[str]) -> Iterator[list[str]]:
-    batch, held = [], 0
-    for text in texts:
-        batch.append(text)
-        held += len(text) + 1
-        if held >= BATCH:
-            yield batch
-            batch, held = [], 0
-    if batch:
-        yield batch
+    """The texts in batches of about ``BATCH`` characters."""
+    sizes = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) // BATCH
+    cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(texts)]
+    yield from (texts[low:high] for low, high in zip(cuts, cuts[1:]) if high > low)
 
 
 class Pieces:
@@ -72,6 +72,8 @@ class Pieces:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.made = made
         self.known: dict[str, object] = {}
+        self.marks: dict[str, object] = {}
+        self.before: dict[str, object] = {}  # the table that was full last
         words = self.tokenizer.get_vocab(with_added_tokens=False)
         self.begins = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, dtype=bool)
         self.begins[[i for word, i in words.items() if word[0] == SPACE]] = True
@@ -100,39 +102,49 @@ class Pieces:
 
     def parts(self, texts: list[str]) -> Iterator[list[object]]:
         """For each text what was made of its pieces, in order. Pieces after the first are named without their space."""
-        whole = [any(s in t for s in self.special) for t in texts]
-        split = [None if w else t.split(" ") for t, w in zip(texts, whole)]
-        wanted = set().union(*(s[1:] for s in split if s is not None))
-        new = [p for p in wanted if p not in self.known]
+        split = [[t] if any(s in t for s in self.special) else t.split(" ") for t in texts]
+        words, found, lost = self._looked_up(split)
+        new = {words[i] for i in lost}
         if any(not p or p[0].isspace() for p in new):  # runs of white space: cut in front of their last space only
-            for i, s in enumerate(split):
-                if s is not None and any(not p or p[0].isspace() for p in s[1:]):
-                    split[i] = CUT.split(texts[i])
-            wanted = set().union(*(s[1:] for s in split if s is not None))
-            new = [p for p in wanted if p not in self.known]
-        firsts = [t if w else s[0] for t, w, s in zip(texts, whole, split)]
-        made = self.made
-        first = [made(ids) for ids in self.encode(firsts)]
-        once: dict[str, object] = {}
-        if len(self.known) + len(new) > KNOWN:
-            if len(self.known) > KNOWN // 2:
-                self.known = {}
-                new = list(wanted)
-        for piece, ids in self.encode_pieces(new):
-            (once if len(piece) > LONGEST or len(self.known) >= KNOWN else self.known)[piece] = made(ids)
-        known = self.known
-        for head, s in zip(first, split):
-            if s is None:
-                yield [head]
-            elif once:
-                yield [head, *(once[p] if p in once else known[p] for p in s[1:])]
-            else:
-                yield [head, *map(known.__getitem__, s[1:])]
+            split = [CUT.split(t) if len(s) > 1 and RUN.search(t) else s for t, s in zip(texts, split)]
+            words, found, lost = self._looked_up(split)
+            new = {words[i] for i in lost}
+        made, known, before, once = self.made, self.known, self.before, {}
+        marked = {p: p[len(core):] for p in new if p[-1] in MARKS and p not in before
+                  and (core := p.rstrip(MARKS)) and core[-1].isascii() and core[-1].isalpha()}
+        new.difference_update(marked)
+        new.update(core for p, marks in marked.items() if (core := p[:-len(marks)]) not in known)
+        known |= {p: before.pop(p) for p in new if p in before}
+        for piece, ids in self.encode_pieces([p for p in new if p not in known]):
+            (known if len(piece) <= LONGEST else once)[piece] = made(ids)
+        unmet = [m for m in {*marked.values()} if m not in self.marks]
+        self.marks |= zip(unmet, map(made, self.encode(unmet)))
+        for piece, marks in marked.items():
+            core = piece[:-len(marks)]
+            (known if len(piece) <= LONGEST else once)[piece] = (known[core] if core in known else once[core]) + self.marks[marks]
+        for i in lost:
+            piece = words[i]
+            found[i] = known[piece] if piece in known else once[piece]
+        if len(known) > KNOWN:
+            self.known, self.before = {}, known
+        low = 0
+        for s, ids in zip(split, self.encode([s[0] for s in split])):
+            high = low + len(s) - 1
+            yield [made(ids), *found[low:high]]
+            low = high
+
+    def _looked_up(self, split: list[list[str]]) -> tuple[list[str], list[object], list[int]]:
+        """All pieces but the first ones, what is known of each, and the places of those that nothing is known of."""
+        words = list(chain.from_iterable(s[1:] for s in split))
+        found = list(map(self.known.get, words))
+        return words, found, [i for i, value in enumerate(found) if value is None]
 
     def rest(self) -> None:
-        """At the end of a task: a large table of pieces goes, so that idle workers hold little."""
+        """At the end of a task only pieces that were met early stay, most of them frequent ones, so that idle workers
+        hold little."""
+        self.before = {}
         if len(self.known) > KEPT:
-            self.known = {}
+            self.known = dict(islice(self.known.items(), KEPT))
 
     def of_each(self, texts: list[str], join: Callable[[list[object]], object]) -> Iterator[object]:
         """``join`` of the parts of every text; texts are met in groups, and long ones in slices, of bounded size."""
