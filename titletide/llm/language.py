@@ -39,31 +39,42 @@ def _letter_table() -> np.ndarray:
 _LETTERS: list[np.ndarray] = []
 
 
-def letters_of(text: str) -> np.ndarray:
-    """Lower-case letters, with one space around and between words."""
+def _letters(text: str) -> np.ndarray:
     if not _LETTERS:
         _LETTERS.append(_letter_table())
-    codes = _LETTERS[0][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
-    codes = np.concatenate(([SPACE], codes, [SPACE])).astype(np.uint64)
+    return _LETTERS[0][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].astype(np.uint64)
+
+
+def _single_spaces(codes: np.ndarray) -> np.ndarray:
     kept = np.ones(len(codes), dtype=bool)
     kept[1:] = (codes[1:] != SPACE) | (codes[:-1] != SPACE)
     return codes[kept]
 
 
+def letters_of(text: str) -> np.ndarray:
+    """Lower-case letters, with one space around and between words."""
+    edge = np.array([SPACE], dtype=np.uint64)
+    return _single_spaces(np.concatenate((edge, _letters(text), edge)))
+
+
 def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(n-grams, counts) of a whole text. An n-gram is a number: 21 bits for each character. One that is only a space, or
-    that has a space inside, is left out."""
+    that has a space inside, is left out. A long text is met slice by slice; its last letters go on to the next slice."""
     grams, counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    edge = np.array([SPACE], dtype=np.uint64)
+    carried, old = edge, 0  # letters before this slice; how many of them were counted already
     for low in range(0, max(len(text), 1), PIECE):
-        codes = letters_of(text[max(0, low - max(ORDERS) + 1) if low else 0:low + PIECE])
-        found = []
+        last = edge[:int(low + PIECE >= len(text))]
+        codes = _single_spaces(np.concatenate((carried, _letters(text[low:low + PIECE]), last)))
+        found = [np.zeros(0, dtype=np.uint64)]
         for n in ORDERS:
-            if len(codes) < n:
+            own = codes[max(0, old - n + 1):]
+            if len(own) < n:
                 continue
-            gram = codes[: len(codes) - n + 1].copy()
+            gram = own[: len(own) - n + 1].copy()
             clean = np.ones(len(gram), dtype=bool) if n > 1 else gram != SPACE
             for i in range(1, n):
-                part = codes[i: len(codes) - n + 1 + i]
+                part = own[i: len(own) - n + 1 + i]
                 gram = (gram << np.uint64(21)) | part
                 if i < n - 1:
                     clean &= part != SPACE
@@ -73,6 +84,8 @@ def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
             new, place = np.unique(np.concatenate((grams, new)), return_inverse=True)
             n_new = np.bincount(place, weights=np.concatenate((counts, n_new))).astype(np.int64)
         grams, counts = new, n_new
+        carried = codes[-(max(ORDERS) - 1):]
+        old = len(carried)
     return grams, counts
 
 
@@ -108,7 +121,8 @@ def learn_profiles(docs: DataFrame, sample: int = SAMPLE, profile: int = PROFILE
     """
     shares = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))  # a row for each language
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = docs.join(shares, "lang").where(draw * F.col("n") < sample).select("lang", "text")
+    # As many rows as there are languages, each of which has a whole profile on the driver later; texts stay where they are.
+    drawn = docs.join(F.broadcast(shares), "lang").where(draw * F.col("n") < sample).select("lang", "text")
     counts = drawn.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     return counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= profile).select("lang", "gram", "place")
