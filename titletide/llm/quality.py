@@ -182,17 +182,18 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(crc_of(id_col), F.lit(4)) == 2, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | None:
-    """A network learned from at most ``sample`` labelled documents of either label, drawn by hash of the id from those
-    that are not held out and have at most ``LONGEST`` bytes. None where one of the labels has no document."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> Network | None:
+    """A network learned from at most ``sample`` labelled documents of either label, drawn by hash of the id from the
+    documents that have a label, are not held out and have at most ``longest`` bytes. None where one of the labels has
+    no such document."""
+    short = docs.where(F.octet_length("text") <= longest)
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(
-        "doc_id IS NOT NULL AND quality IN (0, 1)").where(~held_out())
+        "doc_id IS NOT NULL AND quality IN (0, 1)").where(~held_out()).join(short.select("doc_id"), "doc_id", "left_semi")
     order = F.xxhash64("doc_id")
-    chosen = [usable.where(F.col("quality") == label).orderBy(order, "doc_id").limit(sample) for label in (0, 1)]
-    drawn = chosen[0].unionByName(chosen[1])
-    texts = docs.where(F.octet_length("text") <= LONGEST)
+    chosen = [usable.where(F.col("quality") == label).distinct().orderBy(order, "doc_id").limit(sample) for label in (0, 1)]
     # The drawn ids are at most two samples, whatever the tables hold.
-    rows = texts.join(F.broadcast(drawn), "doc_id").orderBy(order, "doc_id").limit(2 * sample).select("text", "quality").collect()
+    drawn = short.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
+    rows = drawn.orderBy(order, "doc_id", F.xxhash64("text"), "quality").limit(2 * sample).select("text", "quality").collect()
     known = np.array([r.quality for r in rows], dtype=np.float32)
     if len(set(known.tolist())) < 2:
         return None
@@ -202,14 +203,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network |
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  sample: int = SAMPLE) -> DataFrame:
+                  sample: int = SAMPLE, longest: int = LONGEST) -> DataFrame:
     """doc_id, held_out, score, predicted of every row.
 
+    The network learns from at most ``sample`` documents of either label, of at most ``longest`` bytes each.
+
     ``labels``: doc_id, quality. Whole texts are scored; null counts as empty, and a zero byte as a space. Texts without
     a byte get the score of an empty chunk, all the same. Without labels of both kinds to learn from every score is 0.5.
     Rows that repeat an id are scored each on their own; an empty table gives an empty result.
     """
     read = ids_and_texts(docs, id_col, text_col)
-    network = train(read, labels, sample)
+    network = train(read, labels, sample, longest)
     scored = read.mapInArrow(_score(network), "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= LIKELY).cast("int").alias("predicted"))
