@@ -188,7 +188,7 @@ def test_token_counts(spark, library):
 
 def test_pieces_are_exact_on_odd_texts(library):
     draw = random.Random(3)
-    parts = ["a", "b", "Z", " ", "  ", "\n", "\t", "'s", "é", "<|endoftext|>", "<|endo", "1", "23", "!", "　", "\x1c", "\x85", "中文", "👍"]
+    parts = ["a", "b", "Z", " ", "  ", "\n", "\t", "'s", "é", "<|endoftext|>", "<|endo", "1", "23", "!", ",", "?.", "it", "　", "\x1c", "\x85", "中文", "👍"]
     texts = ["".join(draw.choices(parts, k=draw.randint(0, 40))) for _ in range(3000)]
     got = list(pieces.Pieces(tokens.VOCABULARY, bytes).of_each(texts, b"".join))
     assert got == [pieces.ids_as_bytes(library(t)) for t in texts]
@@ -357,6 +357,54 @@ def test_language(spark):
     assert names == {"a": 2, "b": 2, " a": 2, "ab": 2, "b ": 2, " ab": 2, "ab ": 2}
 
 
+def rank_order(text, profiles):
+    """(language, score) of a text, written plainly; ``profiles``: ranked n-grams of each language."""
+    grams = plain_grams(text)
+    top = sorted(grams, key=lambda g: (-grams[g], number(g)))[:language.LEADING]
+    if not top:
+        return "und", 0.0
+    most = language.PROFILE
+    apart = {name: sum(min(abs(ranks[g] - i), most) if g in ranks else most for i, g in enumerate(top))
+             for name, ranks in profiles.items()}
+    best = min(sorted(apart), key=apart.get)
+    return best, 1 - apart[best] / (most * len(top))
+
+
+def number(gram):
+    return sum(ord(c) << 21 * i for i, c in enumerate(reversed(gram)))
+
+
+def plain_grams(text):
+    line = " " + " ".join("".join(c.lower() if c.isalpha() else " " for c in text or "").split()) + " "
+    grams = Counter(line[i:i + n] for n in language.ORDERS for i in range(len(line) - n + 1))
+    return {g: c for g, c in grams.items() if g != " " and " " not in g[1:-1] and g.strip()}
+
+
+@pytest.mark.parametrize("piece", [1, 2, 7, 1 << 20])
+def test_grams_of_slices(monkeypatch, piece):
+    monkeypatch.setattr(language, "PIECE", piece)
+    draw = random.Random(8)
+    texts = ["".join(draw.choices("abÉ .7\n", k=draw.randint(0, 60))) for _ in range(200)]
+    for text in texts:
+        grams, counts = language.ngram_counts(text)
+        assert dict(zip(grams.tolist(), counts.tolist())) == {number(g): c for g, c in plain_grams(text).items()}
+
+
+def test_distances_and_ties():
+    ranked = {"de": "der Hund und die Katze", "en": "the dog and the cat", "tie": "the dog and the cat"}
+    profiles = {}
+    for name, text in ranked.items():
+        grams = plain_grams(text)
+        profiles[name] = {g: i for i, g in enumerate(sorted(grams, key=lambda g: (-grams[g], number(g))))}
+    signed = lambda n: n - (1 << 64) if n >> 63 else n
+    ours = language.Profiles([(name, signed(number(g)), i + 1) for name, ranks in profiles.items() for g, i in ranks.items()])
+    for text in ["the cat", "die Katze und der Hund", "zzz", "", "12", None, "the dog " * 500, "xyz the dog und"]:
+        name, score = ours.judge(text)
+        wanted, best = rank_order(text, profiles)
+        assert (name, round(score, 12)) == (wanted, round(best, 12))
+    assert ours.judge("the cat")[0] == "en"
+
+
 def test_language_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
@@ -378,6 +426,16 @@ def test_quality(spark):
     assert quality.score_quality(frame(spark, []), labels).count() == 0
 
 
+def test_quality_draws_from_labelled_documents(spark):
+    """Labels without a document do not take the place of others."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    strange = spark.range(10_000_000, 10_050_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    more = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).unionByName(strange)
+    read = docs.select("doc_id", "text")
+    assert (quality.train(read, more).weights["filters"] == quality.train(read, labels).weights["filters"]).all()
+
+
 def test_quality_gradients():
     net = quality.Network()
     packed, labels = quality.Packed([b"hello world this is" * 9, b"ABC!! DEF!!" * 20, b""]), np.array([1, 0, 1], dtype=np.float32)
