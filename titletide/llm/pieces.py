@@ -13,14 +13,15 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from itertools import chain, islice
 
 import numpy as np
 import public_tokenizers
 
-KNOWN = 350_000  # pieces of either table that a worker remembers
-KEPT = 200_000  # of them that it keeps between tasks
+KNOWN = 600_000  # pieces of either table that a worker remembers
+KEPT = 450_000  # of them that it keeps between tasks
 LONGEST = 96  # characters of a piece that is worth remembering
 BATCH = 1 << 19  # bytes that go to the library at once
 SLICE = 1 << 20  # characters of a text that are cut into pieces at once
@@ -62,7 +63,7 @@ class Pieces:
     """Encodes texts with a tokenizer of the ``tokenizers`` library; ``made`` turns a piece's ids, as bytes, into what is
     kept."""
 
-    def __init__(self, vocabulary: str, made: Callable[[bytes], object]):
+    def __init__(self, vocabulary: str, made: Callable[[bytes], object], by_word: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives the task one core
         from tokenizers import Tokenizer
 
@@ -74,6 +75,8 @@ class Pieces:
         self.known: dict[str, object] = {}
         self.marks: dict[str, object] = {}
         self.before: dict[str, object] = {}  # the table that was full last
+        split_by_bytes = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self.tokenizer.normalizer is None
+        self.model = self.tokenizer.model if by_word and split_by_bytes else None
         words = self.tokenizer.get_vocab(with_added_tokens=False)
         self.begins = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, dtype=bool)
         self.begins[[i for word, i in words.items() if word[0] == SPACE]] = True
@@ -87,7 +90,12 @@ class Pieces:
 
     def encode_pieces(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
         """Each piece with its ids. Pieces that hold no other space than the one they begin with are encoded as one
-        text, in which only their first tokens begin with a space."""
+        text, in which only their first tokens begin with a space. With ``by_word`` a piece of ASCII letters, which is
+        a word for the library too, goes to its model at once."""
+        if self.model is not None:
+            word = self.model.tokenize
+            yield from ((p, array("I", [t.id for t in word(SPACE + p)]).tobytes()) for p in pieces if p.isascii() and p.isalpha())
+            pieces = [p for p in pieces if not (p.isascii() and p.isalpha())]
         spaced = [p for p in pieces if " " in p]
         yield from zip(spaced, self.encode([" " + p for p in spaced]))
         for batch in _batches([p for p in pieces if " " not in p]):
@@ -123,8 +131,7 @@ class Pieces:
             core = piece[:-len(marks)]
             (known if len(piece) <= LONGEST else once)[piece] = (known[core] if core in known else once[core]) + self.marks[marks]
         for i in lost:
-            piece = words[i]
-            found[i] = known[piece] if piece in known else once[piece]
+            found[i] = known[words[i]] if words[i] not in once else once[words[i]]
         if len(known) > KNOWN:
             self.known, self.before = {}, known
         low = 0
@@ -168,18 +175,18 @@ class Pieces:
 _READY: dict[tuple[str, object], Pieces] = {}
 
 
-def _ready(vocabulary: str, made: Callable[[bytes], object]) -> Pieces:
+def _ready(vocabulary: str, made: Callable[[bytes], object], by_word: bool) -> Pieces:
     """One encoder for each Python worker, so that tasks go on with the pieces that earlier ones met."""
     if (vocabulary, made) not in _READY:
-        _READY[vocabulary, made] = Pieces(vocabulary, made)
+        _READY[vocabulary, made] = Pieces(vocabulary, made, by_word)
     return _READY[vocabulary, made]
 
 
 def counter(vocabulary: str) -> Pieces:
     """The worker's encoder that keeps numbers of tokens only."""
-    return _ready(vocabulary, number_of_ids)
+    return _ready(vocabulary, number_of_ids, by_word=False)
 
 
 def encoder(vocabulary: str) -> Pieces:
     """The worker's encoder that keeps ids as bytes."""
-    return _ready(vocabulary, bytes)
+    return _ready(vocabulary, bytes, by_word=True)
