@@ -186,12 +186,19 @@ def test_token_counts(spark, library):
     assert tokens.token_counts(frame(spark, [])).count() == 0
 
 
-def test_pieces_are_exact_on_odd_texts(library):
+def test_pieces_are_exact_on_odd_texts(library, monkeypatch):
     draw = random.Random(3)
     parts = ["a", "b", "Z", " ", "  ", "\n", "\t", "'s", "é", "<|endoftext|>", "<|endo", "1", "23", "!", ",", "?.", "it", "　", "\x1c", "\x85", "中文", "👍"]
     texts = ["".join(draw.choices(parts, k=draw.randint(0, 40))) for _ in range(3000)]
-    got = list(pieces.Pieces(tokens.VOCABULARY, bytes).of_each(texts, b"".join))
-    assert got == [pieces.ids_as_bytes(library(t)) for t in texts]
+    texts += [" ".join("".join(draw.choices("abeinst", k=draw.randint(1, 12))) for _ in range(50)) for _ in range(100)]
+    for by_word in (False, True):
+        got = list(pieces.Pieces(tokens.VOCABULARY, bytes, by_word).of_each(texts, b"".join))
+        assert got == [pieces.ids_as_bytes(library(t)) for t in texts]
+    small = pieces.Pieces(tokens.VOCABULARY, bytes)
+    for known in (3, 40):  # tables that give way all the time
+        monkeypatch.setattr(pieces, "KNOWN", known)
+        assert [b"".join(p) for t in texts for p in small.parts([t])] == got
+        small.rest()
     for text in texts[:200]:
         assert "".join(pieces.safe_slices(text, 5)) == text
 
