@@ -427,6 +427,8 @@ def merged(docs: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> tuple[np.nd
     return docs[head], lows[head], reach[last] - docs[head] * wide
 
 
+#: Carried timestamps keep their microseconds; who reads them back gives the same formats.
+TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, carried string"
 
 
@@ -473,7 +475,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     names = [F.col(f"`{c}`") for c in carry or []]
-    extra = F.to_json(F.struct(*names), {"ignoreNullFields": "false"}) if names else F.lit(None).cast("string")
+    extra = F.to_json(F.struct(*names), {"ignoreNullFields": "false", **TIMES}) if names else F.lit(None).cast("string")
     read = docs.withColumn("carried", extra) if "carried" not in docs.columns else docs.select(
         id_col, text_col, extra.alias("carried"))
     read = read.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), "carried")
