@@ -14,15 +14,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from titletide.llm import exact, language, packing, repeats, simhash
+from titletide.llm.common import lowered
 from titletide.session import stored
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """A column name that the documents do not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """The rows whose id and text are not among the dropped ones."""
-    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    out = dropped.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text"))
-    same = keyed["doc_id"].eqNullSafe(out["__id"]) & (keyed["__key"] == out["__text"])
-    return keyed.join(out, same, "left_anti")
+    out = dropped.select(F.col("doc_id").alias(_unused(docs, "__id")), F.col("text_key").alias(_unused(docs, "__text")))
+    same = docs["doc_id"].eqNullSafe(out[0]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == out[1])
+    return docs.join(out, same, "left_anti")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,22 +39,26 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal after lower-casing A-Z the row with the largest id stays; of rows alike in both, one."""
+    """Of texts that are equal after lower-casing A-Z the row with the largest id stays; of rows alike in both,
+    any one."""
     found = exact.exact_duplicates(docs)
-    return _without(docs, found.where("NOT kept")).dropDuplicates(["doc_id", "__key"]).drop("__key")
+    key = _unused(docs, "__key")
+    left = _without(docs, found.where("NOT kept")).withColumn(key, F.xxhash64(lowered(F.col("text"))))
+    return left.dropDuplicates(["doc_id", key]).drop(key)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked fingerprints the document with the smallest id stays; rows without an id stay."""
     found = simhash.near_duplicates(docs)
-    return _without(docs, found.where("doc_id <> component_id")).drop("__key")
+    return _without(docs, found.where("doc_id <> component_id"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document with its text shortened by the passages that earlier documents have; n_chars follows the text."""
     others = [f for f in docs.schema if f.name not in ("doc_id", "text")]
     found = repeats.without_repeats(docs, carry=[f.name for f in others])
-    row = F.from_json("carried", T.StructType(others))
+    options = {**repeats.TIMES, "columnNameOfCorruptRecord": _unused(docs, "_corrupt_record")}
+    row = F.from_json("carried", T.StructType(others), options)
     new = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
     return found.withColumn("row", row).select(
         *[new.get(name, F.col("row").getField(name)).alias(name) for name in docs.columns])
