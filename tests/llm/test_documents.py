@@ -191,9 +191,8 @@ def test_pieces_are_exact_on_odd_texts(library, monkeypatch):
     parts = ["a", "b", "Z", " ", "  ", "\n", "\t", "'s", "é", "<|endoftext|>", "<|endo", "1", "23", "!", ",", "?.", "it", "　", "\x1c", "\x85", "中文", "👍"]
     texts = ["".join(draw.choices(parts, k=draw.randint(0, 40))) for _ in range(3000)]
     texts += [" ".join("".join(draw.choices("abeinst", k=draw.randint(1, 12))) for _ in range(50)) for _ in range(100)]
-    for by_word in (False, True):
-        got = list(pieces.Pieces(tokens.VOCABULARY, bytes, by_word).of_each(texts, b"".join))
-        assert got == [pieces.ids_as_bytes(library(t)) for t in texts]
+    got = list(pieces.Pieces(tokens.VOCABULARY, bytes).of_each(texts, b"".join))
+    assert got == [pieces.ids_as_bytes(library(t)) for t in texts]
     small = pieces.Pieces(tokens.VOCABULARY, bytes)
     for known in (3, 40):  # tables that give way all the time
         monkeypatch.setattr(pieces, "KNOWN", known)
@@ -490,5 +489,20 @@ def test_pipeline(spark, library):
     assert corpus_pipeline.drop_exact_copies(spark, docs, SF).columns == docs.columns
 
 
+def test_stages_keep_odd_columns(spark):
+    rows = [(7, "Foo bar baz"), (7, "foo bar baz"), (8, "words of another text"), (9, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").select(
+        "*", F.length("text").cast("long").alias("n_chars"), F.lit(5).alias("__key"), F.lit(6).alias("_corrupt_record"),
+        F.lit("2020-01-02 03:04:05.123456").cast("timestamp").alias("seen"))
+    kept = corpus_pipeline.drop_exact_copies(spark, table, SF)
+    assert kept.columns == table.columns and kept.where("doc_id = 7").count() == 1 and kept.count() == 3
+    for stage in (corpus_pipeline.drop_exact_copies, corpus_pipeline.drop_near_copies, corpus_pipeline.cut_repeats):
+        out = stage(spark, table, SF)
+        assert out.columns == table.columns
+        assert {(r["__key"], r["_corrupt_record"], r.seen) for r in out.collect()} == {
+            (r["__key"], r["_corrupt_record"], r.seen) for r in table.collect()}
+        assert stage(spark, table.limit(0), SF).count() == 0
+
+
 def test_letters_of_every_plane():
     assert language.letters_of(chr(0x30000) + " " + chr(0x323AF)).tolist() == [32, 0x30000, 32, 0x323AF, 32]
