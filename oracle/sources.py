@@ -1,6 +1,50 @@
 """SQL twins of the queries that go through readers and sinks."""
 
+EVENTS = """e AS (SELECT event_id AS n, event_id // 100 AS board, epoch(date_trunc('second', ts))::BIGINT AS time, event_id % 17 = 0 AS bare, event_id % 13 = 0 AS odd,
+    event_id % 19 = 0 AS many, event_id % 23 = 0 AS flag,
+    dense_rank() OVER (PARTITION BY event_id // 100 ORDER BY event_id // 10) - 1 AS page,
+    row_number() OVER (PARTITION BY event_id // 10 ORDER BY event_id) - 1 AS pos FROM events)"""
+FOUND = """l AS (SELECT l_orderkey AS o, l_linenumber AS n, min(l_partkey) AS part, sum(l_quantity)::BIGINT AS value,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS pos FROM lineitem GROUP BY l_orderkey, l_linenumber),
+i AS (SELECT *, n = 3 AND o % 5 = 0 AS gone, n = 2 AND o % 7 = 0 AS bare, o % 11 = 0 AS odd FROM l),
+j AS (SELECT *, CASE WHEN gone THEN 'gone' ELSE '{"itemId":"' || o || '-' || n || '","title":"part ' || part || '","price":' ||
+    CASE WHEN bare THEN value::VARCHAR ELSE '{"value":"' || value || '","currency":"USD"}' END || '}' END AS json FROM i)"""
+DAYS = """d AS (SELECT o_orderdate::DATE AS day, count(*) % 90 + 10 AS n, date_diff('day', DATE '1970-01-01', o_orderdate::DATE) AS k
+    FROM orders GROUP BY ALL)"""
+
 SQL = {
+    "catalog_threads": f"""WITH {EVENTS}
+SELECT 'b' || board AS board, n AS no, time, CASE WHEN NOT many THEN n % 7 END::INT AS images,
+  concat_ws(',', CASE WHEN many THEN 'images' END, CASE WHEN flag THEN 'flag' END) AS rescued
+FROM e WHERE board % 10 <> 3 AND NOT bare AND NOT odd""",
+    "catalog_problems": f"""WITH {EVENTS},
+t AS (SELECT *, CASE WHEN bare THEN 'unreadable' WHEN odd AND many THEN 'wrong type: no, images' WHEN odd THEN 'wrong type: no'
+    WHEN many THEN 'wrong type: images' END AS problem,
+  CASE WHEN bare THEN n::VARCHAR ELSE '{{"no":' || CASE WHEN odd THEN '"n' || n || '"' ELSE n::VARCHAR END || ',"time":' || time ||
+    ',"images":' || CASE WHEN many THEN '"many"' ELSE (n % 7)::VARCHAR END || CASE WHEN flag THEN ',"flag":"pinned"' ELSE '' END || '}}' END AS json FROM e)
+SELECT 'catalog' AS input, page || '/' || pos AS place, problem, NOT bare AND NOT odd AS kept, length(json) AS chars
+FROM t WHERE board % 10 <> 3 AND problem IS NOT NULL
+UNION ALL SELECT 'catalog', '', 'unreadable', false, 60 FROM t WHERE board % 10 = 3 GROUP BY board""",
+    "search_listings": f"""WITH {FOUND}
+SELECT 'order ' || o AS title, 'US' AS site, o || '-' || n AS item_id, 'part ' || part AS text, CASE WHEN NOT bare THEN value::VARCHAR END AS value,
+  CASE WHEN NOT bare THEN 'USD' END AS currency FROM j WHERE NOT odd AND NOT gone""",
+    "search_problems": f"""WITH {FOUND}
+SELECT 'search' AS input, pos::VARCHAR AS place, CASE WHEN gone THEN 'unreadable' ELSE 'wrong type: price' END AS problem, NOT gone AS kept,
+  length(json) AS chars FROM j WHERE NOT odd AND (gone OR bare)
+UNION ALL SELECT 'search', '', 'wrong type: query', false,
+  length('{{"title":"order ' || o || '","site":"US","query":"first","itemSummaries":[]}}') + (sum(length(json) + CASE WHEN gone THEN 2 ELSE 0 END))::BIGINT + count(*) - 1
+FROM j WHERE odd GROUP BY o""",
+    "fx_rates": f"""WITH {DAYS}
+SELECT day::VARCHAR AS day, currency, ('1.' || n)::DOUBLE AS per_eur FROM d, (VALUES ('USD'), ('GBP'), ('PLN'), ('CHF')) c(currency)
+WHERE k % 23 <> 0 AND k % 19 <> 0 AND k % 13 <> 0 AND k % 17 <> 0""",
+    "fx_problems": f"""WITH {DAYS},
+t AS (SELECT *, CASE WHEN k % 23 = 0 THEN 'unreadable' WHEN k % 19 = 0 THEN 'no date' WHEN k % 13 = 0 AND k % 17 = 0 THEN 'rates: GBP, CHF'
+    WHEN k % 13 = 0 THEN 'rates: GBP' WHEN k % 17 = 0 THEN 'rates: CHF' END AS problem,
+  '<Envelope><Cube><Cube time="' || CASE WHEN k % 19 = 0 THEN 'soon' ELSE day::VARCHAR END || '"><Cube currency="USD" rate="1.' || n ||
+    '"/><Cube currency="GBP" rate="' || CASE WHEN k % 13 = 0 THEN 'n/a' ELSE '1.' || n END || '"/><Cube currency="PLN" rate="1.' || n || '"/>' ||
+    CASE WHEN k % 17 = 0 THEN '' ELSE '<Cube currency="CHF" rate="1.' || n || '"/>' END ||
+    '<Cube currency="JPY" rate="170"/></Cube></Cube></Envelope>' AS line FROM d)
+SELECT 'rates' AS input, '' AS place, problem, false AS kept, CASE WHEN k % 23 = 0 THEN 70 ELSE length(line) END AS chars FROM t WHERE problem IS NOT NULL""",
     "entry_items": """WITH e AS (SELECT event_id AS n, ts, value, user_id, CASE event_type WHEN 'error' THEN 'news' WHEN 'click' THEN 'reddit'
     WHEN 'view' THEN 'youtube' WHEN 'signup' THEN 'forum' ELSE 'podcast' END AS kind,
     CASE WHEN event_id % 5 <> 0 THEN CASE WHEN event_id % 7 = 0 THEN 'https://reddit.com/' || event_id

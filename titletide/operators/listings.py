@@ -18,7 +18,11 @@ def lines_up(searches: DataFrame) -> DataFrame:
     ``searches``: title, site, query, itemSummaries.
     """
     item = F.posexplode("itemSummaries").alias("pos", "item")
-    rows = searches.select("title", "site", "query", item).where("item IS NOT NULL")
+    return first_listings(searches.select("title", "site", "query", item).where("item IS NOT NULL"))
+
+
+def first_listings(rows: DataFrame) -> DataFrame:
+    """``lines_up`` for listings that stand in rows of their own: title, site, query, pos, item."""
     identity = F.coalesce("item.itemId", "item.legacyItemId", F.concat_ws(":", "query", "pos"))
     return (
         rows.groupBy("title", "site", identity.alias("item_id"))

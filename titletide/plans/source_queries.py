@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from titletide.functions import text as X
+from titletide.operators import listings
 from titletide.operators import prices as pr
 from titletide.operators import titles as tt
 from titletide.session import shared_folder
 from titletide.sources import adapters as ad
-from titletide.sources import readers, sinks
+from titletide.sources import quarantine, readers, sinks
 
 
 NUMBERS = ("555", "13", "7", "2")
@@ -126,5 +127,98 @@ def left_out_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.left_out(spark, path)
 
 
+def _noted(kind: str, intake: quarantine.Intake) -> DataFrame:
+    return intake.problems.select(F.lit(kind).alias("input"), "place", "problem", "kept", F.length("raw").cast("bigint").alias("chars"))
+
+
+def _catalogs(spark: SparkSession, sf_dir: str) -> quarantine.Intake:
+    """A hundred events as one board's catalog of ten pages, one a line: some threads have a number or a picture count
+    that is none, some are no objects, some carry a field nobody knows, and every tenth board's line is cut short."""
+    n, text = F.col("event_id"), F.lit
+    thread = F.when(n % 17 == 0, n.cast("string")).otherwise(F.concat(
+        text('{"no":'), F.when(n % 13 == 0, F.concat(text('"n'), n, text('"'))).otherwise(n.cast("string")),
+        text(',"time":'), F.unix_timestamp("ts").cast("string"), text(',"images":'),
+        F.when(n % 19 == 0, '"many"').otherwise((n % 7).cast("string")),
+        F.when(n % 23 == 0, ',"flag":"pinned"').otherwise(""), text("}")))
+    in_order = lambda rows: F.array_join(F.transform(F.sort_array(F.collect_list(rows)), lambda e: e["json"]), ",")
+    board, page = F.floor(n / 100).alias("board"), F.floor(n / 10).alias("page")
+    pages = ad.table(spark, sf_dir, "events").groupBy(board, page).agg(
+        F.concat(text('{"threads":['), in_order(F.struct("event_id", thread.alias("json"))), text("]}")).alias("json"))
+    lines = pages.groupBy("board").agg(in_order(F.struct("page", "json")).alias("pages")).select(
+        "board", F.concat(text('{"board":"b'), F.col("board"), text('","pages":['), F.col("pages"), text("]}")).alias("value"))
+    path = _folder(spark, "catalogs")
+    lines.select(F.when(F.col("board") % 10 == 3, F.substr("value", text(1), text(60))).otherwise(F.col("value")).alias("value")).write.text(path)
+    return readers.threads_intake(spark, path, whole=False)
+
+
+def catalog_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Threads that can be used from catalogs of which some are broken, with what did not fit their fields."""
+    return _catalogs(spark, sf_dir).rows.select(
+        "board", "no", "time", "images", F.coalesce(F.array_join(F.map_keys("rescued"), ","), F.lit("")).alias("rescued"))
+
+
+def catalog_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What could not be read of those catalogs, and where it stood."""
+    return _noted("catalog", _catalogs(spark, sf_dir))
+
+
+def _searches(spark: SparkSession, sf_dir: str) -> quarantine.Intake:
+    """Each order as a search whose lines it found: some lines are no listings, some prices no prices, some searches have
+    a number that is none."""
+    lines = ad.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
+        F.min("l_partkey").alias("part"), F.sum("l_quantity").cast("bigint").alias("value"))
+    order, number, text = F.col("l_orderkey"), F.col("l_linenumber"), F.lit
+    price = F.when((number == 2) & (order % 7 == 0), F.col("value").cast("string")).otherwise(
+        F.concat(text('{"value":"'), F.col("value"), text('","currency":"USD"}')))
+    listing = F.when((number == 3) & (order % 5 == 0), '"gone"').otherwise(F.concat(
+        text('{"itemId":"'), order, text("-"), number, text('","title":"part '), F.col("part"), text('","price":'), price, text("}")))
+    found = lines.groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(
+        F.struct("l_linenumber", listing.alias("json")))), lambda e: e["json"]), ",").alias("items"))
+    path = _folder(spark, "searches")
+    found.select(F.concat(
+        text('{"title":"order '), order, text('","site":"US","query":'), F.when(order % 11 == 0, '"first"').otherwise("0"),
+        text(',"itemSummaries":['), F.col("items"), text("]}")).alias("value")).write.text(path)
+    return readers.searches_intake(spark, path)
+
+
+def search_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings that can be used from searches of which some are broken."""
+    rows = listings.first_listings(_searches(spark, sf_dir).rows)
+    return rows.select("title", "site", "item_id", "text", "value", "currency")
+
+
+def search_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What could not be read of those searches, and where it stood."""
+    return _noted("search", _searches(spark, sf_dir))
+
+
+def _rates(spark: SparkSession, sf_dir: str) -> quarantine.Intake:
+    """Rates of every day with orders, one XML a line: some days have a rate that is no number, lack a currency, have no
+    date, or are cut short."""
+    days = ad.table(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").alias("date")).agg(
+        F.pmod(F.count(F.lit(1)), F.lit(90)).alias("n"))
+    d, text = F.unix_date("date"), F.lit
+    rate = lambda name, value: F.concat(text(f'<Cube currency="{name}" rate="'), value, text('"/>'))
+    number = F.concat(text("1."), (F.col("n") + 10).cast("string"))
+    line = F.concat(
+        text('<Envelope><Cube><Cube time="'), F.when(d % 19 == 0, "soon").otherwise(F.col("date").cast("string")), text('">'),
+        rate("USD", number), rate("GBP", F.when(d % 13 == 0, "n/a").otherwise(number)), rate("PLN", number),
+        F.when(d % 17 == 0, "").otherwise(rate("CHF", number)), rate("JPY", text("170")), text("</Cube></Cube></Envelope>"))
+    path = _folder(spark, "rates")
+    days.select(F.when(d % 23 == 0, F.substr(line, text(1), text(70))).otherwise(line).alias("value")).write.text(path)
+    return readers.fx_intake(spark, path, whole=False)
+
+
+def fx_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of the days whose every currency in use has a believable one."""
+    return _rates(spark, sf_dir).rows.select(F.col("date").cast("string").alias("day"), "currency", "per_eur")
+
+
+def fx_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days whose rates were refused, and why."""
+    return _noted("rates", _rates(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (entry_items, imported_history, pairs_to_search, pinned_targets, run_changes, number_titles,
-                                   kept_history, left_out_titles)}
+                                   kept_history, left_out_titles, catalog_threads, catalog_problems, search_listings,
+                                   search_problems, fx_rates, fx_problems)}

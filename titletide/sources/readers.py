@@ -1,6 +1,7 @@
 """Readers: raw feeds, catalogs, listings, rates and our own tables as typed DataFrames.
 
-Inputs of others are read permissively and bad rows are left out; our own tables fail fast.
+Inputs of others are read record by record: ``read_*`` gives the rows that can be used, ``*_intake`` also a table of
+problems with the records that cannot (``sources/quarantine.py``). Our own tables fail fast.
 """
 
 from __future__ import annotations
@@ -12,13 +13,19 @@ from titletide import schemas, vocab
 from titletide.functions import text as X
 from titletide.functions.numbers import view_count
 from titletide.operators import matching, valuation
-from titletide.operators.listings import lines_up
+from titletide.operators.listings import first_listings
 from titletide.operators.mentions import newest_per_feed
+from titletide.sources.quarantine import Intake, inside, opened, problem_rows, taken, texts_of
+
+
+def entries_intake(spark: SparkSession, path: str) -> Intake:
+    """Raw feed entries, one JSON object a line. Entries without a title are read, as their links count, but become no items."""
+    return taken(opened(texts_of(spark, path), schemas.ENTRIES))
 
 
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
     """Raw feed entries, one JSON object a line."""
-    return spark.read.schema(schemas.ENTRIES).option("mode", "DROPMALFORMED").json(path)
+    return entries_intake(spark, path).rows.drop("rescued")
 
 
 def items_from_entries(entries: DataFrame) -> DataFrame:
@@ -55,9 +62,17 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("headline IS NOT NULL").withColumn("ts", stamp).drop("timestamp")
 
 
+def threads_intake(spark: SparkSession, path: str, whole: bool = True) -> Intake:
+    """Threads of board catalogs, one catalog a file, or a line unless ``whole``. A thread without a number cannot be
+    used; a catalog or page that cannot be opened is one problem, and the other pages' threads go on."""
+    catalogs = opened(texts_of(spark, path, whole), "board STRING, pages ARRAY<STRING>", required=["board"], strict=True)
+    pages = opened(inside(catalogs, "pages", ["board"]), "threads ARRAY<STRING>", strict=True)
+    return taken(opened(inside(pages, "threads"), schemas.THREAD, required=["no"]))
+
+
 def read_threads(spark: SparkSession, path: str) -> DataFrame:
     """Threads of board catalogs, one catalog a file."""
-    return matching.flat_threads(spark.read.schema(schemas.CATALOG).option("multiLine", True).json(path))
+    return threads_intake(spark, path).rows.drop("rescued")
 
 
 def posts_of(threads: DataFrame) -> DataFrame:
@@ -72,9 +87,21 @@ def posts_of(threads: DataFrame) -> DataFrame:
     return own.unionByName(replies).where("text IS NOT NULL AND text <> ''").withColumn("platform", F.lit(False))
 
 
+def searches_intake(spark: SparkSession, path: str) -> Intake:
+    """Listings of marketplace searches, one search a line: title, site, query, pos, item. A search without title or site
+    is a problem as a whole, a listing that is no object one of its own."""
+    searches = opened(texts_of(spark, path), "title STRING, site STRING, query INT, total BIGINT, itemSummaries ARRAY<STRING>",
+                      required=["title", "site"], strict=True)
+    found = opened(inside(searches, "itemSummaries", ["title", "site", "query"]), schemas.LISTING)
+    usable = found.where("NOT fatal").select(
+        F.col("of_title").alias("title"), F.col("of_site").alias("site"), F.col("of_query").alias("query"),
+        F.col("place").cast("int").alias("pos"), F.col("record").alias("item"), "rescued")
+    return Intake(usable, taken(found).problems)
+
+
 def read_searches(spark: SparkSession, path: str) -> DataFrame:
     """Marketplace searches as one row per listing, title and site."""
-    return lines_up(spark.read.schema(schemas.SEARCHES).option("mode", "DROPMALFORMED").json(path))
+    return first_listings(searches_intake(spark, path).rows)
 
 
 def read_price_history(spark: SparkSession, path: str) -> DataFrame:
@@ -96,15 +123,30 @@ def import_price_history(spark: SparkSession, path: str) -> DataFrame:
     ).where("stamp IS NOT NULL AND title IS NOT NULL AND site IS NOT NULL AND copies IS NOT NULL")
 
 
+def fx_intake(spark: SparkSession, path: str, whole: bool = True) -> Intake:
+    """date, currency, per_eur from the daily reference-rate XML, one day a file, or a line unless ``whole``. A day with a
+    bad or missing rate of a currency in use gives no rows, and its problem names those currencies."""
+    low, high = vocab.FX_SANE
+    cube = ("Cube STRUCT<Cube: STRUCT<_time: STRING, Cube: ARRAY<STRUCT<_currency: STRING, _rate: STRING>>>>, "
+            "_unfit STRING")
+    days = texts_of(spark, path, whole).withColumn(
+        "day", F.from_xml("raw", cube, {"ignoreNamespace": "true", "columnNameOfCorruptRecord": "_unfit"})).select(
+        "file", "place", "raw", F.col("day._unfit").isNotNull().alias("unfit"),
+        F.col("day.Cube.Cube._time").try_cast("date").alias("date"), F.col("day.Cube.Cube.Cube").alias("rates"))
+    sane = lambda r: r["_rate"].try_cast("double").between(low, high)
+    fine = lambda name: F.exists("rates", lambda r: r["_currency"] == name) & F.forall(
+        "rates", lambda r: ~r["_currency"].eqNullSafe(F.lit(name)) | F.coalesce(sane(r), F.lit(False)))
+    bad = F.array_compact(F.array(*[F.when(~F.coalesce(fine(name), F.lit(False)), F.lit(name)) for name in vocab.FX_CURRENCIES]))
+    problem = (F.when(F.col("unfit") | F.col("rates").isNull(), "unreadable").when(F.col("date").isNull(), "no date")
+               .when(F.size(bad) > 0, F.concat(F.lit("rates: "), F.array_join(bad, ", "))))
+    rates = days.select("date", F.inline("rates")).select(
+        "date", F.col("_currency").alias("currency"), F.col("_rate").alias("per_eur"))
+    return Intake(valuation.good_rates(rates), problem_rows(days, problem))
+
+
 def read_fx(spark: SparkSession, path: str) -> DataFrame:
     """date, currency, per_eur from the daily reference-rate XML; files with a bad or missing rate give no rows."""
-    cube = "Cube STRUCT<Cube: STRUCT<_time: STRING, Cube: ARRAY<STRUCT<_currency: STRING, _rate: STRING>>>>"
-    rows = (
-        spark.read.format("xml").option("rowTag", "Envelope").option("ignoreNamespace", True)
-        .schema(cube).load(path)
-        .select(F.col("Cube.Cube._time").try_cast("date").alias("date"), F.inline("Cube.Cube.Cube"))
-    )
-    return valuation.good_rates(rows.select("date", F.col("_currency").alias("currency"), F.col("_rate").alias("per_eur")))
+    return fx_intake(spark, path).rows
 
 
 def read_dim(spark: SparkSession, path: str, schema: str) -> DataFrame:
