@@ -49,8 +49,20 @@ def test_components_of_long_chains(spark):
     edges = [*zip(keys, keys[1:]), *((f"d{i:04d}", f"d{i + 1:04d}") for i in range(999)),
              *((f"e{i % 10}z", f"e{i % 10}{i:03d}") for i in range(200)), *((f"e{i}z", f"e{i + 1}z") for i in range(9))]
     nodes = sorted({x for e in edges for x in e}) + ["f"]
-    got = {r.key: r.root for r in tt.components(names(spark, *nodes), spark.createDataFrame(edges, "a STRING, b STRING")).collect()}
-    assert got == {n: {"c": "c0000", "d": "d0000", "e": "e0000", "f": "f"}[n[0]] for n in nodes}
+    want = {n: {"c": "c0000", "d": "d0000", "e": "e0000", "f": "f"}[n[0]] for n in nodes}
+    frame = spark.createDataFrame(edges, "a STRING, b STRING").repartition(8)
+    for sizes in ({}, {"held": 7, "small": 0}, {"held": 40, "small": 9_000}):  # one task, rounds alone, rounds and then one task
+        assert {r.key: r.root for r in tt.components(names(spark, *nodes), frame, **sizes).collect()} == want
+
+
+def test_components_of_whole_numbers(spark):
+    """Keys that are numbers, edges to nodes that are not there, loops, repeated edges and no edges."""
+    nodes = spark.createDataFrame([(n,) for n in (-3, 1, 2, 9, 10, None)], "key BIGINT")
+    edges = spark.createDataFrame([(2, 1), (1, 2), (10, 9), (9, 9), (9, 77), (77, 1), (None, 1)], "a BIGINT, b BIGINT")
+    want = {-3: -3, 1: 1, 2: 1, 9: 9, 10: 9}
+    for small in (0, 1 << 20):
+        assert {r.key: r.root for r in tt.components(nodes, edges, small=small).collect()} == want
+    assert {r.key: r.root for r in tt.components(nodes, edges.limit(0)).collect()} == {n: n for n in want}
 
 
 def test_groups_show_the_real_spelling(spark):

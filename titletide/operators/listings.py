@@ -12,17 +12,11 @@ from titletide.functions.numbers import cheapest_postage, pennies, price_of
 from titletide.operators.medians import median_of_counts, penny_counts, top_k
 
 
-def lines_up(searches: DataFrame) -> DataFrame:
+def first_listings(rows: DataFrame) -> DataFrame:
     """One row per listing of a title and site, each listing once over the title's queries; the first query wins.
 
-    ``searches``: title, site, query, itemSummaries.
+    ``rows``: title, site, query, pos, item.
     """
-    item = F.posexplode("itemSummaries").alias("pos", "item")
-    return first_listings(searches.select("title", "site", "query", item).where("item IS NOT NULL"))
-
-
-def first_listings(rows: DataFrame) -> DataFrame:
-    """``lines_up`` for listings that stand in rows of their own: title, site, query, pos, item."""
     identity = F.coalesce("item.itemId", "item.legacyItemId", F.concat_ws(":", "query", "pos"))
     return (
         rows.groupBy("title", "site", identity.alias("item_id"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -202,22 +205,64 @@ def spelling_edges(titles: DataFrame, same: DataFrame | None = None) -> DataFram
     return edges.where("a <> b").distinct()
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _stars(held: int | None = None, roots: bool = False):
+    """Edges a, b as edges from each node to the smallest node it reaches through the edges of this task, taken up to
+    ``held`` nodes at a time; with ``roots`` the smallest nodes too, as edges to themselves."""
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict = {}
+
+        def root(node):
+            while up[node] != node:
+                up[node] = up[up[node]]
+                node = up[node]
+            return node
+
+        def out(schema: pa.Schema) -> pa.RecordBatch:
+            nodes = [n for n in up if roots or up[n] != n]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(nodes, schema.field(0).type), pa.array([root(n) for n in nodes], schema.field(1).type)], schema=schema)
+
+        schema = None
+        for batch in batches:
+            schema = batch.schema
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                up.setdefault(a, a)
+                up.setdefault(b, b)
+                a, b = root(a), root(b)
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+                if held and len(up) >= held:
+                    yield out(schema)
+                    up.clear()
+        if up:
+            yield out(schema)
+    return stars
+
+
+def components(nodes: DataFrame, edges: DataFrame, held: int = 200_000, small: int = 16 << 20) -> DataFrame:
     """key, root: connected components, each named by its smallest key.
 
-    Every round hooks each node to its smallest neighbour. Only two nodes can point at each other, and the smaller of them
+    Tasks first turn their edges into stars, ``held`` nodes at a time, which takes paths out and shuffles nothing. Every
+    round then hooks each node to its smallest neighbour. Only two nodes can point at each other, and the smaller of them
     is a root, so every tree has two nodes at least. Pointers jump until the trees are flat, and the edges between
-    different roots are the graph of the next round, with at most half its nodes: rounds grow with the logarithm of a
-    component's size, jumps with that of a tree's depth, and both go on until nothing is left. Rounds are cut by
-    written tables: a checkpoint keeps the constraints of its plan, which multiply with every join of a table with itself.
+    different roots, as stars again, are the graph of the next round, with at most half its nodes: rounds grow with the
+    logarithm of a component's size, jumps with that of a tree's depth. A graph whose edges, counted anew each round, take
+    at most ``small`` bytes is finished by one task; the answer is the same for any ``held`` and ``small``. Rounds are cut
+    by written tables: a checkpoint keeps the constraints of its plan, which multiply with every join of a table with itself.
     """
     known = stored(nodes.where("key IS NOT NULL").select("key").distinct())
     inside = edges.select("a", "b").where("a <> b").join(known.withColumnRenamed("key", "a"), "a", "left_semi").join(
         known.withColumnRenamed("key", "b"), "b", "left_semi").select("a", "b")
-    open_ = stored(inside.union(inside.select("b", "a")).distinct())
+    starred = lambda graph: stored(graph.mapInArrow(_stars(held), graph.schema), "components")
+    width = F.octet_length(F.col("a").cast("string")) + F.octet_length(F.col("b").cast("string")) + 32
+    open_ = starred(inside)
     rounds: list[DataFrame] = []
-    while not open_.isEmpty():
-        hooks = stored(open_.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("up")))
+    while size := open_.agg(F.sum(width)).first()[0]:
+        if size <= small:
+            rounds.append(stored(open_.coalesce(1).mapInArrow(_stars(roots=True), open_.schema).toDF("key", "up"), "components"))
+            break
+        both = stored(open_.union(open_.select("b", "a")).distinct(), "components")
+        hooks = stored(both.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("up")))
         above = lambda tree: tree.select(F.col("key").alias("up"), F.col("up").alias("above"))
         is_root = (F.col("above") == F.col("key")) & (F.col("key") < F.col("up"))
         tree = stored(hooks.join(above(hooks), "up").select(
@@ -230,8 +275,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             tree = jumped.select("key", "up")
         rounds.append(tree)
         left, right = (tree.select(F.col("key").alias(n), F.col("up").alias(f"{n}_root")) for n in ("a", "b"))
-        open_ = stored(open_.join(left, "a").join(right, "b").where("a_root <> b_root").select(
-            F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct())
+        open_ = starred(open_.join(left, "a").join(right, "b").where("a_root <> b_root").select(
+            F.col("a_root").alias("a"), F.col("b_root").alias("b")))
     if not rounds:
         return known.withColumn("root", F.col("key"))
     found = rounds.pop()

@@ -12,14 +12,10 @@ fetched TIMESTAMP_NTZ"""
 THREAD = """no BIGINT, time BIGINT, replies INT, images INT, sub STRING, com STRING, sticky INT,
 last_replies ARRAY<STRUCT<no: BIGINT, time: BIGINT, com: STRING>>"""
 
-CATALOG = f"board STRING, pages ARRAY<STRUCT<threads: ARRAY<STRUCT<{THREAD}>>>>"
-
 LISTING = """itemId STRING, legacyItemId STRING, title STRING, price STRUCT<value: STRING, currency: STRING>,
 shippingOptions ARRAY<STRUCT<shippingCost: STRUCT<value: STRING, currency: STRING>>>, condition STRING,
 itemCreationDate STRING, itemWebUrl STRING"""
 
-SEARCHES = f"title STRING, site STRING, query INT, total BIGINT, itemSummaries ARRAY<STRUCT<{LISTING}>>"
-
 HISTORY = "stamp TIMESTAMP_NTZ, title STRING, site STRING, copies INT, lowest DOUBLE, median DOUBLE"
 
 ARCHIVE = "d TIMESTAMP_NTZ, g STRING, h STRING, s STRING, t STRING, n INT, r BOOLEAN, m STRING, month STRING"
