@@ -35,25 +35,45 @@ def mention_counts(stream: DataFrame, width: str = "1 day") -> DataFrame:
 
 
 def surge_members(stream: DataFrame) -> DataFrame:
-    """until, title, kind, value, n: in sliding 24-hour windows per title, how often each source, each story and each way
-    of being sure comes among its headline mentions. A state is one number for each, and goes with its window, so that
-    exact numbers of different sources and stories follow without a set of them in any state."""
+    """until, title, kind, value, n: in each hour, named by its end, how often each source, each story and each way of
+    being sure comes among a title's headline mentions. A state is one number for each, and goes with its hour;
+    ``surge_windows`` puts the hours together, so that no mention is kept once for every window that it lies in."""
     named = F.coalesce(F.col("matched_in") != "body", F.lit(True))
     story = F.array_join(X.story_key(F.col("headline")), " ")
     member = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"))
     kinds = F.array(member("mention", F.lit("")), member("source", F.col("source")), member("story", story),
                     member("sure", F.col("match_method") != "fuzzy"))
     rows = mentions(stream).where(named).select("ts", "title", F.inline(kinds))
-    return rows.groupBy(F.window("ts", "24 hours", "1 hour"), "title", "kind", "value").agg(F.count(F.lit(1)).alias("n")).select(
+    return rows.groupBy(F.window("ts", "1 hour"), "title", "kind", "value").agg(F.count(F.lit(1)).alias("n")).select(
         F.col("window.end").alias("until"), "title", "kind", "value", "n")
 
 
-def surge_windows(members: DataFrame) -> DataFrame:
-    """until, title, mentions, sources, stories, sure: the newest members of every window, counted."""
-    of = lambda kind: F.count_if((F.col("kind") == kind) & F.col("value").isNotNull())
-    return members.groupBy("until", "title").agg(
-        F.sum(F.when(F.col("kind") == "mention", F.col("n"))).alias("mentions"), of("source").alias("sources"),
-        of("story").alias("stories"), F.bool_or((F.col("kind") == "sure") & (F.col("value") == "true")).alias("sure"))
+def surge_windows(members: DataFrame, hours: int = 24) -> DataFrame:
+    """until, title, mentions, sources, stories, sure of every sliding window of ``hours`` hours, hour by hour, that has a
+    mention. ``members``: the newest members of every hour.
+
+    A member comes into the windows with its hour and leaves them ``hours`` later, or when the same member comes again:
+    the windows' numbers are sums over comings and goings, one row an hour and title."""
+    hour = F.expr("INTERVAL 1 HOUR")
+    leaves = F.col("until") + F.expr(f"INTERVAL {hours} HOURS")
+    again = F.lead("until").over(Window.partitionBy("title", "kind", "value").orderBy("until"))
+    spans = members.withColumn("left", F.least(leaves, again)).withColumn("gone", leaves)
+    known = F.col("value").isNotNull()
+    weight = lambda kind, more, n: F.when((F.col("kind") == kind) & more, n).otherwise(F.lit(0)).cast("bigint")
+    number = {"mentions": weight("mention", F.lit(True), F.col("n")), "sources": weight("source", known, F.lit(1)),
+              "stories": weight("story", known, F.lit(1)), "sures": weight("sure", F.col("value") == "true", F.lit(1))}
+    end = F.when(F.col("kind") == "mention", F.col("gone")).otherwise(F.col("left"))
+    moves = F.inline(F.array(
+        F.struct(F.col("until").alias("at"), *[c.alias(name) for name, c in number.items()]),
+        F.struct(end.alias("at"), *[(-c).alias(name) for name, c in number.items()])))
+    steps = spans.select("title", moves).groupBy("title", "at").agg(*[F.sum(name).alias(name) for name in number])
+    order = Window.partitionBy("title").orderBy("at")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    standing = steps.select("title", "at", F.lead("at").over(order).alias("next"),
+                            *[F.sum(name).over(upto).alias(name) for name in number])
+    return standing.where("mentions > 0").select(
+        F.explode(F.sequence("at", F.col("next") - hour, hour)).alias("until"), "title", "mentions", "sources", "stories",
+        (F.col("sures") > 0).alias("sure"))
 
 
 def surge_holds(stream: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
