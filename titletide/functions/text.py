@@ -57,10 +57,13 @@ def one_of(phrases: Iterable[str]) -> str:
 
 def has_any(c: Column, phrases: Iterable[str]) -> Column:
     """Whether one of the fixed phrases stands in the text as whole words."""
+    return holds_any(padded(c), phrases)
+
+
+def holds_any(wide: Column, phrases: Iterable[str]) -> Column:
+    """The same for a text that is padded already."""
     phrases = tuple(phrases)
-    if not phrases:
-        return F.lit(False)
-    return padded(c).rlike(" " + one_of(phrases) + " ")
+    return wide.rlike(" " + one_of(phrases) + " ") if phrases else F.lit(False)
 
 
 def has_phrase(c: Column, phrase: Column) -> Column:
@@ -163,34 +166,63 @@ def key_of(c: Column) -> Column:
     return words(readable(c))
 
 
+def _without_and(key: Column) -> Column:
+    return F.array_join(F.filter(F.split(key, " ", -1), lambda t: t != "and"), " ")
+
+
+def _without_article(title: Column, plain: Column) -> Column:
+    article = title.rlike(r"(?i)^(?:the|a|an)\s") & plain.contains(" ")
+    return F.when(article, F.regexp_replace(plain, "^[^ ]+ ", "")).otherwise(plain)
+
+
+def _searches(bare: Column, name: Column) -> Column:
+    both = F.when((name != bare) & bare.contains(" "), F.array(bare, name)).otherwise(F.array(bare))
+    return F.filter(both, lambda q: q != "")
+
+
 def search_name(c: Column) -> Column:
     """The name a listing must contain: key words without "and", without a leading article, numerals as digits."""
     title = readable(c)
-    plain = F.array_join(F.filter(F.split(words(title), " ", -1), lambda t: t != "and"), " ")
-    article = title.rlike(r"(?i)^(?:the|a|an)\s") & plain.contains(" ")
-    bare = F.when(article, F.regexp_replace(plain, "^[^ ]+ ", "")).otherwise(plain)
-    return _numerals(bare, vocab.LISTING_NUMERALS)
+    return _numerals(_without_article(title, _without_and(words(title))), vocab.LISTING_NUMERALS)
 
 
 def search_queries(c: Column) -> Column:
     """The searches for a title: as spelt, and with digits when it has a roman numeral."""
     title = readable(c)
-    plain = F.array_join(F.filter(F.split(words(title), " ", -1), lambda t: t != "and"), " ")
-    article = title.rlike(r"(?i)^(?:the|a|an)\s") & plain.contains(" ")
-    bare = F.when(article, F.regexp_replace(plain, "^[^ ]+ ", "")).otherwise(plain)
-    name = _numerals(bare, vocab.LISTING_NUMERALS)
-    both = F.when((name != bare) & bare.contains(" "), F.array(bare, name)).otherwise(F.array(bare))
-    return F.filter(both, lambda q: q != "")
+    bare = _without_article(title, _without_and(words(title)))
+    return _searches(bare, _numerals(bare, vocab.LISTING_NUMERALS))
+
+
+def with_names(df: DataFrame, title: str) -> DataFrame:
+    """The rows with ``readable``, ``key``, ``name`` (the search name) and ``queries`` of a title. Each form is made from
+    the one before it, and worked out once a row: as one expression every use of a form would work it out anew."""
+    rows = settled(df, readable=readable(F.col(title)))
+    rows = settled(rows, key=words(F.col("readable")))
+    rows = settled(rows, _plain=_without_and(F.col("key")))
+    rows = settled(rows, _bare=_without_article(F.col("readable"), F.col("_plain")))
+    rows = settled(rows, name=_numerals(F.col("_bare"), vocab.LISTING_NUMERALS))
+    return settled(rows, queries=_searches(F.col("_bare"), F.col("name"))).drop("_plain", "_bare")
+
+
+def _unmarked(c: Column) -> Column:
+    bare = F.regexp_replace(F.regexp_replace(c, r"\s*\[[^\]]*\]", ""), r"\s+", " ")
+    return F.regexp_replace(F.regexp_replace(bare, r"^[. ]+", ""), r"\s+$", "")
 
 
 def clean_title(c: Column) -> Column:
     """A library entry made fit to read; NULL when it is a disc or a tool."""
-    bare = F.regexp_replace(F.regexp_replace(c, r"\s*\[[^\]]*\]", ""), r"\s+", " ")
-    bare = F.regexp_replace(F.regexp_replace(bare, r"^[. ]+", ""), r"\s+$", "")
-    title = readable(bare)
+    title = readable(_unmarked(c))
     return F.when(~c.rlike(vocab.JUNK_TITLE) & (title != ""), title)
 
 
+def with_clean(df: DataFrame, title: str) -> DataFrame:
+    """The rows with ``clean``, the clean title, whose steps are worked out once a row."""
+    rows = settled(df, _unmarked=_unmarked(F.col(title)))
+    rows = settled(rows, _clean=readable(F.col("_unmarked")))
+    clean = F.when(~F.col(title).rlike(vocab.JUNK_TITLE) & (F.col("_clean") != ""), F.col("_clean"))
+    return rows.withColumn("clean", clean).drop("_unmarked", "_clean")
+
+
 def written_as_title(title: Column, text: Column) -> Column:
     """Whether the text writes the title itself as a word of its own (for titles that are only a number)."""
     literal = F.regexp_replace(title, r"([^\p{L}\p{N} ])", r"\\$1")

@@ -66,11 +66,10 @@ def filed_name() -> Column:
 
 
 def title_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("title")
-    rows = ad.table(spark, sf_dir, "part").select("p_partkey", filed_name().alias("title"))
-    return rows.select("p_partkey", X.clean_title(t).alias("clean"), X.readable(t).alias("readable"), X.key_of(t).alias("key"),
-                       X.search_name(t).alias("name"), X.loose_key(X.search_name(t)).alias("loose"),
-                       F.array_join(X.search_queries(t), "|").alias("queries"))
+    rows = X.settled(ad.table(spark, sf_dir, "part"), title=filed_name()).select("p_partkey", "title")
+    rows = X.with_names(X.with_clean(rows, "title"), "title")
+    return rows.select("p_partkey", "clean", "readable", "key", "name", X.loose_key(F.col("name")).alias("loose"),
+                       F.array_join("queries", "|").alias("queries"))
 
 
 def library(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +126,7 @@ def brand_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = c.select(F.col("c_name").alias("key"), F.floor(F.col("c_acctbal") / 100).alias("v"), F.col("c_nationkey").alias("k")).union(
         s.select("s_name", F.floor(F.col("s_acctbal") / 100), "s_nationkey"))
     hubs = nodes.groupBy("v", "k").agg(F.min("key").alias("b"))
-    edges = nodes.join(hubs, ["v", "k"]).select(F.col("key").alias("a"), "b").where("a <> b")
+    edges = nodes.join(hubs.hint("merge"), ["v", "k"]).select(F.col("key").alias("a"), "b").where("a <> b")
     return tt.components(nodes.select("key"), edges)
 
 
@@ -184,7 +183,8 @@ def genre_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keyword_genres(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The genre each document's whole text gives away, read as a key."""
-    return ad.texts(spark, sf_dir).select("doc_id", X.keyword_genre(X.words(F.col("text"))).alias("genre"))
+    rows = X.settled(ad.texts(spark, sf_dir), key=X.words(F.col("text")))
+    return rows.select("doc_id", X.keyword_genre(F.col("key")).alias("genre"))
 
 
 def extra_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
