@@ -91,12 +91,12 @@ def respaced(text: Column, phrase: Column) -> Column:
         return F.when((F.length(token) >= 5) & token.rlike("^[a-z]+$"), letters).otherwise(token)
 
     pattern = F.concat(F.lit("(?<= )"), F.array_join(F.transform(F.split(phrase, " ", -1), loose), " "), F.lit("(?= )"))
-    hits = F.regexp_extract_all(X.padded(text), pattern, F.lit(0))
-    hit = F.try_element_at(F.filter(hits, lambda h: h != phrase), F.lit(1))
-    glued = F.trim(F.replace(X.padded(text), X.padded(hit), X.padded(phrase)))
-    # No word may be split into more than three parts.
-    spare = F.length(hit) - F.length(phrase)
-    return F.when((phrase != "") & hit.isNotNull() & (spare <= 2 * F.size(F.split(phrase, " ", -1))), glued)
+    hits = F.slice(F.filter(F.regexp_extract_all(X.padded(text), pattern, F.lit(0)), lambda h: h != phrase), 1, 1)
+    # No word may be split into more than three parts. The pattern is made and tried once, hence the list of one.
+    few = lambda hit: F.length(hit) - F.length(phrase) <= 2 * F.size(F.split(phrase, " ", -1))
+    glued = F.transform(hits, lambda hit: F.when(few(hit), F.trim(F.replace(X.padded(text), X.padded(hit), X.padded(phrase)))))
+    # Without its spaces the text has the phrase's letters in a row.
+    return F.when((phrase != "") & F.contains(X.compact(text), X.compact(phrase)), F.try_element_at(glued, F.lit(1)))
 
 
 def near_miss(text: Column, phrase: Column, siblings: Column) -> Column:
@@ -122,11 +122,11 @@ def listing_link(site: Column, legacy_id: Column, url: Column) -> Column:
     return rule
 
 
-def _by_site(site: Column, text: Column, lists: dict[str, tuple[str, ...]]) -> Column:
-    """Whether the text has one of its own site's phrases."""
+def _by_site(site: Column, wide: Column, lists: dict[str, tuple[str, ...]]) -> Column:
+    """Whether the padded text has one of its own site's phrases."""
     rule = F.lit(False)
     for name, phrases in lists.items():
-        rule = F.when(site == name, X.has_any(text, phrases)).otherwise(rule)
+        rule = F.when(site == name, X.holds_any(wide, phrases)).otherwise(rule)
     return rule
 
 
@@ -143,6 +143,7 @@ def with_reasons(listings: DataFrame, sealed_ok: bool = False) -> DataFrame:
     """
     rows = (
         listings.withColumn("word_text", X.words(F.col("text")))
+        .withColumn("wide", X.padded(F.col("word_text")))  # many tests read it
         .withColumn("name_text", X.even_names(F.col("word_text")))
         .withColumn("bare", X.the_less(F.col("name_text")))
         .withColumn("wanted", X.the_less(F.col("search")))
@@ -153,12 +154,12 @@ def with_reasons(listings: DataFrame, sealed_ok: bool = False) -> DataFrame:
         .withColumn("postage", cheapest_postage(F.col("postage_options"), F.col("site_currency")))
         .withColumn("link", listing_link(F.col("site"), F.col("legacy_id"), F.col("url")))
     )
-    words, bare, wanted, site = F.col("word_text"), F.col("bare"), F.col("wanted"), F.col("site")
+    words, wide, bare, wanted, site = F.col("word_text"), F.col("wide"), F.col("bare"), F.col("wanted"), F.col("site")
     siblings = F.transform(F.coalesce("siblings", F.array().cast("array<string>")), X.the_less)
     require = F.transform(F.coalesce("require", F.array().cast("array<string>")), X.the_less)
     other = (
         (F.col("keyword") & ~words.rlike(vocab.PLATFORM_WORDS))
-        | ~names_this(bare, wanted)
+        | ~(F.col("named") | names_this(bare, wanted))
         | names_other_entry(bare, wanted)
         | X.has_phrase_in(bare, siblings)
         | ~F.forall(require, lambda p: X.has_phrase(bare, p))
@@ -167,20 +168,20 @@ def with_reasons(listings: DataFrame, sealed_ok: bool = False) -> DataFrame:
     all_junk = F.lit(False)
     for phrase in vocab.JUNK_PHRASES:
         pardoned = F.array_contains(allow, phrase) & comes_with(F.col("text"), phrase)
-        all_junk = all_junk | (X.has_any(words, [phrase]) & ~pardoned)
-    junk = F.when(F.size(allow) == 0, X.has_any(words, vocab.JUNK_PHRASES)).otherwise(all_junk)
+        all_junk = all_junk | (X.holds_any(wide, [phrase]) & ~pardoned)
+    junk = F.when(F.size(allow) == 0, X.holds_any(wide, vocab.JUNK_PHRASES)).otherwise(all_junk)
     not_a_copy = (
         junk
-        | _by_site(site, words, vocab.SITE_JUNK)
+        | _by_site(site, wide, vocab.SITE_JUNK)
         | X.has_phrase_in(words, F.col("exclude"))
         | is_soundtrack(F.col("text"), F.col("name_text"), F.col("search"))
     )
-    graded = X.has_any(words, vocab.GRADED_OR_SEALED) & ~X.has_any(words, vocab.NOT_GRADED)
-    foreign = X.has_any(words, vocab.IMPORT_PHRASES) | _by_site(site, words, vocab.FOREIGN)
-    incomplete = X.has_any(words, vocab.INCOMPLETE_PHRASES) | _by_site(site, words, vocab.SITE_INCOMPLETE)
+    graded = X.holds_any(wide, vocab.GRADED_OR_SEALED) & ~X.holds_any(wide, vocab.NOT_GRADED)
+    foreign = X.holds_any(wide, vocab.IMPORT_PHRASES) | _by_site(site, wide, vocab.FOREIGN)
+    incomplete = X.holds_any(wide, vocab.INCOMPLETE_PHRASES) | _by_site(site, wide, vocab.SITE_INCOMPLETE)
     reason = (
         F.when(other, "other_game")
-        .when(X.has_any(words, vocab.OTHER_PLATFORMS), "other_platform")
+        .when(X.holds_any(wide, vocab.OTHER_PLATFORMS), "other_platform")
         .when(not_a_copy, "not_a_copy")
         .when(graded & F.lit(not sealed_ok), "graded_or_sealed")
         .when(foreign, "import")
@@ -189,21 +190,22 @@ def with_reasons(listings: DataFrame, sealed_ok: bool = False) -> DataFrame:
         .when(F.col("link").isNull(), "no_link")
     )
     return (
-        X.settled(rows, reason=reason, confirmed=X.has_any(words, vocab.COMPLETE_PHRASES))
+        X.settled(rows, reason=reason, confirmed=X.holds_any(wide, vocab.COMPLETE_PHRASES))
         .withColumn("near", F.when(F.col("reason") == "other_game", near_miss(X.the_less(F.col("name_text")), wanted, siblings)))
-        .drop("named", "bare", "wanted")
+        .drop("wide", "named", "bare", "wanted")
     )
 
 
 def console_reasons(listings: DataFrame) -> DataFrame:
     """Hardware listings with ``reason``. Needs: site, text, value, currency, site_currency, legacy_id, url,
     require, require_any, exclude."""
-    words = F.col("word_text")
+    words, wide = F.col("word_text"), F.col("wide")
     parts = F.lit(False)
     for part in vocab.CONSOLE_PARTS:
-        parts = parts | (X.has_any(words, [part]) & ~comes_with(F.col("text"), part))
+        parts = parts | (X.holds_any(wide, [part]) & ~comes_with(F.col("text"), part))
     rows = (
         listings.withColumn("word_text", X.words(F.col("text")))
+        .withColumn("wide", X.padded(F.col("word_text")))
         .withColumn("price", price_of(F.col("value"), F.col("currency"), F.col("site_currency")))
         .withColumn("link", listing_link(F.col("site"), F.col("legacy_id"), F.col("url")))
     )
@@ -211,13 +213,13 @@ def console_reasons(listings: DataFrame) -> DataFrame:
         (F.size("require_any") == 0) | X.has_phrase_in(words, F.col("require_any")))
     reason = (
         F.when(~model, "other_game")
-        .when(X.has_any(words, vocab.OTHER_CONSOLES), "other_platform")
-        .when(X.has_any(words, vocab.CONSOLE_JUNK) | X.has_phrase_in(words, F.col("exclude")), "not_a_copy")
-        .when(parts & ~X.has_any(words, vocab.CONSOLE_WORDS), "not_a_copy")
+        .when(X.holds_any(wide, vocab.OTHER_CONSOLES), "other_platform")
+        .when(X.holds_any(wide, vocab.CONSOLE_JUNK) | X.has_phrase_in(words, F.col("exclude")), "not_a_copy")
+        .when(parts & ~X.holds_any(wide, vocab.CONSOLE_WORDS), "not_a_copy")
         .when(F.col("price").isNull(), "no_price")
         .when(F.col("link").isNull(), "no_link")
     )
-    return X.settled(rows, reason=reason)
+    return X.settled(rows, reason=reason).drop("wide")
 
 
 # ---------------------------------------------------------------------------------------------
