@@ -249,10 +249,11 @@ def components(nodes: DataFrame, edges: DataFrame, held: int = 200_000, small: i
     logarithm of a component's size, jumps with that of a tree's depth. A graph whose edges, counted anew each round, take
     at most ``small`` bytes is finished by one task; the answer is the same for any ``held`` and ``small``. Rounds are cut
     by written tables: a checkpoint keeps the constraints of its plan, which multiply with every join of a table with itself.
+    Tables of nodes grow with the input, so none is sent whole to the driver or a task: they are merged.
     """
     known = stored(nodes.where("key IS NOT NULL").select("key").distinct())
-    inside = edges.select("a", "b").where("a <> b").join(known.withColumnRenamed("key", "a"), "a", "left_semi").join(
-        known.withColumnRenamed("key", "b"), "b", "left_semi").select("a", "b")
+    inside = edges.select("a", "b").where("a <> b").join(known.withColumnRenamed("key", "a").hint("merge"), "a", "left_semi").join(
+        known.withColumnRenamed("key", "b").hint("merge"), "b", "left_semi").select("a", "b")
     starred = lambda graph: stored(graph.mapInArrow(_stars(held), graph.schema), "components")
     width = F.octet_length(F.col("a").cast("string")) + F.octet_length(F.col("b").cast("string")) + 32
     open_ = starred(inside)
@@ -263,7 +264,7 @@ def components(nodes: DataFrame, edges: DataFrame, held: int = 200_000, small: i
             break
         both = stored(open_.union(open_.select("b", "a")).distinct(), "components")
         hooks = stored(both.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("up")))
-        above = lambda tree: tree.select(F.col("key").alias("up"), F.col("up").alias("above"))
+        above = lambda tree: tree.select(F.col("key").alias("up"), F.col("up").alias("above")).hint("merge")
         is_root = (F.col("above") == F.col("key")) & (F.col("key") < F.col("up"))
         tree = stored(hooks.join(above(hooks), "up").select(
             "key", F.when(is_root, F.col("key")).otherwise(F.col("up")).alias("up")), "components")
@@ -274,17 +275,17 @@ def components(nodes: DataFrame, edges: DataFrame, held: int = 200_000, small: i
             moved = jumped.agg(F.count_if("moved")).first()[0]
             tree = jumped.select("key", "up")
         rounds.append(tree)
-        left, right = (tree.select(F.col("key").alias(n), F.col("up").alias(f"{n}_root")) for n in ("a", "b"))
+        left, right = (tree.select(F.col("key").alias(n), F.col("up").alias(f"{n}_root")).hint("merge") for n in ("a", "b"))
         open_ = starred(open_.join(left, "a").join(right, "b").where("a_root <> b_root").select(
             F.col("a_root").alias("a"), F.col("b_root").alias("b")))
     if not rounds:
         return known.withColumn("root", F.col("key"))
     found = rounds.pop()
     while rounds:  # roots of a round are nodes of the next, unless their component is whole
-        later = found.select(F.col("key").alias("up"), F.col("up").alias("last"))
+        later = found.select(F.col("key").alias("up"), F.col("up").alias("last")).hint("merge")
         found = stored(rounds.pop().join(later, "up", "left").select("key", F.coalesce("last", "up").alias("up")), "components")
-    named = found.join(found.groupBy("up").agg(F.min("key").alias("root")), "up").select("key", "root")
-    return known.join(named, "key", "left").select("key", F.coalesce("root", "key").alias("root"))
+    named = found.join(found.groupBy("up").agg(F.min("key").alias("root")).hint("merge"), "up").select("key", "root")
+    return known.join(named.hint("merge"), "key", "left").select("key", F.coalesce("root", "key").alias("root"))
 
 
 def title_groups(titles: DataFrame, same: DataFrame | None = None, apart: DataFrame | None = None) -> DataFrame:
