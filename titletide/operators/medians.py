@@ -20,22 +20,22 @@ def middle_of_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
     """keys, copies, low, high and ``twice`` the exact median of counted whole numbers (``penny``, ``n``).
 
     A group is as many rows as it has different values, never as many as the rows behind them; those rows are
-    sorted and summed up in passing, and can spill.
+    sorted and summed up in passing, and can spill. The row that holds the middle gives the group's, so the groups are
+    not gathered again.
     """
     group = Window.partitionBy(*keys)
     ordered = group.orderBy("penny").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = (
         counts.withColumn("upto", F.sum("n").over(ordered))
+        .withColumn("next", F.lead("penny").over(group.orderBy("penny")))
         .withColumn("copies", F.sum("n").over(group))
         .withColumn("low", F.min("penny").over(group))
         .withColumn("high", F.max("penny").over(group))
     )
     first, second = F.expr("(copies + 1) div 2"), F.expr("(copies + 2) div 2")
-    holds = lambda rank: (F.col("upto") - F.col("n") < rank) & (F.col("upto") >= rank)
-    at = lambda rank: F.max(F.when(holds(rank), F.col("penny")))
-    return ranked.where(holds(first) | holds(second)).groupBy(*keys).agg(
-        F.first("copies").alias("copies"), F.first("low").alias("low"), F.first("high").alias("high"),
-        (at(first) + at(second)).alias("twice"))
+    holds = (F.col("upto") - F.col("n") < first) & (F.col("upto") >= first)
+    other = F.when(F.col("upto") >= second, F.col("penny")).otherwise(F.col("next"))
+    return ranked.where(holds).select(*keys, "copies", "low", "high", (F.col("penny") + other).alias("twice"))
 
 
 def median_of_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
