@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import json
 import struct
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +41,28 @@ def ids_and_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def give_back() -> None:
+    """Memory that this worker has freed goes back to the system, so that idle workers hold little of it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A function of ``mapInArrow`` that gives back its memory at the end of a task."""
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+    return tidied
+
+
+def in_slices(batch: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``rows``, so that few texts at a time are Python's."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def tied(*arrays: np.ndarray, level: int = 3) -> bytes:
     """Arrays as one compressed message."""
     head = json.dumps([(a.dtype.str, len(a)) for a in arrays]).encode()

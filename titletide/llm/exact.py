@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from titletide.llm.common import ids_and_texts, partitions_for
+from titletide.llm.common import ids_and_texts, partitions_for, tidy
 from titletide.session import stored
 
 STRETCH = 8 << 20  # bytes of different texts that a map task folds at once
@@ -150,10 +150,10 @@ def _own(capacity: int):
 
 def build_index(docs: DataFrame, owners: int, capacity: int = 512) -> DataFrame:
     """The bucket entries: one row for each different text, written under the shared folder."""
-    folded = docs.mapInArrow(_fold(owners), FOLDED)
+    folded = docs.mapInArrow(tidy(_fold(owners)), FOLDED)
     order = F.col("key").bitwiseXOR(F.lit(-(1 << 63)))  # unsigned order
     ranged = folded.repartition(owners, "owner").sortWithinPartitions("owner", order)
-    return stored(ranged.mapInArrow(_own(capacity), BUCKETS), "exact-index")
+    return stored(ranged.mapInArrow(tidy(_own(capacity)), BUCKETS), "exact-index")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 512) -> DataFrame:
@@ -166,7 +166,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     spark = docs.sparkSession
     docs = ids_and_texts(docs, id_col, text_col)
-    entries = stored(docs.mapInArrow(_entries, ENTRY), "exact-entries")
+    entries = stored(docs.mapInArrow(tidy(_entries), ENTRY), "exact-entries")
     size = entries.agg(F.sum("n_bytes")).first()[0] or 0
     index = build_index(docs, max(64, partitions_for(spark, size, OWNED)), capacity)
     groups = index.where("group_size > 1").select("key", "text_sha256", "keep_id", "group_size")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from titletide.llm.common import crc_of
+from titletide.llm.common import crc_of, in_slices, tidy
 
 ORDERS = (1, 2, 3)  # lengths of n-grams, in characters
 PROFILE = 400  # n-grams of a language's profile
@@ -123,7 +123,7 @@ def learn_profiles(docs: DataFrame, sample: int = SAMPLE, profile: int = PROFILE
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     # As many rows as there are languages, each of which has a whole profile on the driver later; texts stay where they are.
     drawn = docs.join(F.broadcast(shares), "lang").where(draw * F.col("n") < sample).select("lang", "text")
-    counts = drawn.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = drawn.mapInArrow(tidy(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     return counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= profile).select("lang", "gram", "place")
 
@@ -159,7 +159,7 @@ class Profiles:
 def _judge(profiles: Profiles):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [profiles.judge(x) for x in batch.column("text").to_pylist()]
+            found = [profiles.judge(x) for part in in_slices(batch) for x in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("row"), pa.array([f[0] for f in found], pa.string()),
                  pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "row", "lang_pred", "score"])
@@ -189,6 +189,6 @@ def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row.alias("row"))
     schema = T.StructType([read.schema["doc_id"], read.schema["row"], T.StructField("lang_pred", T.StringType()),
                            T.StructField("score", T.DoubleType())])
-    judged = read.mapInArrow(_judge(profiles), schema)
+    judged = read.mapInArrow(tidy(_judge(profiles)), schema)
     out = judged.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "row")
     return out if whole_rows else out.drop("row")

@@ -14,11 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from titletide.llm.common import ids_and_texts
+from titletide.llm.common import ids_and_texts, in_slices, tidy
 from titletide.llm.pieces import encoder
 from titletide.llm.tokens import VOCABULARY
 from titletide.session import stored
@@ -35,7 +34,7 @@ def _pieces(vocabulary: str, capacity: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, last = encoder(vocabulary), np.array([end], dtype="<u4").tobytes()
         for batch in batches:
-            texts = pc.fill_null(batch.column("text"), "").to_pylist()
+            texts = (t or "" for part in in_slices(batch) for t in part.column("text").to_pylist())
             out: list[tuple] = []
             keys = zip(batch.column("doc_id").to_pylist(), batch.column("text_crc32").to_pylist())
             for (doc, crc), ids in zip(keys, pieces.of_each(texts, b"".join)):
@@ -158,7 +157,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, stalled: int = STALLED) ->
         draw = F.pmod(F.xxhash64("place", F.lit(round_no)), F.lit(groups)).cast("int")
         met = pool.select(*columns).withColumn("group", draw).repartition(groups, "group").sortWithinPartitions(
             "group", F.desc("length"), "place")
-        packed = stored(met.mapInArrow(_pack(capacity, round_no), PLACED), "packing-round")
+        packed = stored(met.mapInArrow(tidy(_pack(capacity, round_no)), PLACED), "packing-round")
         bins, given_up = packed.agg(F.count_if(F.col("offset") == 0), F.count_if((F.col("offset") == 0) & F.col("given_up"))).first()
         round_no += 1
         if used is None or bins < used:
@@ -191,7 +190,7 @@ def packed_sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     read = ids_and_texts(docs, id_col, text_col).select(
         "doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), "text")
-    cut = read.mapInArrow(_pieces(vocabulary, capacity, end), PIECE)
+    cut = read.mapInArrow(tidy(_pieces(vocabulary, capacity, end)), PIECE)
     pieces = stored(cut.withColumn("place", F.monotonically_increasing_id()), "packing-pieces")
     return pack(pieces, capacity).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "text_crc32")

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from titletide.llm.common import ids_and_texts, partitions_for, tied, untied, utf8_size
+from titletide.llm.common import ids_and_texts, partitions_for, tidy, tied, untied, utf8_size
 from titletide.session import stored
 
 SPAN = 50  # bytes of a string
@@ -481,7 +481,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     read = read.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), "carried")
     size = ids_and_texts(docs, id_col, text_col).agg(F.sum(utf8_size(F.col("text")))).first()[0] or 0
     buckets = max(64, partitions_for(spark, size, BUCKET))
-    blocks = stored(read.mapInArrow(_pack, "body binary").withColumn("block", F.monotonically_increasing_id()), "repeats-blocks")
+    blocks = stored(read.mapInArrow(tidy(_pack), "body binary").withColumn("block", F.monotonically_increasing_id()), "repeats-blocks")
     places = max(64, blocks.count())
     texts = blocks.select(F.col("block").alias("target"), F.lit(TEXTS).alias("kind"), F.lit(None).cast("long").alias("source"), "body")
 
@@ -491,9 +491,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def at_blocks(rows: DataFrame) -> DataFrame:
         return rows.unionByName(texts).repartition(places, "target").sortWithinPartitions("target", "kind")
 
-    triggers = blocks.mapInArrow(_triggers(buckets), MESSAGE)
-    shared = at_buckets(triggers).mapInArrow(_shared(hot), MESSAGE)
-    phrases = at_blocks(shared).mapInArrow(_phrases(buckets), MESSAGE)
-    found = at_buckets(phrases).mapInArrow(_repeats, MESSAGE)
-    result = at_blocks(found).mapInArrow(_remove(carry is not None), RESULT)
+    triggers = blocks.mapInArrow(tidy(_triggers(buckets)), MESSAGE)
+    shared = at_buckets(triggers).mapInArrow(tidy(_shared(hot)), MESSAGE)
+    phrases = at_blocks(shared).mapInArrow(tidy(_phrases(buckets)), MESSAGE)
+    found = at_buckets(phrases).mapInArrow(tidy(_repeats), MESSAGE)
+    result = at_blocks(found).mapInArrow(tidy(_remove(carry is not None)), RESULT)
     return result if carry is not None else result.drop("kept_text", "carried")

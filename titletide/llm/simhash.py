@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from titletide.llm.common import ids_and_texts, partitions_for
+from titletide.llm.common import ids_and_texts, partitions_for, tidy
 from titletide.operators.titles import components
 from titletide.session import stored
 
@@ -187,7 +187,7 @@ def fingerprint_links(prints: DataFrame, radius: int, partitions: int) -> DataFr
 
     def level(rows: DataFrame, finer: int) -> DataFrame:
         met = rows.repartition(partitions, "table_no", "value").sortWithinPartitions("table_no", "value")
-        return met.mapInArrow(_meet(radius, masks, finer), LINKS)
+        return met.mapInArrow(tidy(_meet(radius, masks, finer)), LINKS)
 
     first = stored(level(keyed, 0), "simhash-links")
     again = first.where("b IS NULL").select("table_no", "value", F.col("a").alias("fp"))
@@ -209,7 +209,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     read = ids_and_texts(docs, id_col, text_col).withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    prints = stored(read.mapInArrow(_fingerprints(size), "doc_id long, fp long, text_key long"), "simhash-prints")
+    prints = stored(read.mapInArrow(tidy(_fingerprints(size)), "doc_id long, fp long, text_key long"), "simhash-prints")
     classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-classes")
     partitions = max(64, partitions_for(spark, classes.count() * len(covering_masks(radius)), 1 << 19))
     links = stored(fingerprint_links(classes.select("fp"), radius, partitions), "simhash-forest")
