@@ -33,3 +33,12 @@ def test_memory_goes_back_after_the_last_batch(monkeypatch):
     assert told == [1, 1]
     monkeypatch.undo()
     common.give_back()
+
+
+def test_pieces_over_a_line_break_are_remembered_by_their_parts():
+    made = pieces.Pieces(tokens.VOCABULARY, bytes)
+    texts = ["some wordless.\nThen this", "other wordless.\nThen that", "a b\n\nc d\n e \nf g\th\ni \n", "k l\nm\nn o'\n's p\n"]
+    for _ in range(2):
+        got = [b"".join(p) for p in made.parts(texts)]
+        assert got == [pieces.ids_as_bytes(made.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert {"wordless", "\nThen"} <= made.known.keys() and "wordless.\nThen" not in made.known
