@@ -70,3 +70,32 @@ def test_no_input(spark, tmp_path):
     for read in (readers.entries_intake, readers.threads_intake, readers.searches_intake, readers.fx_intake):
         found = read(spark, str(tmp_path))
         assert found.rows.count() == 0 and found.problems.count() == 0
+
+
+def test_odd_keys(spark, tmp_path):
+    """Keys that are unknown, repeated, blank or named like the reader's own column; blanks and marks before the object."""
+    lines = ['{"title": "a"}', '  {"title": "b", "odd": {"x": [1]}}', '{"title": "c", "title": null}', '{"title": null, "title": "d"}',
+             '{"title": "e", "_unfit": "f"}', '{"title": "g", "tags": [{"term": 1, "more": 2}], "": 3}', '{}', '{"title": "h"} tail',
+             '{"title": "i"', "{'title': 'j'}", '﻿{"title": "k"}', '{"title": "l", "position": 1.5, "tags": null}',
+             '{"title": "m", "enclosures": [{"href": "n"}, 7]}', '{"tit\\u006ce": "o"}', '[{"title": "p"}]', '"q"']
+    (tmp_path / "e.json").write_text("\n".join(lines) + "\n", encoding="utf-8")
+    found = readers.entries_intake(spark, str(tmp_path))
+    rows = found.rows.collect()
+    assert sorted((r.title or "", sorted((r.rescued or {}).items())) for r in rows) == [
+        ('', []), ('', [('title', None)]), ('a', []),
+        ('b', [('odd', '{"x":[1]}')]), ('d', []), ('e', [('_unfit', 'f')]),
+        ('g', [('', '3')]), ('h', []), ('j', []),
+        ('l', [('position', '1.5')]), ('m', [('enclosures', '[{"href":"n"},7]')]), ('o', [])]
+    assert kinds(found) == [
+        ('', 'unreadable', False), ('', 'unreadable', False), ('', 'unreadable', False),
+        ('', 'unreadable', False), ('', 'wrong type: enclosures', True), ('', 'wrong type: position', True),
+        ('', 'wrong type: title', True)]
+
+
+def test_fitting_records_are_read_once(spark, tmp_path):
+    """Listings without a fault take one reading a layer, and no reading of their keys when nobody asks for them."""
+    (tmp_path / "s.json").write_text(json.dumps({"title": "Ico", "site": "US", "query": 0, "itemSummaries": [{"itemId": "1"}]}) + "\n")
+    plan = readers.read_searches(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    steps = [line for line in plan.split("\n") if "Generate " in line]
+    assert len(steps) == 3 and not any("MapType" in step for step in steps)
+    assert plan.lower().count("jsonobjectkeys") + plan.count("json_object_keys") == 1

@@ -172,7 +172,8 @@ def _searches(spark: SparkSession, sf_dir: str) -> quarantine.Intake:
         F.concat(text('{"value":"'), F.col("value"), text('","currency":"USD"}')))
     listing = F.when((number == 3) & (order % 5 == 0), '"gone"').otherwise(F.concat(
         text('{"itemId":"'), order, text("-"), number, text('","title":"part '), F.col("part"), text('","price":'), price, text("}")))
-    found = lines.groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(
+    # Lines are dealt out by their numbers, which are shorter than the texts made of them.
+    found = lines.repartition("l_orderkey").groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(
         F.struct("l_linenumber", listing.alias("json")))), lambda e: e["json"]), ",").alias("items"))
     path = _folder(spark, "searches")
     found.select(F.concat(
