@@ -63,8 +63,8 @@ def console_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often listings nearly named a title that counted nothing on a site, by kind and title, as a day's log."""
-    rows = stored(_classified(spark, sf_dir), "classified")
-    near = ls.near_misses(rows, rows.groupBy("title", "site").agg(F.count_if(F.col("reason") == "nothing").alias("counted")))
+    rows = stored(_classified(spark, sf_dir).select("title", "site", "reason", "near"), "classified")
+    near = ls.near_misses(rows, rows.groupBy("title", "site").agg(F.count_if(F.col("reason").isNull()).alias("counted")))
     return lv.search_near(near.withColumn("day", F.lit("today")))
 
 
